@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from . import op04_compression, op05_secrets, op06_simhash, op10_sharding
+from . import (
+    op01_katz,
+    op03_language,
+    op04_compression,
+    op05_secrets,
+    op06_simhash,
+    op07_urls,
+    op08_licenses,
+    op09_packing,
+    op10_sharding,
+)
 
 QUERIES = {
+    "op1_katz_backoff": op01_katz.op1_katz_backoff,
+    "op3_hierarchical_svm": op03_language.op3_hierarchical_svm,
     "op4_compression_bands": op04_compression.op4_compression_bands,
     "op5_blob_ledger": op05_secrets.op5_blob_ledger,
     "op6_simhash_vp_forest": op06_simhash.op6_simhash_vp_forest,
+    "op7_redirect_equivalence": op07_urls.op7_redirect_equivalence,
+    "op8_template_automata": op08_licenses.op8_template_automata,
+    "op9_histogram_best_fit": op09_packing.op9_histogram_best_fit,
     "op10_rendezvous_sharding": op10_sharding.op10_rendezvous_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_redirect_equivalence": op07_urls.ORACLE_SQL,
+}
