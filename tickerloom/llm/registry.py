@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     op01_katz,
+    op02_decontamination,
     op03_language,
     op04_compression,
     op05_secrets,
@@ -16,6 +17,7 @@ from . import (
 
 QUERIES = {
     "op1_katz_backoff": op01_katz.op1_katz_backoff,
+    "op2_template_decontamination": op02_decontamination.op2_template_decontamination,
     "op3_hierarchical_svm": op03_language.op3_hierarchical_svm,
     "op4_compression_bands": op04_compression.op4_compression_bands,
     "op5_blob_ledger": op05_secrets.op5_blob_ledger,
