@@ -1,0 +1 @@
+"""Stock-news and sentiment analytics on Spark DataFrames."""
