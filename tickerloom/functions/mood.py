@@ -57,4 +57,4 @@ def mood_bucket(score: Column) -> Column:
 def indicator(score: Column) -> Column:
     """A watchlist row's badge: ``No data``, or trend and score with two digits."""
     trend = F.when(mood_bucket(score) == "bull", "up").when(mood_bucket(score) == "bear", "down").otherwise("flat")
-    return F.when(score.isNull(), "No data").otherwise(F.format_string("%s %.2f", trend, F.round(score, 2)))
+    return F.when(score.isNull(), "No data").otherwise(F.format_string("%s %.2f", trend, score))

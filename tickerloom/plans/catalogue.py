@@ -218,7 +218,7 @@ def sentiment_board(spark, sf_dir):
 
 @query(
     f""", {WATCH} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ticker, stock_id) AS rank, ticker, m.name AS market, score, {bucket_sql('score')} AS bucket,
-    CASE WHEN score IS NULL THEN 'No data' ELSE (CASE WHEN score > 0.2 THEN 'up' WHEN score < -0.2 THEN 'down' ELSE 'flat' END) || printf(' %.2f', round(score, 2)) END AS badge FROM watch JOIN market m USING (market_id)""",
+    CASE WHEN score IS NULL THEN 'No data' ELSE (CASE WHEN score > 0.2 THEN 'up' WHEN score < -0.2 THEN 'down' ELSE 'flat' END) || printf(' %.2f', score) END AS badge FROM watch JOIN market m USING (market_id)""",
     "stock", "market", "sentiment", "user_stock",
 )
 def watchlist(spark, sf_dir):

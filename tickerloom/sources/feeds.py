@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import schemas
 
 CATEGORIES = ("general", "forex", "crypto", "merger")
-PARTITIONED_NEWS = StructType([*schemas.NEWS.fields, *StructType.fromDDL("ticker string, dt date").fields])
+PARTITIONED_NEWS = f"{schemas.NEWS}, ticker string, dt date"
 
 
 def read_market_news(spark: SparkSession, path: str, category: str = "general") -> DataFrame:

@@ -1,10 +1,8 @@
-"""Schemas of tables and feed records."""
+"""Schemas of tables and feed records, as DDL text."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+TABLES = {
     "market": "market_id string, name string, description string",
     "stock": "stock_id string, ticker string, name string, market_id string",
     "article": "article_id string, headline string, summary string, url string, source string, published_at timestamp, created_at timestamp",
@@ -15,14 +13,9 @@ _DDL = {
     "app_user": "user_id string, external_id string, email string, role string, created_at timestamp",
     "invitation": "invitation_id string, email string, invited_by_id string, accepted_at timestamp, accepted_by_user_id string, created_at timestamp",
 }
-TABLES = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
-NEWS = StructType.fromDDL(
-    "category string, datetime long, headline string, id long, image string, related string, source string, summary string, url string"
-)
-TAGGED = StructType.fromDDL(
-    "data array<struct<uuid:string,title:string,description:string,url:string,published_at:string,source:string,entities:array<struct<symbol:string>>>>"
-)
-SYMBOLS = StructType.fromDDL("count long, result array<struct<description:string,displaySymbol:string,symbol:string,type:string>>")
+NEWS = "category string, datetime long, headline string, id long, image string, related string, source string, summary string, url string"
+TAGGED = "data array<struct<uuid:string,title:string,description:string,url:string,published_at:string,source:string,entities:array<struct<symbol:string>>>>"
+SYMBOLS = "count long, result array<struct<description:string,displaySymbol:string,symbol:string,type:string>>"
 
 ROLES = ("USER", "ADMIN")
