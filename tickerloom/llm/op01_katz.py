@@ -165,6 +165,8 @@ def _chunk_rows(chunk: int, docs: list[tuple], buckets: int) -> list[tuple]:
     hashes, counts, bucket = hashes[order], counts[order], bucket[order]
     for b, lo, hi in _segments(bucket):
         rows.append(("words", chunk, b, pack(hashes[lo:hi], counts[lo:hi])))
+    if bucket[0]:  # bucket 0 also answers for the start of a text, so it is always asked
+        rows.append(("words", chunk, 0, pack(hashes[:0], counts[:0])))
     return rows
 
 
