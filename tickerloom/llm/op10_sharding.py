@@ -102,16 +102,28 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: DuckDB has no crc32; it is folded over the bytes with the usual reflected polynomial.
-ORACLE = f"""
-WITH d AS (
+ORACLE_SQL = f"""
+WITH RECURSIVE step(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), crcs AS (
+  SELECT list(c ORDER BY n) AS crc_table FROM step WHERE k = 8
+), d AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents
 ), b AS (
   SELECT doc_id, t, k,
-         list_transform(range({SHARDS + 1}), s -> -ln((CAST('0x' || substr(md5(k || ':' || CAST(s AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / {DRAW_RANGE})) AS bids
+         list_transform(range({SHARDS + 1}), lambda s: -ln((CAST('0x' || substr(md5(k || ':' || CAST(s AS VARCHAR)), 1, {DRAW_DIGITS}) AS BIGINT) + 0.5) / {DRAW_RANGE})) AS bids,
+         list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
   FROM d
+), placed AS (
+  SELECT doc_id, CAST(strlen(t) + 16 AS BIGINT) AS size,
+         xor(list_reduce(list_prepend(4294967295, bytes), lambda crc, x: xor(crc >> 8, crc_table[(xor(crc, x) & 255) + 1])), 4294967295) AS text_crc32,
+         CAST(list_position(bids[1:{SHARDS}], list_min(bids[1:{SHARDS}])) - 1 AS INTEGER) AS shard,
+         CAST(list_position(bids, list_min(bids)) - 1 AS INTEGER) AS grown_shard
+  FROM b, crcs
 )
-SELECT doc_id, strlen(t) + 16 AS size,
-       CAST(list_position(bids[1:{SHARDS}], list_min(bids[1:{SHARDS}])) - 1 AS INTEGER) AS shard,
-       CAST(list_position(bids, list_min(bids)) - 1 AS INTEGER) AS grown_shard
-FROM b
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot
+FROM placed
 """

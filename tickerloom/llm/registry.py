@@ -30,4 +30,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_redirect_equivalence": op07_urls.ORACLE_SQL,
+    "op10_rendezvous_sharding": op10_sharding.ORACLE_SQL,
 }
