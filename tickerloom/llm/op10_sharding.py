@@ -41,7 +41,10 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*bids) if len(bids) > 1 else bids[0])["shard"]
 
 
-def with_slots(df: DataFrame, shard: str, order: Sequence[str], slices: int = 256) -> DataFrame:
+SLICES = 256
+
+
+def with_slots(df: DataFrame, shard: str, order: Sequence[str], slices: int = SLICES) -> DataFrame:
     """Add ``slot``: places 0, 1, ... without gaps inside each shard.
 
     A shard is never ordered in one task: rows are numbered inside ``slices`` slices of it, and
@@ -49,8 +52,9 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], slices: int = 25
     has shards * slices rows at most, so it is broadcast. Rows that agree in every ``order``
     column take neighbouring slots in any order. Empty input gives empty output.
     """
-    cut = df.withColumn("__slice", F.pmod(F.crc32(F.col(order[0]).cast("string").cast("binary")), F.lit(slices)))
-    cut = cut.withColumn("__slice", F.coalesce("__slice", F.lit(0)))
+    key = F.coalesce(F.col(order[0]).cast("string"), F.lit("null"))
+    drawn = F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int")
+    cut = df.withColumn("__slice", drawn % slices)
     before = (
         cut.groupBy(shard, "__slice")
         .count()
@@ -117,13 +121,13 @@ WITH RECURSIVE step(n, k, c) AS (
          list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
   FROM d
 ), placed AS (
-  SELECT doc_id, CAST(strlen(t) + 16 AS BIGINT) AS size,
+  SELECT doc_id, CAST(strlen(t) + 16 AS BIGINT) AS size, CAST('0x' || substr(md5(k), 1, 4) AS BIGINT) % {SLICES} AS slice,
          xor(list_reduce(list_prepend(4294967295, bytes), lambda crc, x: xor(crc >> 8, crc_table[(xor(crc, x) & 255) + 1])), 4294967295) AS text_crc32,
          CAST(list_position(bids[1:{SHARDS}], list_min(bids[1:{SHARDS}])) - 1 AS INTEGER) AS shard,
          CAST(list_position(bids, list_min(bids)) - 1 AS INTEGER) AS grown_shard
   FROM b, crcs
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot
+       row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id) - 1 AS slot
 FROM placed
 """
