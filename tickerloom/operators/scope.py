@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import route_feed
@@ -65,14 +66,19 @@ def user_newest(links: DataFrame, articles: DataFrame, user_stock: DataFrame, k:
         links.join(articles.select("article_id", "published_at"), "article_id"),
         ["stock_id"], [F.desc("published_at"), F.asc("article_id")], k, "__r",
     ).drop("__r")
-    mine = cut.join(user_stock, "stock_id").select("user_id", "article_id", "published_at").distinct()
-    return top_k_per_group(mine, ["user_id"], [F.desc("published_at"), F.asc("article_id")], k)
+    # an article that comes by several stocks has one dense rank, so it is told apart after the
+    # cut: rows are pruned before the only shuffle by user
+    order = W.partitionBy("user_id").orderBy(F.desc("published_at"), F.asc("article_id"))
+    return (
+        cut.join(user_stock, "stock_id")
+        .select("user_id", "article_id", "published_at", F.dense_rank().over(order).alias("rank"))
+        .where(F.col("rank") <= k)
+        .distinct()
+    )
 
 
 def global_newest(articles: DataFrame, k: int) -> DataFrame:
     """The newest ``k`` articles of all with their rank: k rows, ordered once."""
-    from pyspark.sql import Window as W
-
     top = articles.select("article_id", "published_at").orderBy(F.desc("published_at"), F.asc("article_id")).limit(k)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("published_at"), F.asc("article_id"))))
 
@@ -115,11 +121,18 @@ def articles_24h(users: DataFrame, links: DataFrame, articles: DataFrame, user_s
     )
 
 
-def with_tickers(links: DataFrame, stocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(article_id, tickers): tickers of each article in order; articles without one are absent."""
-    kept = links if only is None else links.join(only.select("article_id").distinct(), "article_id", "left_semi")
-    return (
-        kept.join(stocks.select("stock_id", "ticker"), "stock_id")
-        .groupBy("article_id")
-        .agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
-    )
+def article_facts(links: DataFrame, stocks: DataFrame, latest: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(article_id, tickers, score): tickers in order and the strongest latest reading.
+
+    Both come from one aggregate over the links, or those of the articles in ``only``. Strongest
+    is the largest absolute score, of equal ones the smallest stock's; without ``latest`` there
+    is no score. Articles without a stock are absent.
+    """
+    rows = links if only is None else links.join(only.select("article_id"), "article_id", "left_semi")
+    rows = rows.join(stocks.select("stock_id", "ticker"), "stock_id")
+    made = [F.array_sort(F.collect_set("ticker")).alias("tickers")]
+    if latest is not None:
+        rows = rows.join(latest.select("stock_id", "score"), "stock_id", "left")
+        order = F.when(F.col("score").isNotNull(), F.struct(-F.abs("score"), "stock_id"))
+        made.append(F.min_by("score", order).alias("score"))
+    return rows.groupBy("article_id").agg(*made)

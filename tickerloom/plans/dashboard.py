@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.mood import indicator, mood_bucket, mood_label
-from ..functions.time import as_of_like, in_window, month_day, relative_age, status_label
+from ..functions.time import WINDOWS, as_of_like, in_window, month_day, relative_age, status_label
 from ..operators import rank, scope
 from ..sources.seed import MARKET_ICONS, OTHER_ICON
 
@@ -76,11 +76,9 @@ def overview_headlines(t: Tables, as_of: datetime, k: int = 5, tickers: int = 3)
     """The newest ``k`` headlines in each user's scope, with their first tickers and age."""
     scoped = scope.users_with_articles(t.article_stock, t.user_stock)
     rows = scope.scoped_newest(t.users, scoped, t.article_stock, t.article, t.user_stock, k)
-    shown = rows.select("article_id").distinct()
-    details = t.article.join(shown, "article_id", "left_semi").select("article_id", "headline")
-    details = details.join(scope.with_tickers(t.article_stock, t.stock, shown), "article_id", "left")
     now = as_of_like(t.article, "published_at", as_of)
-    return rows.join(details, "article_id").select(
+    shown = rows.join(t.article.select("article_id", "headline"), "article_id")
+    return shown.join(scope.article_facts(t.article_stock, t.stock), "article_id", "left").select(
         "user_id", "rank", "article_id", "headline",
         F.array_join(F.slice(F.coalesce("tickers", F.array().cast("array<string>")), 1, tickers), ",").alias("tickers"),
         relative_age(F.col("published_at"), now).alias("age"),
@@ -105,16 +103,15 @@ def news_feed(
         rows = t.users.select("user_id").crossJoin(F.broadcast(scope.global_newest(articles, fetch)))
     else:
         rows = scope.scoped_newest(t.users, scope.users_with_watchlist(t.user_stock), t.article_stock, articles, t.user_stock, fetch)
-    shown = rows.select("article_id").distinct()
-    strongest = rank.top_sentiment(t.article_stock.join(shown, "article_id", "left_semi"), t.latest).select("article_id", "score")
-    rows = rows.join(strongest, "article_id", "left").withColumn("bucket", mood_bucket(F.col("score")))
+    narrowed = articles if query or ticker or window in WINDOWS else None
+    facts = scope.article_facts(t.article_stock, t.stock, t.latest, narrowed)
+    rows = rows.join(facts, "article_id", "left").withColumn("bucket", mood_bucket(F.col("score")))
     if mood:
         rows = rows.where(F.col("bucket") == mood)
     own = W.partitionBy("user_id")
     rows = rows.withColumn("rank", F.row_number().over(own.orderBy("rank"))).where(F.col("rank") <= n)
     rows = rows.withColumn("shown", F.count(F.lit(1)).over(own))
-    names = scope.with_tickers(t.article_stock, t.stock, shown)
-    return rows.join(names, "article_id", "left").select(
+    return rows.select(
         "user_id", "rank", "article_id", "score", "bucket",
         F.array_join(F.slice(F.coalesce("tickers", F.array().cast("array<string>")), 1, tickers), ",").alias("tickers"),
         ((F.col("shown") >= n) & F.lit(n < scope.MOST)).alias("has_more"),
