@@ -7,6 +7,7 @@ of the whole text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -38,7 +39,7 @@ class Settings:
     max_languages: int = 100
     snippets: int = 3
     snippet_words: tuple[int, ...] = (2, 5, 12)
-    bits: int = 12
+    bits: int = 11
     penalty: float = 1e-4
     rounds: int = 300
     sharpness: float = 4.0
@@ -78,15 +79,14 @@ def snippets(text: str, s: Settings) -> list[str]:
 
 
 def fit_svm(x: np.ndarray, positive: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
-    """Weights and bias of a linear machine: squared hinge loss, balanced classes, Nesterov steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights and, last, bias of a linear machine: squared hinge loss, balanced classes, Nesterov steps."""
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
-    ahead, rate = w, 0.25  # rows have length sqrt(2) at most, so the curvature is 4 at most
+    w = np.zeros(x.shape[1] + 1, np.float32)
+    ahead, rate = w, 0.25  # rows have length 1 and a bias, so the curvature is 4 at most
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        step = ahead - rate * (penalty * ahead - 2 * x.T @ (share * y * slack))
+        push = share * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        step = ahead - rate * (penalty * ahead - 2 * np.append(push @ x, push.sum()).astype(np.float32))
         ahead, w = step + t / (t + 3) * (step - w), step
     return w
 
@@ -106,7 +106,8 @@ class Machines:
         rows = []
         for a, b in pairs:
             use = (y == labels[a]) | (y == labels[b])
-            rows.append(fit_svm(x[use], y[use] == labels[a], s.penalty, s.rounds))
+            own = x if use.all() else x[use]
+            rows.append(fit_svm(own, y[use] == labels[a], s.penalty, s.rounds))
         return cls(labels, pairs, np.array(rows, np.float32) if rows else None)
 
     def predict(self, x: np.ndarray, sharpness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +154,20 @@ class LanguageModel:
 def train(docs: DataFrame, label: str = "lang", s: Settings = Settings()) -> LanguageModel | None:
     """Fit on ``docs`` (doc_id, text, ``label``); None if no row has a label and a letter.
 
-    Ids are drawn first (``per_language`` in hash order, pruned before the shuffle), then only
-    their texts are read, turned into features on the executors, and brought to the driver:
-    at most max_languages * per_language * (snippets + 1) rows of 2**bits half floats.
+    Ids are drawn first: ``per_language`` in hash order of the ``max_languages`` most frequent
+    labels. Languages are counted, and only ids whose hash lies under a threshold of four times
+    the share that is needed are ordered, so no task orders a whole language. Then only the drawn
+    texts are read, turned into features on the executors, and brought to the driver: at most
+    max_languages * per_language * (snippets + 1) rows of 2**bits half floats.
     """
     labelled = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    sizes = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(s.max_languages)
+    share = sizes.select(F.col(label).alias("__l"), (F.lit(4.0 * s.per_language) / F.col("count")).alias("__share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)  # even in [0, 1)
     order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = (
         labelled.select("doc_id", label)
+        .join(F.broadcast(share), (F.col(label) == F.col("__l")) & (place < F.col("__share")))
         .withColumn("__k", F.row_number().over(order))
         .where(F.col("__k") <= s.per_language)
         .select("doc_id")
@@ -181,9 +188,25 @@ def train(docs: DataFrame, label: str = "lang", s: Settings = Settings()) -> Lan
     if not got.num_rows:
         return None
     langs = np.array(got.column("lang").to_pylist(), object)
-    x = np.array([np.frombuffer(v, np.float16) for v in got.column("x").to_pylist()], np.float32)
-    order = np.lexsort((x @ np.arange(1, x.shape[1] + 1, dtype=np.float32), langs.astype(str)))
-    return LanguageModel.fit(x[order], langs[order], s)
+    features = got.column("x").combine_chunks()
+    del got
+    # rows in an order of their own, so that the sums do not depend on how tasks ended
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], features[i].as_buffer().to_pybytes()))
+    x = np.empty((len(langs), 1 << s.bits), np.float32)
+    for k, i in enumerate(order):
+        x[k] = np.frombuffer(features[i].as_buffer(), np.float16)
+    del features
+    return LanguageModel.fit(x, langs[order], s)
+
+
+def _judge(texts: pa.ChunkedArray | pa.Array, m: LanguageModel | None) -> tuple[np.ndarray, np.ndarray]:
+    texts = [t.as_py() or "" for t in texts]
+    langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    own = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
+    for i in range(0, len(own), 1024):
+        part = own[i : i + 1024]
+        langs[part], scores[part] = m.predict(np.array([trigram_features(texts[j], m.settings.bits) for j in part]))
+    return langs, scores
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -196,20 +219,34 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        m = held.value
-        texts = [t.as_py() or "" for t in batch.column("text")]
-        langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        own = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
-        for i in range(0, len(own), 1024):
-            part = own[i : i + 1024]
-            x = np.array([trigram_features(texts[j], m.settings.bits) for j in part])
-            langs[part], scores[part] = m.predict(x)
+        langs, scores = _judge(batch.column("text"), held.value)
         return {"doc_id": batch.column("doc_id"), "lang_pred": langs.tolist(), "score": scores}
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_arrow(source, "doc_id long, lang_pred string, score double", rows)
 
 
+def with_known_language(docs: DataFrame, model: LanguageModel | None, least: float, lang: str = "lang") -> DataFrame:
+    """Rows of ``docs`` whose language is predicted with a score of ``least`` or more, all columns
+    kept and ``lang`` (added if absent) replaced by the prediction.
+
+    Rows pass through the one judging pass itself, so nothing is joined or shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    if lang not in docs.columns:
+        docs = docs.withColumn(lang, F.lit(None).cast("string"))
+    place = docs.columns.index(lang)
+    source = docs.withColumn(lang, F.col(lang).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores = _judge(batch.column("text"), held.value)
+            keep = pa.array((scores >= least) & (langs != UNKNOWN))
+            yield batch.set_column(place, lang, pa.array(langs.tolist(), batch.schema.field(place).type)).filter(keep)
+
+    return source.mapInArrow(run, source.schema)
+
+
 FOLDS, HELD_OUT = 3, 1
 
 
