@@ -136,9 +136,17 @@ class BlobLedger:
     def findings(self, versions: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
         """(path, revision, blob_id, findings) for every version of every path.
 
-        A plain equi-join of two shuffled sides, so AQE splits the partition of a hot blob.
+        Only blobs with findings are joined: they are written first, so the planner knows their
+        size, and as both sides are then plain shuffles, AQE splits a hot blob's partition. A
+        version without a row there is clean, as ``update`` has scanned them all.
         """
-        return versions.select("path", "revision", "blob_id").join(self.read(rules.version), "blob_id")
+        hits = materialise(self.read(rules.version).where(F.size("findings") > 0), "findings")
+        none = F.array().cast(FINDINGS)
+        return (
+            versions.select("path", "revision", "blob_id")
+            .join(hits, "blob_id", "left")
+            .withColumn("findings", F.coalesce("findings", none))
+        )
 
 
 def _scanner(rules: tuple[Rule, ...]):
