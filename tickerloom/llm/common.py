@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,17 +35,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark removes a finished write's shuffle files: the table is all that is needed."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the planner the true size, so
     that a later join broadcasts only what is under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = fresh_path(df.sparkSession, label)
-    writer = df.write
-    if keys := list(partition_by):
-        writer = writer.partitionBy(*keys)
-    writer.parquet(path)
+    with tidy_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, fresh_path, table
+from .common import crc_bucket, fresh_path, table, tidy_shuffles
 
 #: A word that no text can hold stands for the end of a text.
 END = b"\n"
@@ -478,10 +478,7 @@ def score_texts(docs: DataFrame, train: str, s: Settings = Settings(), path: str
     is a chunk of its own. Words are known by a 64-bit hash.
     """
     spark = docs.sparkSession
-    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    tidy = spark.conf.get(conf)
-    spark.conf.set(conf, "true")  # each step's result is a table, so its shuffle files may go
-    try:
+    with tidy_shuffles(spark):  # each step's result is a table
         buckets = s.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(s.columns, buckets // s.columns * s.columns)
         path = path or fresh_path(spark, "katz")
@@ -514,8 +511,6 @@ def score_texts(docs: DataFrame, train: str, s: Settings = Settings(), path: str
             score_chunks(buckets, s.columns, unigrams, d), SCORES
         )
         return scored, KatzModel(path, unigrams, d)
-    finally:
-        spark.conf.set(conf, tidy)
 
 
 FOLDS, HELD_OUT = 7, 2
