@@ -167,7 +167,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
                 F.transform(
                     F.sequence(F.lit(0), F.lit(WINDOW - 1)),
                     lambda k: F.struct(
-                        F.get("i.words", x["q"] - 1 + k).alias("item"), F.get("d.words", x["p"] - 1 + k).alias("doc")
+                        F.get("i.words", x["q"] - 1 + k).alias("item"),
+                        F.ltrim(F.get("d.words", x["p"] - 1 + k), F.lit("".join(KINDS))).alias("doc"),
                     ),
                 ),
                 lambda s: F.substring(s["item"], 1, 1).isin(*KINDS),
