@@ -138,7 +138,7 @@ def local_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def near_pairs(
-    fps: DataFrame, distance: int = DISTANCE, blocks: int = 5, leaf: int = 512, cell: int = 4096, sample: int = 8192
+    fps: DataFrame, distance: int = DISTANCE, blocks: int = 5, leaf: int = 512, cell: int = 1024, sample: int = 8192
 ) -> DataFrame:
     """Edges (src, dst) that connect all fingerprints within ``distance`` bits of each other.
 
@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
         "fp", F.coalesce("component", "fp").alias("root"), "least_id"
     )
     labelled = materialise(labelled, "simhash-groups")
-    least_of_group = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that both sides of the join are plain and a huge family's partition can be split
+    least_of_group = materialise(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-heads")
     named = labelled.join(least_of_group, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
