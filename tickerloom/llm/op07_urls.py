@@ -8,7 +8,6 @@ allows one of them explicitly.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialise, table
@@ -105,7 +104,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = Non
     are all judged; other columns play no part.
     """
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    named = base.join(fitting_rules(base, rules), "host", "left")
+    # written, so that a hot host's pages meet a plain table: broadcast if it is small, split if not
+    named = base.join(materialise(fitting_rules(base, rules), "host-rules"), "host", "left")
     best = F.array_max(F.filter("candidates", lambda r: F.col("path").startswith(r["prefix"])))
     judged = materialise(
         named.withColumn("best", best).select(
@@ -128,8 +128,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = Non
     member = groups.where(F.col("node").startswith("\u0000")).select(
         F.substring("node", 2, 1 << 30).alias("url"), "component"
     )
-    held = judged.where("own is not null").join(member, "url").groupBy("component").agg(
-        F.max(F.when(F.col("own") == "allow", 1).otherwise(0)).alias("allowed")
+    held = materialise(
+        judged.where("own is not null").join(member, "url").groupBy("component").agg(
+            F.max(F.when(F.col("own") == "allow", 1).otherwise(0)).alias("allowed")
+        ),
+        "component-verdicts",
     )
     inherited = member.join(held, "component").select(
         F.col("url").alias("alias"), F.when(F.col("allowed") == 1, "allow").otherwise("block").alias("passed_on")
