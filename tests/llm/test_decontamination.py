@@ -80,3 +80,15 @@ def test_awkward_rows(spark):
     assert d.contaminated(frame(spark).limit(0), bench).count() == 0
     assert d.contaminated(frame(spark), bench.limit(0)).count() == 0
     assert found(spark, [LONG + ITEM])[0, 1].similarity == 1
+
+
+def test_other_case_and_layout_is_found(spark):
+    item = "Tell Anna that every Friday Bob and Carla meet near Oslo. Then Dora asks Emil whether Fred and Greta left Hamburg before Ida came"
+    texts = [item.title(), item.lower(), item.replace(".", ""), item.replace(" ", "\n"), "• " + item.replace(" ", " • "), item.replace(" ", ". "), item.replace(" ", " “", 3)]
+    assert {d for d, _ in found(spark, texts, [(1, item)])} == set(range(len(texts)))
+
+
+def test_anchors_cover_a_match_by_words_alone(spark):
+    item = " ".join(f"Name{chr(97 + i)} w{chr(97 + i)}" for i in range(20))
+    got = found(spark, [item.title(), " ".join(item.lower().split()[4:]), " ".join(item.title().split()[:-7])], [(1, item)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1)}

@@ -48,7 +48,10 @@ _NAME = (
 )
 _NUMBER = r"(?<![\p{L}\p{N}])[0-9]+"
 _UNIT = rf"(?i)({NUMBER}[0-9]+[ -]{{1,3}})({'|'.join(sorted(map(re.escape, UNITS), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
-_BLANK = r"[\x00-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF]+"
+_BLANK = (
+    r"[\x00-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u2000-\u206F\u20A0-\u20CF\u2190-\u245F\u2500-\u2BFF"
+    r"\u2E00-\u2E7F\u3000-\u3004\u3008-\u301F\uFEFF\uFF01-\uFF0F\uFF1A-\uFF20]+"
+)
 
 
 def template_words(text: Column, fillers: bool) -> Column:
@@ -103,29 +106,43 @@ def full_template(text: Column) -> Column:
     )
 
 
+def both_windows(words: Column) -> Column:
+    """Hashes of a text's template windows, and of its literal ones where they differ."""
+    return let(
+        words,
+        lambda w: F.concat(
+            window_hashes(kinds(w)), F.when(F.exists(w, lambda x: F.substring(x, 1, 1).isin(*KINDS)), window_hashes(literals(w))).otherwise(F.array().cast("array<bigint>"))
+        ),
+    )
+
+
 def anchors(items: DataFrame, similarity: float) -> DataFrame:
-    """(h, item): enough windows of each item that no match can miss them all.
+    """(h, item): enough windows of each item (item, wins, raw_wins) that no match can miss them all.
 
-    A match holds at least ``similarity`` of an item's n distinct windows, so it holds one of
-    any n - ceil(similarity * n) + 1; those shared by fewest items are taken. One more is, as an
-    item's first word may look like a name in the middle of another text's sentence.
+    A match holds at least ``similarity`` of an item's n distinct template windows, so it holds one
+    of any n - ceil(similarity * n) + 1; those shared by fewest items are taken. It may hold one as
+    a template or by its very words, so each brings its literal windows along.
     """
-    each = items.select("item", F.explode(F.array_distinct("wins")).alias("h")).distinct()
+    each = items.select("item", F.explode(F.arrays_zip("wins", "raw_wins")).alias("w")).select("item", F.col("w.wins").alias("h"), F.col("w.raw_wins").alias("raw"))
+    each = each.groupBy("item", "h").agg(F.collect_set("raw").alias("raws"))
     spread = each.groupBy("h").agg(F.count(F.lit(1)).alias("in_items"))
-    ranked = each.join(spread, "h").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("in_items", "h"))).alias("r"))
-    need = F.size("r") - F.ceil(F.lit(similarity) * F.size("r")) + 2
-    return ranked.select("item", F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("a")).select("item", F.col("a.h").alias("h"))
+    ranked = each.join(spread, "h").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("in_items", "h", "raws"))).alias("r"))
+    need = F.size("r") - F.ceil(F.lit(similarity) * F.size("r") - F.lit(1e-9)) + 1
+    taken = ranked.select("item", F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("a"))
+    return taken.select("item", F.explode(F.array_union(F.array("a.h"), "a.raws")).alias("h")).distinct()
 
 
 def places() -> Column:
-    """(q, p): each window of an item and where it stands in a document, both from 1.
+    """(q, p, literal): each window of an item and where it first stands in a document, both from 1.
 
     Over one row with both templates, so neither is exploded."""
     literal = lambda k: F.array_position("d.raw_wins", F.get("i.raw_wins", k - 1))
     template = lambda k: F.array_position("d.wins", F.get("i.wins", k - 1))
     at = F.transform(
         F.sequence(F.lit(1), F.size("i.wins")),
-        lambda k: F.struct(k.alias("q"), F.when(literal(k) > 0, literal(k)).otherwise(template(k)).cast("int").alias("p")),
+        lambda k: F.struct(
+            k.alias("q"), F.when(literal(k) > 0, literal(k)).otherwise(template(k)).cast("int").alias("p"), (literal(k) > 0).alias("literal")
+        ),
     )
     return F.filter(at, lambda x: x["p"] > 0)
 
@@ -150,8 +167,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
         asked.select("item_id", full_template(F.col("text")).alias("i")).select(F.xxhash64("item_id", "i.words").alias("item"), "item_id", "i"),
         "benchmark",
     ).where("size(i.wins) > 0")
-    marks = materialise(anchors(known.select("item", F.col("i.wins").alias("wins")), similarity), "anchors")
-    windows = docs.select("doc_id", F.explode(window_hashes(template_words(F.col("text"), False))).alias("h"))
+    marks = materialise(anchors(known.select("item", "i.wins", "i.raw_wins"), similarity), "anchors")
+    windows = docs.select("doc_id", F.explode(both_windows(template_words(F.col("text"), True))).alias("h"))
     small = marks.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     near = windows.join(F.broadcast(marks) if small else marks, "h").select("doc_id", "item").distinct()
     pairs = materialise(near, "candidates")
