@@ -92,3 +92,18 @@ def test_anchors_cover_a_match_by_words_alone(spark):
     item = " ".join(f"Name{chr(97 + i)} w{chr(97 + i)}" for i in range(20))
     got = found(spark, [item.title(), " ".join(item.lower().split()[4:]), " ".join(item.title().split()[:-7])], [(1, item)])
     assert set(got) == {(0, 1), (1, 1), (2, 1)}
+
+
+def test_words_alone_prove_a_match(spark):
+    item = "we count 12 " + " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(53)) + " and 12 more of these"
+    got = found(spark, [item.replace(" and 12 more", " and 13 more")], [(1, item)])
+    assert set(got) == {(0, 1)} and got[0, 1].similarity == 1
+
+
+def test_a_later_variant_is_looked_at(spark):
+    zoe = ITEM.replace("Anna", "Zoe").replace("12", "40").replace("Bob", "Tim")
+    mia = ITEM.replace("Anna", "Mia").replace("12", "50").replace("Bob", "Kim")
+    partial = " ".join(zoe.split()[:14])  # its other windows are placed in the later variant
+    mixed = " ".join(zoe.split()[:14] + ["with", "nothing"] + mia.split()[14:])
+    got = found(spark, [partial + " and so forth. " + mia + " at last", partial + " and so forth", mixed, LONG + partial + ". " + mia])
+    assert set(got) == {(0, 1), (3, 1)}

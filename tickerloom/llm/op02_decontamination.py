@@ -147,15 +147,65 @@ def places() -> Column:
     return F.filter(at, lambda x: x["p"] > 0)
 
 
+def slots(item: Column, doc: Column) -> Column:
+    """(item, doc) for each placeholder in a run of an item's words: its filler in both texts."""
+    both = F.zip_with(item, doc, lambda a, b: F.struct(a.alias("item"), F.ltrim(b, F.lit("".join(KINDS))).alias("doc")))
+    return F.filter(both, lambda s: F.substring(s["item"], 1, 1).isin(*KINDS))
+
+
+def consistent(fillers: str) -> Column:
+    """Whether each of the item's fillers, in a list of different pairs, stands for one of the document's."""
+    return F.size(fillers) == F.size(F.array_distinct(F.transform(fillers, lambda s: s["item"])))
+
+
+def aligned(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The matches among ``pairs`` (doc_id, item_id, i, d, n_windows) that hold in one region of the document.
+
+    A region is what lies near one offset p - q of places, up to 2 words, a quarter or a half of
+    the item away; each of the item's windows is placed in it as near to the offset as it occurs.
+    """
+    key = ["doc_id", "item_id", "text_key"]
+    pairs = pairs.select("doc_id", "item_id", F.xxhash64("d.words").alias("text_key"), "i", "d", "n_windows").dropDuplicates(key)
+
+    def windows(side: str) -> Column:
+        own = lambda x, k: F.struct(
+            (k + 1).alias("at"), x["wins"].alias("win"), x["raw_wins"].alias("raw"), F.slice(f"{side}.words", k + 1, WINDOW).alias("words")
+        )
+        return F.explode(F.transform(F.arrays_zip(f"{side}.wins", f"{side}.raw_wins"), own))
+
+    asked = pairs.select(*key, "n_windows", F.size("i.words").alias("reach"), windows("i").alias("w"))
+    asked = asked.select(*key, "n_windows", "reach", "w.*", F.explode(F.array_distinct(F.array("w.win", "w.raw"))).alias("h"))
+    there = pairs.select(*key, windows("d").alias("v")).select(*key, "v.*")
+    there = there.select(*key, F.col("at").alias("p"), F.col("words").alias("found"), F.explode(F.array_distinct(F.array("win", "raw"))).alias("h"))
+    hits = asked.join(there, [*key, "h"]).select(
+        *key, "n_windows", "reach", "win", F.col("at").alias("q"), "p", (F.col("p") - F.col("at")).alias("offset"), slots(F.col("words"), F.col("found")).alias("own")
+    )
+    hits = materialise(hits.distinct(), "places")
+    cell = lambda c: F.floor(F.col(c) / F.col("reach"))
+    regions = hits.select(*key, "reach", F.col("offset").alias("centre")).distinct()
+    regions = regions.select(*key, "centre", F.explode(F.array(cell("centre") - 1, cell("centre"), cell("centre") + 1)).alias("cell"))
+    away = F.abs(F.col("offset") - F.col("centre"))
+    widths = F.array_distinct(F.array(F.lit(2), F.floor(F.col("reach") / 4).cast("int"), F.floor(F.col("reach") / 2).cast("int")))
+    near = hits.withColumn("cell", cell("offset")).join(regions, [*key, "cell"]).withColumn("away", away).withColumn("width", F.explode(widths)).where("away <= width")
+    one = near.groupBy(*key, "n_windows", "centre", "width", "q").agg(F.min(F.struct("away", "p", "win", "own")).alias("best"))
+    return (
+        one.groupBy(*key, "n_windows", "centre", "width")
+        .agg(F.size(F.collect_set("best.win")).alias("matched"), F.array_distinct(F.flatten(F.collect_list("best.own"))).alias("fillers"))
+        .withColumn("similarity", F.col("matched") / F.col("n_windows"))
+        .where((F.col("similarity") >= similarity) & consistent("fillers"))
+    )
+
+
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, n_windows, matched, similarity, slots): matches of ``docs`` (doc_id, text)
     with ``items`` (item_id, text).
 
     ``matched`` counts the item's distinct windows whose template, or whose very words, stand in
-    the document; a match has at least ``similarity`` of them, and its fillers are consistent: a
-    number, unit or name of the item stands for one and the same filler wherever it is matched.
-    ``slots`` is how many different fillers were compared. Literal places of a window are
-    preferred to template ones, and of several the first counts.
+    the document; a match has at least ``similarity`` of them. Either that many stand there
+    literally, or its fillers are consistent: a number, unit or name of the item stands for one
+    and the same filler wherever it is matched. ``slots`` is how many different fillers were
+    compared. Literal places of a window are preferred to template ones, and of several the first
+    counts; where these are not consistent, the places of each region are tried (``aligned``).
 
     Null and empty texts have no windows and never match; an item shorter than a window matches
     only a text that is as short. Repeated rows give repeated matches of a document only once. A
@@ -177,35 +227,23 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     close = docs.join(wanted, "doc_id").select("doc_id", "own_items", full_template(F.col("text")).alias("d"))
     close = materialise(close.withColumn("item", F.explode("own_items")).drop("own_items"), "suspect-templates")
     both = materialise(close.join(known, "item").withColumn("at", places()), "alignments")
-    slot = F.flatten(
-        F.transform(
-            "at",
-            lambda x: F.filter(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(WINDOW - 1)),
-                    lambda k: F.struct(
-                        F.get("i.words", x["q"] - 1 + k).alias("item"),
-                        F.ltrim(F.get("d.words", x["p"] - 1 + k), F.lit("".join(KINDS))).alias("doc"),
-                    ),
-                ),
-                lambda s: F.substring(s["item"], 1, 1).isin(*KINDS),
-            ),
-        )
-    )
+    slot = F.flatten(F.transform("at", lambda x: slots(F.slice("i.words", x["q"], WINDOW), F.slice("d.words", x["p"], WINDOW))))
+    share = lambda at: F.size(F.array_distinct(F.transform(at, lambda x: F.get("i.wins", x["q"] - 1))))
     judged = both.select(
-        "doc_id", "item_id",
+        "doc_id", "item_id", "i", "d",
         F.size(F.array_distinct("i.wins")).alias("n_windows"),
-        F.size(F.array_distinct(F.transform("at", lambda x: F.get("i.wins", x["q"] - 1)))).alias("matched"),
+        share(F.col("at")).alias("matched"),
+        share(F.filter("at", lambda x: x["literal"])).alias("verbatim"),
         F.array_distinct(slot).alias("fillers"),
     )
+    judged = judged.withColumn("similarity", F.col("matched") / F.col("n_windows")).where(F.col("similarity") >= similarity)
+    proved = (F.col("verbatim") / F.col("n_windows") >= similarity) | consistent("fillers")
+    judged = materialise(judged.withColumn("proved", proved), "judged")
+    shown = ["doc_id", "item_id", "similarity", "matched", "n_windows", F.size("fillers").alias("slots")]
+    matches = judged.where("proved").select(*shown).unionByName(aligned(judged.where("not proved"), similarity).select(*shown))
     return (
-        judged.withColumn("similarity", F.col("matched") / F.col("n_windows"))
-        .where(F.col("similarity") >= similarity)
-        .where(F.size("fillers") == F.size(F.array_distinct(F.transform("fillers", lambda s: s["item"]))))
-        .groupBy("doc_id", "item_id")
-        .agg(
-            F.max(F.struct("similarity", "matched", "n_windows", F.size("fillers").alias("slots"))).alias("m"),
-        )
+        matches.groupBy("doc_id", "item_id")
+        .agg(F.max(F.struct("similarity", "matched", "n_windows", "slots")).alias("m"))
         .select("doc_id", "item_id", "m.n_windows", "m.matched", "m.similarity", "m.slots")
     )
 
