@@ -57,7 +57,7 @@ def test_forest_loses_no_link(spark, blocks, leaf, cell):
 
 def test_a_large_family_gives_few_edges():
     fps = np.array([1 << i | 1 << j for i in range(64) for j in range(i)], np.uint64)
-    src, dst = h.local_links(fps, 4)
+    src, dst = h.local_links(fps, fps, 4)
     assert len(src) == len(fps) - 1 and len(set(dst.tolist())) == 1
 
 

@@ -3,12 +3,14 @@
 Two fingerprints that differ in at most ``distance`` of 64 bits differ in at most
 ``distance // blocks`` bits of one of ``blocks`` bit blocks. So there is one vantage-point tree
 for each block: it partitions fingerprints by their Hamming distance to vantage points within the
-block. A search ball of that small radius goes to both sides of a node only where the triangle
-bound cannot exclude one, and its fingerprint is then sent to each of these shards. Inside a
-shard whole fingerprints are compared, so the pairs are exact, with no recall to measure.
-
-One tree over all 64 bits (``blocks=1``) is the same code; there distances crowd around 32 and a
-ball of radius 4 straddles most nodes, which is why production uses five blocks of radius 0.
+block. Each fingerprint lives in one shard of each tree. Its search ball, of that small radius,
+goes down both sides of a node where the triangle bound excludes neither, and asks every shard it
+can meet. Inside a shard whole fingerprints are compared, so the pairs are exact, with no recall
+to measure.
+
+Production takes three blocks of 21 or 22 bits and radius 1. One tree over all 64 bits
+(``blocks=1``) is the same code; there distances crowd around 32, so that a ball of radius 4 meets
+most shards.
 """
 
 from __future__ import annotations
@@ -101,7 +103,8 @@ class VPTree:
         return cls(np.uint64(mask), points, radii, depth)
 
     def shards(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for each leaf that a ball of ``radius`` around each fingerprint can meet."""
+        """(row, leaf) for each leaf that a ball of ``radius`` around each fingerprint can meet;
+        with radius 0 the one leaf where each lives."""
         row, node = np.arange(len(fps)), np.zeros(len(fps), np.int64)
         for _ in range(self.depth):
             d = np.bitwise_count((fps[row] ^ self.points[node]) & self.mask).astype(np.int64)
@@ -111,42 +114,46 @@ class VPTree:
         return row, node
 
 
-def local_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, least of its group) that join what is linked inside one shard.
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after nodes a[i] and b[i] are linked: the least node of what is linked so far."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
 
-    Groups are grown from a front of reached fingerprints, so a group of n copies gives n - 1
-    edges, and memory is a slice of the distances, never all pairs.
+def local_links(homes: np.ndarray, asked: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, least of its group) that join all that the pairs of ``homes`` and
+    ``asked`` within ``distance`` bits link.
+
+    A group of n copies gives n - 1 edges, and memory is a slice of the distances, never all pairs.
     """
-    fps = np.unique(fps)
-    lonely = np.ones(len(fps), bool)
-    for i in range(0, len(fps), 256):
-        near = np.bitwise_count(fps[i : i + 256, None] ^ fps[None, :]) <= distance
-        lonely[i : i + 256] = near.sum(axis=1) == 1
-    left = fps[~lonely]
-    src, dst = [], []
-    while len(left):
-        root, front, left = left[0], left[:1], left[1:]
-        while len(front) and len(left):
-            hit = np.zeros(len(left), bool)
-            for i in range(0, len(front), 256):
-                hit |= (np.bitwise_count(front[i : i + 256, None] ^ left[None, :]) <= distance).any(axis=0)
-            front, left = left[hit], left[~hit]
-            src.append(front)
-            dst.append(np.full(len(front), root, np.uint64))
-    none = np.empty(0, np.uint64)
-    return np.concatenate([none, *src]), np.concatenate([none, *dst])
+    nodes = np.unique(np.concatenate((homes, asked)))
+    home, label = np.searchsorted(nodes, homes), np.arange(len(nodes))
+    for i in range(0, len(asked), 256):
+        own = asked[i : i + 256]
+        row, col = np.nonzero(np.bitwise_count(own[:, None] ^ homes[None, :]) <= distance)
+        label = _joined(label, np.searchsorted(nodes, own)[row], home[col])
+    linked = label != np.arange(len(nodes))
+    return nodes[linked], nodes[label[linked]]
 
 
 def near_pairs(
-    fps: DataFrame, distance: int = DISTANCE, blocks: int = 5, leaf: int = 512, cell: int = 1024, sample: int = 8192
+    fps: DataFrame, distance: int = DISTANCE, blocks: int = 3, leaf: int = 512, cell: int = 2048, sample: int = 8192
 ) -> DataFrame:
     """Edges (src, dst) that connect all fingerprints within ``distance`` bits of each other.
 
     ``fps`` has one column fp of distinct signed longs. Trees are fitted on a bounded sample of
     ``sample`` fingerprints, deep enough for ``leaf`` of them in a shard (bounded by 2**14
-    shards a tree). A shard of more than ``cell`` fingerprints, say one that a huge family of
-    near copies fills, is cut into slices, and every pair of slices is a task's cell, so no
-    task holds more than about two slices and no pair is lost.
+    shards a tree). Where more than ``cell`` fingerprints live in a shard or ask it, say those
+    of a huge family of near copies, both sides are cut into slices, and every pair of slices is
+    a task's cell, so no task holds more than about two slices and no pair is lost.
     """
     spark = fps.sparkSession
     n = fps.count()
@@ -161,47 +168,56 @@ def near_pairs(
         for batch in batches:
             own = np.asarray(batch.column("fp"), np.int64)
             for k, tree in enumerate(forest.value):
-                row, node = tree.shards(own.view(np.uint64), radius)
-                yield pa.RecordBatch.from_pydict(
-                    {"tree": np.full(len(row), k, np.int32), "leaf": node, "fp": own[row]}
-                )
+                for asks, reach in ((False, 0), (True, radius)):
+                    row, node = tree.shards(own.view(np.uint64), reach)
+                    yield pa.RecordBatch.from_pydict(
+                        {"tree": np.full(len(row), k, np.int32), "leaf": node, "asks": np.full(len(row), asks), "fp": own[row]}
+                    )
 
-    routed = fps.mapInArrow(route, "tree int, leaf long, fp long")
+    routed = fps.mapInArrow(route, "tree int, leaf long, asks boolean, fp long")
     # at most blocks * 2**14 rows
-    sizes = routed.groupBy("tree", "leaf").count().where(F.col("count") > 1).select(
-        "tree", "leaf", F.ceil(F.col("count") / cell).cast("int").alias("slices")
-    )
-    own_slice = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    slices = lambda asks: F.ceil(F.count_if(F.col("asks") == asks) / cell).cast("int")
+    sizes = routed.groupBy("tree", "leaf").agg(slices(False).alias("homes"), slices(True).alias("askers")).where("homes > 0 and askers > 0")
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("asks"), F.col("askers")).otherwise(F.col("homes"))).cast("int")
     cells = (
         routed.join(F.broadcast(sizes), ["tree", "leaf"])
-        .withColumn("own", own_slice)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .select("tree", "leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("homes")).otherwise(F.col("askers")) - 1)))
+        .select(
+            "tree", "leaf", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("a"),
+            F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("b"), "asks", "fp",
+        )
     )
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        src, dst = local_links(pdf["fp"].to_numpy(np.int64).view(np.uint64), distance)
+        own, asks = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["asks"].to_numpy(bool)
+        src, dst = local_links(own[~asks], own[asks], distance)
         return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
     return cells.groupBy("tree", "leaf", "a", "b").applyInPandas(links, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, blocks: int = 5) -> DataFrame:
+def near_fingerprints(fps: DataFrame, distance: int = DISTANCE, blocks: int = 3) -> DataFrame:
+    """(fp, root) for each distinct fingerprint of ``fps`` (fp): those that links of at most
+    ``distance`` bits join have one root, the least of them as a signed number."""
+    groups = connected_components(near_pairs(fps, distance, blocks))
+    return fps.join(groups, fps["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, blocks: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text).
 
     component_id is the least doc_id reachable over links of at most ``distance`` bits. Copies
     share a fingerprint and meet in a ``min``; only different fingerprints are compared. Null
     and empty texts have fingerprint 0. A null doc_id keeps its row and never names a
-    component unless no other does. Other columns play no part; an empty table gives no rows.
+    component unless no other does. A very long text is hashed whole, its bits counted in steps.
+    Other columns play no part; an empty table gives no rows.
     """
     marked = materialise(fingerprints(docs, shingle), "simhash")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     distinct = materialise(least, "simhash-distinct")
-    groups = connected_components(near_pairs(distinct.select("fp"), distance, blocks))
-    labelled = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
-        "fp", F.coalesce("component", "fp").alias("root"), "least_id"
-    )
-    labelled = materialise(labelled, "simhash-groups")
+    roots = near_fingerprints(distinct.select("fp"), distance, blocks)
+    labelled = materialise(distinct.join(roots, "fp").select("fp", "root", "least_id"), "simhash-groups")
     # written, so that both sides of the join are plain and a huge family's partition can be split
     least_of_group = materialise(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-heads")
     named = labelled.join(least_of_group, "root").select("fp", "component_id")
