@@ -47,13 +47,38 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: The tables that each open ``scratch`` block removes at its end.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within, tables that ``materialise`` writes are removed at the end of the block, but for
+    those it is told to keep; these go with the next block around, if there is one."""
+    own: list[str] = []
+    _OPEN.append(own)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        for path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the planner the true size, so
     that a later join broadcasts only what is under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = fresh_path(df.sparkSession, label)
+    for own in _OPEN[-1 - keep : len(_OPEN) - keep]:
+        own.append(path)
     with tidy_shuffles(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

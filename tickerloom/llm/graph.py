@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 
 
-def connected_components(edges: DataFrame, salts: int = 8, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, salts: int = 8) -> DataFrame:
     """Components of an undirected graph as ``(node, component)``, component = least node.
 
     ``edges`` has columns ``src`` and ``dst`` of one orderable type. Nulls and self loops are
@@ -18,27 +18,24 @@ def connected_components(edges: DataFrame, salts: int = 8, max_rounds: int = 60)
     Alternates the large-star and small-star steps of Kiveris et al. (2014): every step is a
     ``min`` with map-side combine, then one equi-join of the edges with those minima. A hub
     would send its whole star to one join task, so the edges carry ``salts`` salts and the
-    minima are repeated once for each. Each round's edges are written to the shared folder;
-    the driver sees two numbers a round.
+    minima are repeated once for each. Rounds go on until one changes nothing; their number grows
+    with the logarithm of the longest chain. Each round's edges are written to the shared folder,
+    and removed once the last are; the driver sees two numbers a round.
     """
+    spark = edges.sparkSession
     pairs = edges.where("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     )
-    current = materialise(pairs.distinct(), "cc")
-    before = _mark(current)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
-        current = materialise(_small_star(_large_star(current, salts), salts), "cc")
-        after = _mark(current)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    hubs = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return members.unionByName(hubs)
+    with scratch(spark):
+        current = materialise(pairs.distinct(), "cc")
+        before, after = None, _mark(current)
+        while after[0] and after != before:
+            before = after
+            current = materialise(_small_star(_large_star(current, salts), salts), "cc")
+            after = _mark(current)
+        members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        hubs = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return materialise(members.unionByName(hubs), "components", keep=True)
 
 
 def _mark(df: DataFrame) -> tuple:

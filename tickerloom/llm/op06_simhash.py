@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, table
+from .common import map_arrow, materialise, scratch, table
 from .graph import connected_components
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -213,14 +213,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     component unless no other does. A very long text is hashed whole, its bits counted in steps.
     Other columns play no part; an empty table gives no rows.
     """
-    marked = materialise(fingerprints(docs, shingle), "simhash")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    distinct = materialise(least, "simhash-distinct")
-    roots = near_fingerprints(distinct.select("fp"), distance, blocks)
-    labelled = materialise(distinct.join(roots, "fp").select("fp", "root", "least_id"), "simhash-groups")
-    # written, so that both sides of the join are plain and a huge family's partition can be split
-    least_of_group = materialise(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-heads")
-    named = labelled.join(least_of_group, "root").select("fp", "component_id")
+    with scratch(docs.sparkSession):
+        marked = materialise(fingerprints(docs, shingle), "simhash", keep=True)
+        least = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+        distinct = materialise(least, "simhash-distinct")
+        roots = near_fingerprints(distinct.select("fp"), distance, blocks)
+        labelled = materialise(distinct.join(roots, "fp").select("fp", "root", "least_id"), "simhash-groups")
+        # written, so that both sides of the join are plain and a huge family's partition can be split
+        least_of_group = materialise(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-heads")
+        named = materialise(labelled.join(least_of_group, "root").select("fp", "component_id"), "simhash-components", keep=True)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
