@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, scratch, table
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Windows that may be broadcast: at 16 bytes each, 32 MB. More are joined by shuffling.
@@ -48,10 +48,8 @@ _NAME = (
 )
 _NUMBER = r"(?<![\p{L}\p{N}])[0-9]+"
 _UNIT = rf"(?i)({NUMBER}[0-9]+[ -]{{1,3}})({'|'.join(sorted(map(re.escape, UNITS), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
-_BLANK = (
-    r"[\x00-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u2000-\u206F\u20A0-\u20CF\u2190-\u245F\u2500-\u2BFF"
-    r"\u2E00-\u2E7F\u3000-\u3004\u3008-\u301F\uFEFF\uFF01-\uFF0F\uFF1A-\uFF20]+"
-)
+#: What parts words: anything but letters, the marks on them, digits and our own marks.
+_BLANK = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{NAME}]+"
 
 
 def template_words(text: Column, fillers: bool) -> Column:
@@ -63,7 +61,9 @@ def template_words(text: Column, fillers: bool) -> Column:
     text in capitals has no names. A null text has no words.
     """
     kept = "$0" if fillers else ""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{NAME}]", " ")
+    text = F.coalesce(text, F.lit(""))
+    marked = text.contains(NUMBER) | text.contains(UNIT) | text.contains(NAME)  # a byte search, and seldom true
+    clean = F.when(marked, F.regexp_replace(text, f"[{NUMBER}-{NAME}]", " ")).otherwise(text)
     named = F.regexp_replace(clean, _NAME, f"{NAME}{kept}")
     joined = F.regexp_replace(named, "(?<=[0-9])[.,:/](?=[0-9])", "")
     numbered = F.regexp_replace(joined, _NUMBER, f"{NUMBER}$0 ")
@@ -211,41 +211,39 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     only a text that is as short. Repeated rows give repeated matches of a document only once. A
     row without doc_id or item_id cannot be named and is left out. Other columns play no part.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    asked = items.select("item_id", "text").where("item_id is not null").distinct()
-    known = materialise(
-        asked.select("item_id", full_template(F.col("text")).alias("i")).select(F.xxhash64("item_id", "i.words").alias("item"), "item_id", "i"),
-        "benchmark",
-    ).where("size(i.wins) > 0")
-    marks = materialise(anchors(known.select("item", "i.wins", "i.raw_wins"), similarity), "anchors")
-    windows = docs.select("doc_id", F.explode(both_windows(template_words(F.col("text"), True))).alias("h"))
-    small = marks.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    near = windows.join(F.broadcast(marks) if small else marks, "h").select("doc_id", "item").distinct()
-    pairs = materialise(near, "candidates")
-    # texts are read again for candidates only, once however many items they may hold
-    wanted = materialise(pairs.groupBy("doc_id").agg(F.collect_set("item").alias("own_items")), "suspects")
-    close = docs.join(wanted, "doc_id").select("doc_id", "own_items", full_template(F.col("text")).alias("d"))
-    close = materialise(close.withColumn("item", F.explode("own_items")).drop("own_items"), "suspect-templates")
-    both = materialise(close.join(known, "item").withColumn("at", places()), "alignments")
-    slot = F.flatten(F.transform("at", lambda x: slots(F.slice("i.words", x["q"], WINDOW), F.slice("d.words", x["p"], WINDOW))))
-    share = lambda at: F.size(F.array_distinct(F.transform(at, lambda x: F.get("i.wins", x["q"] - 1))))
-    judged = both.select(
-        "doc_id", "item_id", "i", "d",
-        F.size(F.array_distinct("i.wins")).alias("n_windows"),
-        share(F.col("at")).alias("matched"),
-        share(F.filter("at", lambda x: x["literal"])).alias("verbatim"),
-        F.array_distinct(slot).alias("fillers"),
-    )
-    judged = judged.withColumn("similarity", F.col("matched") / F.col("n_windows")).where(F.col("similarity") >= similarity)
-    proved = (F.col("verbatim") / F.col("n_windows") >= similarity) | consistent("fillers")
-    judged = materialise(judged.withColumn("proved", proved), "judged")
-    shown = ["doc_id", "item_id", "similarity", "matched", "n_windows", F.size("fillers").alias("slots")]
-    matches = judged.where("proved").select(*shown).unionByName(aligned(judged.where("not proved"), similarity).select(*shown))
-    return (
-        matches.groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("similarity", "matched", "n_windows", "slots")).alias("m"))
-        .select("doc_id", "item_id", "m.n_windows", "m.matched", "m.similarity", "m.slots")
-    )
+    with scratch(docs.sparkSession):
+        docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+        asked = items.select("item_id", "text").where("item_id is not null").distinct()
+        known = materialise(
+            asked.select("item_id", full_template(F.col("text")).alias("i")).select(F.xxhash64("item_id", "i.words").alias("item"), "item_id", "i"),
+            "benchmark",
+        ).where("size(i.wins) > 0")
+        marks = materialise(anchors(known.select("item", "i.wins", "i.raw_wins"), similarity), "anchors")
+        windows = docs.select("doc_id", F.explode(both_windows(template_words(F.col("text"), True))).alias("h"))
+        small = marks.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+        near = windows.join(F.broadcast(marks) if small else marks, "h").select("doc_id", "item").distinct()
+        pairs = materialise(near, "candidates")
+        # texts are read again for candidates only, once however many items they may hold
+        wanted = materialise(pairs.groupBy("doc_id").agg(F.collect_set("item").alias("own_items")), "suspects")
+        close = docs.join(wanted, "doc_id").select("doc_id", "own_items", full_template(F.col("text")).alias("d"))
+        close = materialise(close.withColumn("item", F.explode("own_items")).drop("own_items"), "suspect-templates")
+        both = materialise(close.join(known, "item").withColumn("at", places()), "alignments")
+        slot = F.flatten(F.transform("at", lambda x: slots(F.slice("i.words", x["q"], WINDOW), F.slice("d.words", x["p"], WINDOW))))
+        share = lambda at: F.size(F.array_distinct(F.transform(at, lambda x: F.get("i.wins", x["q"] - 1))))
+        judged = both.select(
+            "doc_id", "item_id", "i", "d",
+            F.size(F.array_distinct("i.wins")).alias("n_windows"),
+            share(F.col("at")).alias("matched"),
+            share(F.filter("at", lambda x: x["literal"])).alias("verbatim"),
+            F.array_distinct(slot).alias("fillers"),
+        )
+        judged = judged.withColumn("similarity", F.col("matched") / F.col("n_windows")).where(F.col("similarity") >= similarity)
+        proved = (F.col("verbatim") / F.col("n_windows") >= similarity) | consistent("fillers")
+        judged = materialise(judged.withColumn("proved", proved), "judged")
+        shown = ["doc_id", "item_id", "similarity", "matched", "n_windows", F.size("fillers").alias("slots")]
+        matches = judged.where("proved").select(*shown).unionByName(aligned(judged.where("not proved"), similarity).select(*shown))
+        best = matches.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "matched", "n_windows", "slots")).alias("m"))
+        return materialise(best.select("doc_id", "item_id", "m.n_windows", "m.matched", "m.similarity", "m.slots"), "matches", keep=True)
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
