@@ -56,25 +56,54 @@ def user_articles(links: DataFrame, user_stock: DataFrame) -> DataFrame:
     return links.join(user_stock, "stock_id").select("user_id", "article_id").distinct()
 
 
-def user_newest(links: DataFrame, articles: DataFrame, user_stock: DataFrame, k: int) -> DataFrame:
+def stock_newest(links: DataFrame, articles: DataFrame, k: int) -> DataFrame:
+    """(stock_id, article_id, published_at, place): the newest ``k`` articles of each stock."""
+    return top_k_per_group(
+        links.join(articles.select("article_id", "published_at"), "article_id"),
+        ["stock_id"], [F.desc("published_at"), F.asc("article_id")], k, "place",
+    ).select("stock_id", "article_id", "published_at", "place")
+
+
+def user_floors(newest: DataFrame, user_stock: DataFrame, k: int, spare: float = 2.0) -> DataFrame:
+    """(user_id, floor): a date since which the user's stocks have ``spare * k`` articles, roughly.
+
+    The mean date of the article at place spare * k / m of each of the user's m stocks. Null, that
+    is no floor, for a user whose stocks have too few articles for it to spare anything. Any floor
+    gives right results; it decides only how much is looked at.
+    """
+    own = user_stock.groupBy("user_id").agg(F.count(F.lit(1)).alias("m"))
+    held = newest.groupBy("stock_id").agg(F.count(F.lit(1)).alias("held"))
+    asked = user_stock.join(own, "user_id").join(held, "stock_id").withColumn("place", F.least(F.ceil(F.lit(spare * k) / F.col("m")).cast("int"), "held"))
+    at = asked.join(newest.select("stock_id", "place", "published_at"), ["stock_id", "place"])
+    mean = F.timestamp_micros(F.avg(F.unix_micros(F.col("published_at").cast("timestamp"))).cast("long"))
+    floors = at.groupBy("user_id").agg(mean.alias("floor"), F.sum("held").alias("all_held"))
+    return floors.select("user_id", F.when(F.col("all_held") > 2 * spare * k, F.col("floor")).alias("floor"))
+
+
+def user_newest(links: DataFrame, articles: DataFrame, user_stock: DataFrame, k: int, spare: float = 2.0) -> DataFrame:
     """The newest ``k`` articles of each user's stocks: (user_id, article_id, published_at, rank).
 
     A user's newest k are among the newest k of each of the user's stocks, so stocks are cut
-    first. Users times articles are never joined.
+    first. Of these only articles since the user's floor are taken. A user who has k of them has
+    the true newest k; the few who have not are looked at again without a floor.
     """
-    cut = top_k_per_group(
-        links.join(articles.select("article_id", "published_at"), "article_id"),
-        ["stock_id"], [F.desc("published_at"), F.asc("article_id")], k, "__r",
-    ).drop("__r")
+    newest = stock_newest(links, articles, k)
     # an article that comes by several stocks has one dense rank, so it is told apart after the
     # cut: rows are pruned before the only shuffle by user
     order = W.partitionBy("user_id").orderBy(F.desc("published_at"), F.asc("article_id"))
-    return (
-        cut.join(user_stock, "stock_id")
-        .select("user_id", "article_id", "published_at", F.dense_rank().over(order).alias("rank"))
-        .where(F.col("rank") <= k)
-        .distinct()
-    )
+
+    def ranked(follows: DataFrame, floored: bool) -> DataFrame:
+        pairs = newest.join(follows, "stock_id")
+        pairs = pairs.where(F.col("floor").isNull() | (F.col("published_at") >= F.col("floor"))) if floored else pairs
+        kept = pairs.select("user_id", "article_id", "published_at", F.dense_rank().over(order).alias("rank"))
+        return kept.where(F.col("rank") <= k).distinct()
+
+    floors = user_floors(newest, user_stock, k, spare)
+    first = ranked(user_stock.join(floors, "user_id"), True)
+    reached = first.groupBy("user_id").agg(F.max("rank").alias("reached")).where(F.col("reached") == k).select("user_id")
+    short = floors.where("floor is not null").select("user_id").join(reached, "user_id", "left_anti")
+    again = ranked(user_stock.join(short, "user_id", "left_semi"), False)
+    return first.join(short, "user_id", "left_anti").unionByName(again)
 
 
 def global_newest(articles: DataFrame, k: int) -> DataFrame:
@@ -94,6 +123,11 @@ def scoped_newest(users: DataFrame, scoped_users: DataFrame, links: DataFrame, a
     return own.unionByName(shared)
 
 
+def showable(links: DataFrame, articles: DataFrame, k: int) -> DataFrame:
+    """Ids of all articles that can be on a page of ``k``: the newest of a stock, or of all."""
+    return stock_newest(links, articles, k).select("article_id").unionByName(global_newest(articles, k).select("article_id")).distinct()
+
+
 def users_with_articles(links: DataFrame, user_stock: DataFrame) -> DataFrame:
     """Users with at least one article in scope, found stock by stock."""
     return user_stock.join(links.select("stock_id").distinct(), "stock_id", "left_semi").select("user_id").distinct()
@@ -107,9 +141,17 @@ def articles_24h(users: DataFrame, links: DataFrame, articles: DataFrame, user_s
     """(user_id, articles_24h): articles of the last day in scope.
 
     Users whose stocks have articles count those, the others count all; that is one number.
+    Articles of one stock are counted by stock; only those of several meet users one by one, as
+    a user may follow two of the stocks.
     """
     recent = in_window(articles.select("article_id", "published_at"), "published_at", as_of, "24h").select("article_id")
-    own = user_articles(links.join(recent, "article_id", "left_semi"), user_stock).groupBy("user_id").agg(F.count(F.lit(1)).alias("own"))
+    near = links.join(recent, "article_id", "left_semi")
+    several = near.groupBy("article_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("article_id")
+    single = near.join(several, "article_id", "left_anti").groupBy("stock_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = user_stock.join(single, "stock_id").select("user_id", "n").unionByName(
+        user_articles(near.join(several, "article_id", "left_semi"), user_stock).select("user_id", F.lit(1).cast("long").alias("n"))
+    )
+    own = parts.groupBy("user_id").agg(F.sum("n").alias("own"))
     scoped = users_with_articles(links, user_stock).withColumn("scoped", F.lit(True))
     everything = recent.agg(F.count(F.lit(1)).alias("everything"))
     return (

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.mood import indicator, mood_bucket, mood_label
-from ..functions.time import WINDOWS, as_of_like, in_window, month_day, relative_age, status_label
+from ..functions.time import as_of_like, in_window, month_day, relative_age, status_label
 from ..operators import rank, scope
 from ..sources.seed import MARKET_ICONS, OTHER_ICON
 
@@ -78,7 +78,8 @@ def overview_headlines(t: Tables, as_of: datetime, k: int = 5, tickers: int = 3)
     rows = scope.scoped_newest(t.users, scoped, t.article_stock, t.article, t.user_stock, k)
     now = as_of_like(t.article, "published_at", as_of)
     shown = rows.join(t.article.select("article_id", "headline"), "article_id")
-    return shown.join(scope.article_facts(t.article_stock, t.stock), "article_id", "left").select(
+    facts = scope.article_facts(t.article_stock, t.stock, only=scope.showable(t.article_stock, t.article, k))
+    return shown.join(facts, "article_id", "left").select(
         "user_id", "rank", "article_id", "headline",
         F.array_join(F.slice(F.coalesce("tickers", F.array().cast("array<string>")), 1, tickers), ",").alias("tickers"),
         relative_age(F.col("published_at"), now).alias("age"),
@@ -103,8 +104,7 @@ def news_feed(
         rows = t.users.select("user_id").crossJoin(F.broadcast(scope.global_newest(articles, fetch)))
     else:
         rows = scope.scoped_newest(t.users, scope.users_with_watchlist(t.user_stock), t.article_stock, articles, t.user_stock, fetch)
-    narrowed = articles if query or ticker or window in WINDOWS else None
-    facts = scope.article_facts(t.article_stock, t.stock, t.latest, narrowed)
+    facts = scope.article_facts(t.article_stock, t.stock, t.latest, scope.showable(t.article_stock, articles, fetch))
     rows = rows.join(facts, "article_id", "left").withColumn("bucket", mood_bucket(F.col("score")))
     if mood:
         rows = rows.where(F.col("bucket") == mood)
