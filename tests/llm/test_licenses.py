@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -63,3 +64,46 @@ def test_awkward_rows(spark):
     assert len(rows) == 10 and {r.doc_id: r.n_words for r in rows}[6] == 60_000
     assert {r.doc_id: r.n_words for r in rows}[1] == 0
     assert lic.scan_licenses(frame(spark).limit(0)).count() == 0
+
+
+def filled(label, drop=None, holder="the example project and its friends"):
+    """A text that a template describes: optional parts out, places filled, a comma here and there."""
+    source = lic.TEMPLATES[label]
+    while "[[" in source:
+        source = re.sub(r"\[\[[^\[\]]*\]\]", " ", source)
+    words = re.sub(r"\{\{\w+:(\d+)-(\d+)\}\}", lambda m: " ".join(holder.split()[: int(m[2])]), source).split()
+    return ", ".join(" ".join(w) for w in (words[:7], [w for i, w in enumerate(words[7:]) if i != drop])).capitalize()
+
+
+@pytest.mark.parametrize("label", [n for n in lic.TEMPLATES if n.endswith(("-text", "-clause", "-terms"))])
+def test_whole_licenses_match_exactly(spark, label):
+    whole = "Copyright 2020 A. " + filled(label) + ". More text"
+    n = len(lic.words_of(filled(label)))
+    cut = filled(label).rsplit(" ", 1)[0] if not label.startswith("gpl") else filled(label).split("version")[0]
+    rows = [(1, whole, None, None), (2, filled(label, drop=5), None, None), (3, cut, None, None)]
+    got = {r.doc_id: [(t.label, t.first, t.end) for t in r.templates] for r in lic.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {1: [(label, 3, 3 + n)], 2: [], 3: []}
+
+
+def test_spans_match_regular_expressions():
+    """Leftmost longest spans over random words, by trying every end with a regular expression."""
+    rnd = random.Random(3)
+    templates = {"x": "a [[ b ]] {{n:0-2}} c", "y": "b [[ a [[ c ]] ]] b", "z": "c {{n:1-3}} a [[ a ]]"}
+    frozen = tuple(sorted(templates.items()))
+
+    def regex(source):
+        out = re.sub(r"\{\{\w+:(\d+)-(\d+)\}\}", r"(?:\\w+ ){\1,\2}", source.replace("[[ ", "(?:").replace(" ]]", ")?"))
+        return re.compile(re.sub(r"\b([abc])\b ?(?![,}])", r"\1 ", out).replace("}) ", "})").replace("} ", "}").replace(")? ", ")?").replace(")(", ")("))
+
+    for _ in range(300):
+        words = [rnd.choice(["a", "b", "c", "d"]) for _ in range(rnd.randrange(14))]
+        want = []
+        for label, source in frozen:
+            i, r = 0, regex(source)
+            while i < len(words):
+                ends = [e for e in range(i + 1, len(words) + 1) if r.fullmatch(" ".join(words[i:e]) + " ")]
+                if ends:
+                    want.append((label, i, max(ends)))
+                i = max([i + 1, *ends])
+        raw = [w.encode() for w in words]
+        assert lic.template_matches(raw, b" ".join(raw), frozen) == want

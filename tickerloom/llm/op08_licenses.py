@@ -20,15 +20,58 @@ from .common import map_arrow, table
 #: Phrases and labels of the base.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Wording of public licenses and of their usual notices.
+#: Wording of public licenses and of their usual notices, whole.
+_BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[ {{mark:1-1}} ]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[ {{mark:1-1}} ]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = (
+    "[[ {{mark:1-1}} ]] neither the name of {{holder:1-12}} nor the names of [[ its ]] contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission "
+)
+_BSD_END = (
+    "this software is provided by {{holders:1-12}} as is and any express or implied warranties including but not limited to the implied warranties "
+    "of merchantability and fitness for a particular purpose are disclaimed in no event shall {{holders:1-12}} be liable for any direct indirect "
+    "incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data "
+    "or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+    "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
 TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license version 2 0 [[ the license you may not use this file except in compliance with the license ]]",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by-nc-4.0-notice": "licensed under [[ a ]] cc by nc 4 0",
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2 0 [[ the license [[ you may not use this file except in compliance with the license "
+        "[[ you may obtain a copy of the license at {{url:1-8}} unless required by applicable law or agreed to in writing software distributed under "
+        "the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the "
+        "specific language governing permissions and limitations under the license ]] ]] ]]"
+    ),
+    "bsd-2-clause": _BSD_START + _BSD_END,
+    "bsd-3-clause": _BSD_START + _BSD_NAMES + _BSD_END,
+    "cc-by-nc-4.0-notice": "licensed under [[ a ]] [[ the ]] [[ creative commons attribution noncommercial ]] [[ cc by nc ]] 4 0 [[ international ]] [[ license ]]",
     "gpl-notice": "[[ this {{what:1-3}} is ]] licensed under the gnu general public license [[ as published by the free software foundation ]] [[ either ]] version {{version:1-2}} [[ of the license or at your option any later version ]]",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "gpl-terms": (
+        "this {{what:1-3}} is free software you can redistribute it and or modify it under the terms of the gnu [[ lesser ]] [[ affero ]] general public "
+        "license as published by the free software foundation [[ either ]] version {{version:1-2}} [[ of the license ]] [[ or at your option any later version ]] "
+        "[[ this {{what:1-3}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu [[ lesser ]] [[ affero ]] general public license for more details ]]"
+    ),
+    "isc-text": (
+        "permission to use copy modify and [[ or ]] distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and {{author:1-8}} disclaims all warranties with "
+        "regard to this software including all implied warranties of merchantability and fitness in no event shall {{author:1-8}} be liable for any special "
+        "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ),
     "mit-notice": "[[ released ]] [[ licensed ]] under [[ the terms of ]] the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction [[ including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software ]]",
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal "
+        "in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
+        "of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and "
+        "this permission notice [[ including the next paragraph ]] shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular "
+        "purpose and noninfringement in no event shall {{holders:1-8}} be liable for any claim damages or other liability whether in an action of contract tort "
+        "or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ),
 }
 
 _WORD = bytes(
@@ -179,8 +222,10 @@ SCHEMA = (
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """Phrase places and accepted template spans of each row of ``docs`` (doc_id, text).
 
-    Places are word numbers from 0. A null or empty text has no words and no finds. Repeated
-    rows are scanned one by one; other columns play no part. One pass without a shuffle.
+    Places are word numbers from 0. A null or empty text has no words and no finds; a very long
+    text is scanned whole; of matches that start at one word the longest counts. Repeated rows are
+    scanned one by one; an empty table gives no rows; other columns play no part. One pass without
+    a shuffle.
     """
     frozen = tuple(sorted(templates.items()))
 
