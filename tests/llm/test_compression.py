@@ -1,5 +1,6 @@
 import collections
 
+import zstandard
 from helpers import LONG, documents, frame
 from hypothesis import given
 from hypothesis import strategies as st
@@ -61,3 +62,36 @@ def test_awkward_rows(spark):
     by = {r.doc_id: r for r in rows}
     assert by[1].verdict == by[2].verdict == "empty" and by[1].n_words == by[3].n_words == 0
     assert c.compression_quality(frame(spark).limit(0)).count() == 0
+
+
+def test_ratios_and_bands_match_plain(spark, sf):
+    def plain_verdict(text, b=c.Bands()):
+        raw = text.encode()
+        z = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+        if not raw:
+            return "empty"
+        for shorter, low, high in b.document:
+            if len(raw) < shorter:
+                break
+        if not low <= z(raw) <= high:
+            return "repetitive" if z(raw) > high else "incompressible"
+        bad = 0
+        for i in range(0, len(raw) if len(raw) > 2048 else 0, 2048):
+            part = raw[i : i + 2048]
+            shorter, low, high = next(x for x in b.chunk if len(part) < x[0])
+            bad += len(part) * (not low <= z(part) <= high)
+        return "chunks" if bad > len(raw) / 2 else "ok"
+
+    docs = documents(sf)
+    got = {r.doc_id: r.verdict for r in c.op4_compression_bands(spark, sf).collect()}
+    assert got == {d: plain_verdict(t or "") for d, t in zip(docs.doc_id, docs.text, strict=True)}
+
+
+def test_the_tail_is_judged():
+    import random
+
+    rnd, pack = random.Random(1), zstandard.ZstdCompressor(level=3)
+    prose = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"]) + str(rnd.randrange(99)) for _ in range(400))[:2048].encode()
+    sizes = [n for n, _ in c.chunk_ratios(prose + b"x" * 900, c.Bands(), pack)]
+    assert sizes == [2048, 900] and c.judge(prose + b"x" * 900, c.Bands(), pack)[1] == 900 / 2948
+    assert c.chunk_ratios(prose, c.Bands(), pack) == []

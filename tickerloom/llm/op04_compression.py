@@ -25,9 +25,10 @@ class Bands:
     """Lowest and highest ratio (bytes over compressed bytes) by length in bytes.
 
     ``document`` and ``chunk`` are lists of (shorter than, lowest, highest), the last without a
-    length limit. A document fails when its own ratio leaves its band, or when more than
-    ``bad_share`` of its chunks do. Chunks have ``chunk_bytes`` bytes; the rest at the end is a
-    chunk if it is at least half as long.
+    length limit. A document fails when its own ratio leaves its band, or when chunks that leave
+    theirs hold more than ``bad_share`` of its bytes. Chunks have ``chunk_bytes`` bytes; the rest
+    at the end is a shorter chunk with a band of its own, so every byte is in one. A document no
+    longer than a chunk is judged as a document only.
     """
 
     document: tuple[tuple[float, float, float], ...] = (
@@ -37,7 +38,12 @@ class Bands:
         (8_000, 1.4, 4.2),
         (float("inf"), 1.5, 5.0),
     )
-    chunk: tuple[tuple[float, float, float], ...] = ((1_024, 1.0, 3.6), (float("inf"), 1.2, 4.0))
+    chunk: tuple[tuple[float, float, float], ...] = (
+        (64, 0.3, 3.0),
+        (256, 0.5, 3.2),
+        (1_024, 0.9, 3.6),
+        (float("inf"), 1.2, 4.0),
+    )
     chunk_bytes: int = 2_048
     bad_share: float = 0.5
     level: int = 3
@@ -49,19 +55,20 @@ def _limits(bands: tuple[tuple[float, float, float], ...], n: int) -> tuple[floa
 
 def chunk_ratios(raw: bytes, bands: Bands, pack: zstandard.ZstdCompressor) -> list[tuple[int, float]]:
     size = bands.chunk_bytes
+    if len(raw) <= size:
+        return []
     cuts = [raw[i : i + size] for i in range(0, len(raw), size)]
-    return [(len(c), len(c) / len(pack.compress(c))) for c in cuts if len(c) * 2 >= size]
+    return [(len(c), len(c) / len(pack.compress(c))) for c in cuts]
 
 
 def judge(raw: bytes, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple[float, float, str]:
-    """(ratio, share of chunks outside their band, verdict); empty bytes have ratio 0."""
+    """(ratio, share of bytes in chunks outside their band, verdict); empty bytes have ratio 0."""
     if not raw:
         return 0.0, 0.0, "empty"
     ratio = len(raw) / len(pack.compress(raw))
     low, high = _limits(bands.document, len(raw))
     parts = chunk_ratios(raw, bands, pack)
-    out = sum(not a <= r <= b for n, r in parts for a, b in [_limits(bands.chunk, n)])
-    share = out / len(parts) if parts else 0.0
+    share = sum(n for n, r in parts for a, b in [_limits(bands.chunk, n)] if not a <= r <= b) / len(raw)
     if ratio > high:
         return ratio, share, "repetitive"
     if ratio < low:
@@ -115,7 +122,7 @@ def compression_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): base counts, ratios and a verdict.
 
     A null text is an empty text: all counts 0, verdict ``empty``. Repeated rows are judged one
-    by one; other columns are ignored. One pass, no shuffle; a task holds one Arrow batch.
+    by one; an empty table gives no rows; other columns are ignored. One pass, no shuffle; a task holds one Arrow batch.
     """
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
