@@ -1,8 +1,10 @@
 import collections
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
+import xxhash
 from helpers import documents, frame, words
 from pyspark.sql import functions as F
 
@@ -81,6 +83,31 @@ def test_nothing_to_learn_from(spark):
     assert empty.count() == 0
 
 
+def test_discounts_are_good_turing():
+    """Against r* = (r + 1) n[r + 1] / n[r], renormalised so that counts over k keep theirs."""
+    n, K = [1000, 350, 170, 100, 65, 48], 5
+    got = k.discounts(np.array(n), K)
+    top = Fraction((K + 1) * n[K], n[0])
+    for r in range(1, K + 1):
+        star = Fraction((r + 1) * n[r], n[r - 1])
+        assert math.isclose(got[r - 1], (star / r - top) / (1 - top), rel_tol=1e-12)
+    # what all discounts free is the mass of what was seen once
+    assert math.isclose(sum((1 - got[r - 1]) * r * n[r - 1] for r in range(1, K + 1)), n[0], rel_tol=1e-12)
+
+
+def test_tables_are_rows(spark):
+    texts = [(1, "a b a b", True), (2, "b a", True), (3, "zz", False)]
+    _, model = k.score_texts(spark.createDataFrame(texts, "doc_id long, text string, train boolean"), "train")
+    word = {r.hash: r for r in model.rows(spark, "unigram").collect()}
+    key = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64))
+    assert {w: word[key(w)]["count"] for w in (b"a", b"b", k.END)} == {b"a": 3, b"b": 3, k.END: 2} and len(word) == 3
+    ids = {r.word: w for w in (b"a", b"b", k.END) for r in [word[key(w)]]} | {0: None}
+    pairs = {(ids[r.context], ids[r.word]): r["count"] for r in model.rows(spark, "bigram").collect()}
+    assert pairs == {(None, b"a"): 1, (None, b"b"): 1, (b"a", b"b"): 2, (b"b", b"a"): 2, (b"b", k.END): 1, (b"a", k.END): 1}
+    contexts = {ids[r.context]: r["count"] for r in model.rows(spark, "backoff").collect()}
+    assert contexts == {None: 2, b"a": 3, b"b": 3}
+
+
 def test_blocks_round_trip():
     arrays = [np.arange(5, dtype=np.int64), np.array([], np.int32), np.array([-1, 2 ** 40]), np.array([0.5, -2.0]), np.array([True, False])]
     for a, b in zip(arrays, k.unpack(k.pack(*arrays)), strict=True):

@@ -111,3 +111,14 @@ def test_awkward_rows(spark, reference):
     spans = {(r.sequence_id, r.offset) for r in rows}
     assert len(spans) == len(rows)
     assert p.pack(materialise(p.pieces(frame(spark).limit(0)), "pieces")).count() == 0
+
+
+def test_equal_rows_are_ranked_in_slices(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select(F.lit(1).alias("doc_id"), F.lit(0).alias("piece"), F.lit(9).alias("length"), F.lit(5).alias("ids_crc32"))
+    rows = rows.unionByName(rows.limit(7).withColumn("length", F.lit(3)))
+    got = p.with_rank(rows, "length", ["doc_id", "piece", "ids_crc32"], {9: 500, 3: 7}, most=40)
+    assert got.columns == [*rows.columns, "rank"]
+    for n, count in ((9, 500), (3, 7)):
+        assert sorted(r["rank"] for r in got.where(F.col("length") == n).collect()) == list(range(count))

@@ -72,3 +72,19 @@ def test_revisions_are_versions(spark, tmp_path):
 def test_awkward_rows(spark):
     assert s.scan_secrets(frame(spark), "doc_id", "text").count() == 10
     assert s.scan_secrets(frame(spark).limit(0), "doc_id", "text").count() == 0
+
+
+def test_equal_rows_are_scanned_once(spark, tmp_path):
+    book = s.BlobLedger(spark, f"file://{tmp_path}/ledger")
+    rows = s.blob_versions(frame(spark, [(1, "token=abcdefgh", None, None)] * 1000 + [(2, "token=abcdefgh", None, None)]), "doc_id", "text")
+    assert book.update(rows) == 1 and spark.read.parquet(book.path).count() == 1
+    got = book.findings(rows).collect()
+    assert len(got) == 1001 and all([(f.kind, f.start, f.end) for f in r.findings] == [("assign", 0, 14)] for r in got)
+
+
+def test_kinds_of_the_method(spark):
+    jwt, bearer = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10, "Bearer " + "x" * 20 + "=="
+    texts = {1: f"é {jwt} {bearer}.", 2: jwt[:-5] + " Bearer short", 3: "-----BEGIN PRIVATE KEY-----\nMIIB\n-----END PRIVATE KEY----- tail", 4: "-----BEGIN EC PRIVATE KEY-----\ncut off"}
+    got = {r.path: [(f.kind, f.start, f.end) for f in r.findings] for r in s.scan_secrets(frame(spark, [(i, t, None, None) for i, t in texts.items()]), "doc_id", "text").collect()}
+    at = texts[1].index("Bearer")
+    assert got == {1: [("jwt", 2, 2 + len(jwt)), ("bearer", at, at + len(bearer))], 2: [], 3: [("pem", 0, len(texts[3]) - 5)], 4: [("pem", 0, len(texts[4]))]}

@@ -14,6 +14,7 @@ Nothing is capped, pruned or sampled: unigram, bigram and context tables grow wi
 
 from __future__ import annotations
 
+import math
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, fresh_path, table, tidy_shuffles
+from .common import crc_bucket, fresh_path, remove, table, tidy_shuffles
 
 #: A word that no text can hold stands for the end of a text.
 END = b"\n"
@@ -39,13 +40,17 @@ UNKNOWN_GID = -1
 
 @dataclass(frozen=True)
 class Settings:
-    """``chunk_bytes`` of text are worked at a time; counts over ``k`` are not discounted; the
-    pair grid has ``columns`` columns; ``buckets`` is taken from the session's shuffle
-    partitions if 0."""
+    """``chunk_bytes`` of text are worked at a time; counts over ``k`` are not discounted.
+
+    Words fall into ``buckets`` and pairs into as many grid cells in ``columns`` columns. If 0,
+    there is a bucket for every ``bucket_bytes`` of text, but no fewer than the session's shuffle
+    partitions, so what one group holds does not grow with the corpus, and the grid is square, so
+    a frequent context is spread wider the larger the corpus is."""
 
     chunk_bytes: int = 8 << 20
     k: int = 5
-    columns: int = 4
+    bucket_bytes: int = 4 << 20
+    columns: int = 0
     buckets: int = 0
 
 
@@ -283,7 +288,9 @@ class ChunkPairs:
         v, word = context[keys // (n + 1)], keys % (n + 1)
         w = gid[word]
         rows = max(1, buckets // columns)
-        cell = bucket_of(v, buckets) % rows * columns + w * 40503 // 8 % columns
+        # the start of a text is a context of all texts, so its pairs are spread over the whole grid
+        row = np.where(v == START_GID, w * 69069 // 64, bucket_of(v, buckets)) % rows
+        cell = row * columns + w * 40503 // 8 % columns
         order = _lexsort(cell, v, w)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -446,69 +453,98 @@ def score_chunks(buckets: int, columns: int, unigrams: Unigrams, d: np.ndarray):
 # ---- the operator ----------------------------------------------------------------------------
 
 
+#: Folder, kind, columns and payload places of the tables that ``KatzModel.rows`` reads.
+TABLES = {
+    "unigram": ("words", "hash long, word long, count long", (0, 1, 2)),
+    "bigram": ("pairs", "context long, word long, count long", (0, 1, 2)),
+    "backoff": ("contexts", "context long, count long, alpha double, divisor long", (0, 1, 2, 3)),
+}
+
+
 @dataclass
 class KatzModel:
     """Where the tables are, and the numbers that the driver knows.
 
-    Kinds under ``path``/words: unigram (hash, id, count); under /pairs: bigram (context id, word
-    id, count); under /contexts: backoff (context id, count, alpha, divisor). Payloads unpack().
+    The tables lie packed under ``path``/words, /pairs and /contexts, partitioned by kind and with
+    a row for each bucket of words or contexts or cell of pairs; ``rows`` gives them as plain rows.
     """
 
     path: str
     unigrams: Unigrams
     bigram_discounts: np.ndarray
 
+    def rows(self, spark: SparkSession, kind: str) -> DataFrame:
+        """``unigram`` (hash, word, count, discounted), ``bigram`` (context, word, count,
+        discounted) or ``backoff`` (context, count, alpha, divisor).
+
+        A word's ``hash`` is the XXH64 of its bytes as a signed long; context 0 is the start of a text.
+        """
+        folder, ddl, places = TABLES[kind]
+        d = {"unigram": self.unigrams.d, "bigram": self.bigram_discounts}.get(kind)
+        names = [c.split()[0] for c in ddl.split(", ")] + ["discounted"] * (d is not None)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for payload in batch.column("payload"):
+                    own = unpack(payload.as_py())
+                    cols = [own[i] if own[i].dtype.kind == "f" else own[i].astype(np.uint64).view(np.int64) for i in places]
+                    if d is not None:
+                        cols.append(discounted(cols[2], d))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+        packed = spark.read.schema(ANSWERS).parquet(f"{self.path}/{folder}").where(F.col("kind") == kind).select("payload")
+        return packed.mapInArrow(run, ddl + ", discounted double" * (d is not None))
+
 
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.partitionBy("kind").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def score_texts(docs: DataFrame, train: str, s: Settings = Settings(), path: str | None = None) -> tuple[DataFrame, KatzModel]:
     """Learn from the rows of ``docs`` (doc_id, text, ``train`` boolean) where ``train`` is true,
     and score all rows: (doc_id, n_tokens, n_known, base_score, score), scores in log10.
 
     A null or empty text is its end alone. Repeated rows are learned and scored each. With
     nothing to learn from, every word is the unknown class, with probability 1. A very long text
-    is a chunk of its own. Words are known by a 64-bit hash.
+    is a chunk of its own; an empty table gives no rows; other columns play no part, whatever their
+    names. Words are known by a 64-bit hash.
     """
     spark = docs.sparkSession
     with tidy_shuffles(spark):  # each step's result is a table
-        buckets = s.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(s.columns, buckets // s.columns * s.columns)
-        path = path or fresh_path(spark, "katz")
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(train).alias("train"))
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = s.buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // s.bucket_bytes))
+        columns = s.columns or max(4, math.isqrt(buckets))
+        buckets = max(columns, buckets // columns * columns)
+        by = lambda df, key: df.repartition(buckets, key).groupBy(key)  # noqa: E731  tasks follow the corpus too
+        path = path or fresh_path(spark, "katz")
         chunks = _written(source.mapInArrow(chunk_encoder(buckets, s.chunk_bytes), CHUNKS), f"{path}/chunks")
         words = _written(
-            chunks.where("kind = 'words'").groupBy("bucket").applyInPandas(count_words(buckets, s.k), ANSWERS), f"{path}/words"
+            by(chunks.where("kind = 'words'"), "bucket").applyInPandas(count_words(buckets, s.k), ANSWERS), f"{path}/words"
         )
-        _remove(spark, f"{path}/chunks/kind=words")
+        remove(spark, f"{path}/chunks/kind=words")
         tokens, distinct, *seen = read_stats(words, s.k).tolist()
         unigrams = Unigrams.fit(tokens, distinct, np.array(seen), s.k)
         texts = chunks.where("kind = 'docs'").select("chunk", "payload")
         asked = words.where("kind = 'words'").select("chunk", "bucket", "payload")
         questions = (
-            texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(ask_pairs(buckets, s.columns), "cell int, chunk long, payload binary")
+            by(texts, "chunk").cogroup(by(asked, "chunk")).applyInPandas(ask_pairs(buckets, columns), "cell int, chunk long, payload binary")
         )
-        pairs = _written(questions.groupBy("cell").applyInPandas(count_pairs(buckets, s.k, unigrams), ANSWERS), f"{path}/pairs")
+        pairs = _written(by(questions, "cell").applyInPandas(count_pairs(buckets, s.k, unigrams), ANSWERS), f"{path}/pairs")
         d = discounts(read_stats(pairs, s.k)[2:], s.k)
         contexts = pairs.where("kind = 'context'").select("bucket", "payload")
         weights = _written(
-            contexts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(weigh_contexts(buckets, d), ANSWERS), f"{path}/contexts"
+            by(contexts, "bucket").cogroup(by(asked, "bucket")).applyInPandas(weigh_contexts(buckets, d), ANSWERS), f"{path}/contexts"
         )
-        _remove(spark, f"{path}/pairs/kind=context")
+        remove(spark, f"{path}/pairs/kind=context")
         answers = (
             words.where("kind = 'words'")
             .unionByName(pairs.where("kind = 'pairs'"))
             .unionByName(weights.where("kind = 'alpha'"))
         )
-        scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-            score_chunks(buckets, s.columns, unigrams, d), SCORES
+        scored = by(texts, "chunk").cogroup(by(answers, "chunk")).applyInPandas(
+            score_chunks(buckets, columns, unigrams, d), SCORES
         )
         return scored, KatzModel(path, unigrams, d)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_arrow, table
+from .common import crc_bucket, map_arrow, materialise, scratch, table
 
 #: Families of ISO 639-1 codes; a language not listed is a family of its own.
 FAMILIES = {
@@ -32,11 +32,13 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` labelled documents at most are learned from, taken in hash order; of
-    each also ``snippets`` short runs of its words, so that short texts are known too."""
+    """``per_language`` different labelled texts at most are learned from, taken in hash order; of
+    each also ``snippets`` short runs of its words, so that short texts are known too. With so
+    many languages that this would be over ``most_texts``, each has its equal share of those, one
+    text at least: no language is left out."""
 
     per_language: int = 300
-    max_languages: int = 100
+    most_texts: int = 10_000
     snippets: int = 3
     snippet_words: tuple[int, ...] = (2, 5, 12)
     bits: int = 11
@@ -152,39 +154,36 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, label: str = "lang", s: Settings = Settings()) -> LanguageModel | None:
-    """Fit on ``docs`` (doc_id, text, ``label``); None if no row has a label and a letter.
-
-    Ids are drawn first: ``per_language`` in hash order of the ``max_languages`` most frequent
-    labels. Languages are counted, and only ids whose hash lies under a threshold of four times
-    the share that is needed are ordered, so no task orders a whole language. Then only the drawn
-    texts are read, turned into features on the executors, and brought to the driver: at most
-    max_languages * per_language * (snippets + 1) rows of 2**bits half floats.
+    """Fit on ``docs`` (text, ``label``); None if no row has a label and a letter.
+
+    Texts are drawn by their hash, whatever their ids, and a text that is repeated counts once. Of
+    each language different texts are counted (by a sketch), and only hashes under a threshold of
+    four times the share that is needed are ordered, so no task orders a whole language; a
+    language of few texts is taken whole. Then only the drawn texts are read, one copy of each,
+    turned into features on the executors, and brought to the driver: at most ``most_texts`` (or
+    one a language) times snippets + 1 rows of 2**bits half floats.
     """
-    labelled = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(s.max_languages)
-    share = sizes.select(F.col(label).alias("__l"), (F.lit(4.0 * s.per_language) / F.col("count")).alias("__share"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)  # even in [0, 1)
-    order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = (
-        labelled.select("doc_id", label)
-        .join(F.broadcast(share), (F.col(label) == F.col("__l")) & (place < F.col("__share")))
-        .withColumn("__k", F.row_number().over(order))
-        .where(F.col("__k") <= s.per_language)
-        .select("doc_id")
-        .distinct()
-        .limit(s.max_languages * s.per_language)
-    )
-
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        langs, xs = [], []
-        for text, lang in zip(batch.column("text"), batch.column(label), strict=True):
-            for run in snippets(text.as_py(), s):
-                langs.append(lang.as_py())
-                xs.append(trigram_features(run, s.bits).astype(np.float16).tobytes())
-        return {"lang": langs, "x": xs}
-
-    chosen = labelled.select("doc_id", "text", label).join(F.broadcast(drawn), "doc_id", "left_semi")
-    got = map_arrow(chosen.select("text", label), "lang string, x binary", rows).toArrow()
+    with scratch(docs.sparkSession):
+        labelled = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("lang"), F.xxhash64("text").alias("h"), "text")
+        sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+        sizes = materialise(sizes, "languages")
+        each = min(s.per_language, max(1, s.most_texts // max(1, sizes.count())))
+        share = sizes.select("lang", (F.lit(4.0 * each) / F.col("n")).alias("share"))
+        place = F.pmod(F.xxhash64("h"), F.lit(1 << 32)) / float(1 << 32)  # even in [0, 1)
+        under = labelled.select("lang", "h").join(share, "lang").where(place < F.col("share")).select("lang", "h").distinct()
+        order = W.partitionBy("lang").orderBy(F.xxhash64("h"), "h")
+        drawn = materialise(under.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("lang", "h"), "drawn-texts")
+
+        def rows(batch: pa.RecordBatch) -> dict[str, list]:
+            langs, xs = [], []
+            for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
+                for run in snippets(text.as_py(), s):
+                    langs.append(lang.as_py())
+                    xs.append(trigram_features(run, s.bits).astype(np.float16).tobytes())
+            return {"lang": langs, "x": xs}
+
+        chosen = labelled.join(drawn, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+        got = map_arrow(chosen.select("text", "lang"), "lang string, x binary", rows).toArrow()
     if not got.num_rows:
         return None
     langs = np.array(got.column("lang").to_pylist(), object)
@@ -212,9 +211,10 @@ def _judge(texts: pa.ChunkedArray | pa.Array, m: LanguageModel | None) -> tuple[
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text).
 
-    ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Repeated
-    rows are judged one by one; other columns, lang and source among them, are never read. One
-    pass without a shuffle.
+    ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Of languages
+    with equally many votes the one with the greater mean strength wins, of equals the first by
+    name. Repeated rows are judged one by one; an empty table gives no rows; other columns, lang
+    and source among them, are never read. One pass without a shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

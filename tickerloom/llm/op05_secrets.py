@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, materialise, table
+from .common import fresh_path, map_arrow, materialise, remove, scratch, table
 
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -88,7 +88,8 @@ def blob_versions(df: DataFrame, path: str, text: str, revision: str | None = No
 
 
 class BlobLedger:
-    """The ledger in one folder; without a folder, a new one in the shared folder.
+    """The ledger in one folder, with a folder below for each rule version; without a folder, a
+    new one in the shared folder.
 
     ``update`` may be run again after a failure: what it appended is not scanned again, and a
     pair that is in the ledger twice (two runs at once) is read once.
@@ -108,29 +109,32 @@ class BlobLedger:
         return rows.select("blob_id", "findings").dropDuplicates(["blob_id"])
 
     def unseen(self, versions: DataFrame, version: str) -> DataFrame:
-        """One holder for each blob not yet scanned: (blob_id, path, revision).
+        """One holder for each blob not yet scanned: (blob_id, path, revision, copies).
 
         The holder is found by a ``min`` with map-side combine, so a blob that a third of all
-        paths hold costs a task one row a partition; texts are not shuffled for it.
+        paths hold costs a task one row a partition; texts are not shuffled for it. ``copies`` is
+        how many equal rows the holder has.
         """
-        holders = versions.groupBy("blob_id").agg(F.min(F.struct("path", "revision")).alias("h"))
-        return holders.join(self.read(version), "blob_id", "left_anti").select("blob_id", "h.path", "h.revision")
+        holders = versions.groupBy("blob_id", "path", "revision").agg(F.count(F.lit(1)).alias("copies"))
+        holders = holders.groupBy("blob_id").agg(F.min(F.struct("path", "revision", "copies")).alias("h"))
+        return holders.join(self.read(version), "blob_id", "left_anti").select("blob_id", "h.path", "h.revision", "h.copies")
 
     def update(self, versions: DataFrame, rules: RuleSet = RuleSet()) -> int:
-        """Scan unseen (blob, rule version) pairs and append them; returns how many."""
-        todo = materialise(self.unseen(versions, rules.version), "unseen-blobs")
-        n = todo.count()
-        if n:
-            wanted = todo.select(
-                F.col("blob_id").alias("b"), F.col("path").alias("p"), F.col("revision").alias("r")
-            )
-            one = versions.join(
-                wanted,
-                (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")) & F.col("revision").eqNullSafe(F.col("r")),
-                "left_semi",
-            ).select("blob_id", "text")
-            scanned = map_arrow(one, f"blob_id string, findings {FINDINGS}", _scanner(rules.rules))
-            scanned.select("blob_id", F.lit(rules.version).alias("rule_version"), "findings").write.mode("append").parquet(self.path)
+        """Scan unseen (blob, rule version) pairs, each blob once, and append them; returns how many."""
+        with scratch(self.spark):
+            todo = materialise(self.unseen(versions, rules.version), "unseen-blobs")
+            n = todo.count()
+            if n:
+                wanted = todo.select(
+                    F.col("blob_id").alias("b"), F.col("path").alias("p"), F.col("revision").alias("r"), "copies"
+                )
+                same = (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")) & F.col("revision").eqNullSafe(F.col("r"))
+                held = lambda which: versions.join(wanted.where(which), same, "left_semi").select("blob_id", "text")
+                one = held("copies = 1")
+                if todo.where("copies > 1").limit(1).count():
+                    one = one.unionByName(held("copies > 1").dropDuplicates(["blob_id"]))
+                scanned = map_arrow(one, f"blob_id string, findings {FINDINGS}", _scanner(rules.rules))
+                scanned.select("blob_id", F.lit(rules.version).alias("rule_version"), "findings").write.mode("append").partitionBy("rule_version").parquet(self.path)
         return n
 
     def findings(self, versions: DataFrame, rules: RuleSet = RuleSet()) -> DataFrame:
@@ -140,7 +144,7 @@ class BlobLedger:
         size, and as both sides are then plain shuffles, AQE splits a hot blob's partition. A
         version without a row there is clean, as ``update`` has scanned them all.
         """
-        hits = materialise(self.read(rules.version).where(F.size("findings") > 0), "findings")
+        hits = materialise(self.read(rules.version).where(F.size("findings") > 0), "findings", keep=True)
         none = F.array().cast(FINDINGS)
         return (
             versions.select("path", "revision", "blob_id")
@@ -163,13 +167,18 @@ def _scanner(rules: tuple[Rule, ...]):
 def scan_secrets(df: DataFrame, path: str, text: str, revision: str | None = None, rules: RuleSet = RuleSet(), ledger: str | None = None) -> DataFrame:
     """Findings of every version: (path, revision, blob_id, findings), through the ledger.
 
-    Empty and null texts give no findings; repeated rows come back as often as they are; an
-    empty table gives an empty result; other columns of ``df`` play no part.
+    Empty and null texts give no findings; repeated rows come back as often as they are, but a
+    blob is scanned once; a very long text is scanned whole; two versions of a path with one
+    revision are two versions; an empty table gives an empty result; other columns of ``df`` play
+    no part. Without a ``ledger`` a new one is made, and removed at the end.
     """
     versions = blob_versions(df, path, text, revision)
     book = BlobLedger(df.sparkSession, ledger)
     book.update(versions, rules)
-    return book.findings(versions, rules)
+    found = book.findings(versions, rules)
+    if ledger is None:
+        remove(df.sparkSession, book.path)
+    return found
 
 
 def span_text(findings: str, kinds: list[str], only: tuple[str, ...] | None = None):

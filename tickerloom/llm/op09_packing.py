@@ -90,8 +90,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text): ids of the text, then the end id.
 
-    A null text is an empty one: a piece of the end id alone. The vocabulary file (1 MB) is read
-    on the driver and broadcast. ``with_ids`` adds the ids as bytes. Rows go out in blocks, so a
+    A null text is an empty one: a piece of the end id alone. An empty table gives no rows; other
+    columns play no part, whatever their names. The vocabulary file (1 MB) is read on the driver
+    and broadcast. ``with_ids`` adds the ids as bytes. Rows go out in blocks, so a
     very long text's ids are the most that a task holds.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(open(ranks_path or default_ranks(), "rb").read())
@@ -156,13 +157,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(runs, np.int64).reshape(-1, 6)
 
 
-def with_rank(df: DataFrame, group: str, order: list[str], slices: int = 32) -> DataFrame:
-    """Add ``rank`` 0, 1, ... within each ``group``; a frequent group is ordered in slices.
+def with_rank(df: DataFrame, group: str, order: list[str], counts: dict[int, int], most: int = 1 << 20) -> DataFrame:
+    """Add ``rank`` 0, 1, ... within each ``group``; ``counts`` says how many rows each group has.
 
-    The table of slice sizes has groups * slices rows at most and is broadcast, so ``group`` must
-    have a bounded number of values (here: the capacity).
+    A group is ordered in slices of about ``most`` rows, however large it is, and rows that are
+    equal in all of ``order`` are spread over its slices too. ``group`` must have a bounded number
+    of values (here: the capacity). The slices are written before they are counted, so a task
+    that is run again finds the same ones.
     """
-    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    if all(n <= most for n in counts.values()):
+        return df.withColumn("rank", (F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    slices = [(g, -(-n // most)) for g, n in counts.items()]
+    sizes = df.sparkSession.createDataFrame(slices, "__g long, __slices long")
+    salt = F.xxhash64(*order, F.monotonically_increasing_id())
+    cut = df.join(F.broadcast(sizes), F.col(group) == F.col("__g")).withColumn("__slice", F.pmod(salt, F.col("__slices"))).drop("__g", "__slices")
+    sliced = materialise(cut, "slices", keep=True)
     before = sliced.groupBy(group, "__slice").count().select(
         F.col(group).alias("__g"), F.col("__slice").alias("__s"),
         (F.sum("count").over(W.partitionBy(group).orderBy("__slice")) - F.col("count")).alias("__before"),
@@ -170,7 +179,7 @@ def with_rank(df: DataFrame, group: str, order: list[str], slices: int = 32) ->
     place = F.row_number().over(W.partitionBy(group, "__slice").orderBy(*order))
     return (
         sliced.withColumn("__place", place)
-        .join(F.broadcast(before), (F.col(group) == F.col("__g")) & (F.col("__slice") == F.col("__s")))
+        .join(before, (F.col(group) == F.col("__g")) & (F.col("__slice") == F.col("__s")))
         .withColumn("rank", F.col("__before") + F.col("__place") - 1)
         .drop("__slice", "__place", "__g", "__s", "__before")
     )
@@ -188,7 +197,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = parts.sparkSession
     held = spark.sparkContext.broadcast(runs[np.lexsort((runs[:, 1], runs[:, 0]))])
     span = int(max(counts.values(), default=0)) + 1  # length * span + rank orders the runs
-    ranked = with_rank(parts, "length", ["doc_id", "piece", "ids_crc32"])
+    ranked = with_rank(parts, "length", ["doc_id", "piece", "ids_crc32"], counts)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = held.value

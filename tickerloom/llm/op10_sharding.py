@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: 13 hex digits of the digest are a number below 2**52, exact in a double.
 DRAW_DIGITS, DRAW_RANGE = 13, float(2**52)
@@ -25,20 +25,29 @@ def draw(key: Column, shard: int) -> Column:
     return (F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("double") + 0.5) / DRAW_RANGE
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard (0-based) that wins ``key``; shards of weight 0 win nothing.
-
-    A null key counts as the text ``null``. Ties go to the lower shard.
-    """
-    if not any(w > 0 for w in weights) or any(w < 0 for w in weights):
-        raise ValueError("weights must be 0 or more, one of them over 0")
+def _winner(key: Column, weights: Sequence[float], first: int = 0) -> Column:
+    """(bid, shard) of the shard that wins ``key``; the weights are those of shards ``first``, ..."""
     text = F.coalesce(key.cast("string"), F.lit("null"))
     bids = [
         F.struct((-F.log(draw(text, s)) / F.lit(float(w))).alias("bid"), F.lit(s).alias("shard"))
-        for s, w in enumerate(weights)
+        for s, w in enumerate(weights, first)
         if w > 0
     ]
-    return (F.least(*bids) if len(bids) > 1 else bids[0])["shard"]
+    return F.least(*bids) if len(bids) > 1 else bids[0]
+
+
+def _checked(weights: Sequence[float]) -> None:
+    if not any(w > 0 for w in weights) or any(w < 0 for w in weights):
+        raise ValueError("weights must be 0 or more, one of them over 0")
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard (0-based) that wins ``key``; shards of weight 0 win nothing.
+
+    A null key counts as the text ``null``. Ties go to the lower shard.
+    """
+    _checked(weights)
+    return _winner(key, weights)["shard"]
 
 
 SLICES = 256
@@ -48,11 +57,12 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], slices: int = SL
     """Add ``slot``: places 0, 1, ... without gaps inside each shard.
 
     A shard is never ordered in one task: rows are numbered inside ``slices`` slices of it, and
-    the rows in earlier slices are added. Slice sizes are counted in a first pass; that table
-    has shards * slices rows at most, so it is broadcast. Rows that agree in every ``order``
-    column take neighbouring slots in any order. Empty input gives empty output.
+    the rows in earlier slices are added. The slice comes from all ``order`` columns, so the rows
+    of one key are spread. Slice sizes are counted in a first pass; that table has shards * slices
+    rows at most, so it is broadcast. Rows that agree in every ``order`` column take neighbouring
+    slots in any order. Empty input gives empty output.
     """
-    key = F.coalesce(F.col(order[0]).cast("string"), F.lit("null"))
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
     drawn = F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int")
     cut = df.withColumn("__slice", drawn % slices)
     before = (
@@ -78,10 +88,22 @@ def shard_records(
 ) -> DataFrame:
     """All columns of ``df`` plus ``shard`` and, for another weight list, ``grown_shard``.
 
-    Own columns named ``shard`` or ``grown_shard`` are replaced. Repeated keys go together.
+    Own columns named ``shard`` or ``grown_shard`` are replaced. Repeated keys go together. Where
+    ``grown`` only adds shards, these alone draw anew and bid against the winner.
     """
-    out = df.withColumn("shard", rendezvous(F.col(key), weights))
-    return out if grown is None else out.withColumn("grown_shard", rendezvous(F.col(key), grown))
+    _checked(weights)
+    won = df.withColumn("__won", _winner(F.col(key), weights))
+    out = won.withColumn("shard", F.col("__won.shard"))
+    if grown is not None:
+        _checked(grown)
+        n, more = len(weights), grown[len(weights) :]
+        if list(grown[:n]) != list(weights):
+            out = out.withColumn("grown_shard", rendezvous(F.col(key), grown))
+        elif any(w > 0 for w in more):
+            out = out.withColumn("grown_shard", F.least(F.col("__won"), _winner(F.col(key), more, n))["shard"])
+        else:
+            out = out.withColumn("grown_shard", F.col("shard"))
+    return out.drop("__won")
 
 
 SHARDS = 40
@@ -98,8 +120,9 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    placed = shard_records(docs, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
-    return with_slots(placed, "shard", ["doc_id", "size", "text_crc32", "grown_shard"]).select(
+    # written: the draws are made once, and both passes over the slices read four numbers a row
+    placed = materialise(shard_records(docs, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1)), "placed")
+    return with_slots(placed, "shard", ["doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         F.col("slot").cast("long").alias("slot"), "grown_shard",
     )
@@ -121,13 +144,13 @@ WITH RECURSIVE step(n, k, c) AS (
          list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
   FROM d
 ), placed AS (
-  SELECT doc_id, CAST(strlen(t) + 16 AS BIGINT) AS size, CAST('0x' || substr(md5(k), 1, 4) AS BIGINT) % {SLICES} AS slice,
+  SELECT doc_id, k, CAST(strlen(t) + 16 AS BIGINT) AS size,
          xor(list_reduce(list_prepend(4294967295, bytes), lambda crc, x: xor(crc >> 8, crc_table[(xor(crc, x) & 255) + 1])), 4294967295) AS text_crc32,
          CAST(list_position(bids[1:{SHARDS}], list_min(bids[1:{SHARDS}])) - 1 AS INTEGER) AS shard,
          CAST(list_position(bids, list_min(bids)) - 1 AS INTEGER) AS grown_shard
   FROM b, crcs
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id) - 1 AS slot
+       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(k || ':' || size || ':' || text_crc32), 1, 4) AS BIGINT) % {SLICES}, doc_id, size, text_crc32) - 1 AS slot
 FROM placed
 """
