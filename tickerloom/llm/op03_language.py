@@ -171,7 +171,7 @@ def train(docs: DataFrame, label: str = "lang", s: Settings = Settings()) -> Lan
         share = sizes.select("lang", (F.lit(4.0 * each) / F.col("n")).alias("share"))
         place = F.pmod(F.xxhash64("h"), F.lit(1 << 32)) / float(1 << 32)  # even in [0, 1)
         under = labelled.select("lang", "h").join(share, "lang").where(place < F.col("share")).select("lang", "h").distinct()
-        order = W.partitionBy("lang").orderBy(F.xxhash64("h"), "h")
+        order = W.partitionBy("lang").orderBy(place, "h")
         drawn = materialise(under.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("lang", "h"), "drawn-texts")
 
         def rows(batch: pa.RecordBatch) -> dict[str, list]:
