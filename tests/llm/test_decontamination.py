@@ -1,3 +1,4 @@
+import random
 import re
 
 import pandas as pd
@@ -107,3 +108,53 @@ def test_a_later_variant_is_looked_at(spark):
     mixed = " ".join(zoe.split()[:14] + ["with", "nothing"] + mia.split()[14:])
     got = found(spark, [partial + " and so forth. " + mia + " at last", partial + " and so forth", mixed, LONG + partial + ". " + mia])
     assert set(got) == {(0, 1), (3, 1)}
+
+
+NAMES = "Anna Bob Carla Dora Emil Fred Greta Hugo Ida Jonas Karl Lena Mona Nils Olga Paul Rita Sven Tina Udo".split()
+
+
+def template(rng):
+    """Words with slots: a filler's place is a number of a name (negative) or a number (positive)."""
+    words = [f"q{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.randrange(22, 45))]
+    for slot in (-1, -2, 1, 2):
+        for at in rng.sample(range(1, len(words)), 3):
+            words[at] = slot
+    return words
+
+
+def fill(words, values):
+    return " ".join(values[w] if isinstance(w, int) else w for w in words)
+
+
+def fillers(rng):
+    names, numbers = rng.sample(NAMES, 2), rng.sample(range(10, 99), 2)
+    return {-1: names[0], -2: names[1], 1: str(numbers[0]), 2: str(numbers[1])}
+
+
+def test_complete_variants_are_found_whatever_partial_ones_stand_by(spark):
+    rng = random.Random(11)
+    templates = {i: template(rng) for i in range(1, 13)}
+    bench = [(i, fill(t, fillers(rng))) for i, t in templates.items()]
+    texts, want = [], set()
+
+    def add(text, *found_items):
+        want.update((len(texts), i) for i in found_items)
+        texts.append(text)
+
+    for i, t in templates.items():
+        part = lambda share: fill(t[: int(len(t) * share)], fillers(rng))
+        rest = lambda share: fill(t[int(len(t) * share) :], fillers(rng))
+        whole = fill(t, fillers(rng))
+        noise = " ".join(f"z{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.randrange(3, 80)))
+        add(whole, i)
+        add(f"{part(0.6)}. {noise}. {whole}", i)
+        add(f"{whole}. {noise}. {part(0.7)}", i)
+        add(f"{part(0.7)}. {rest(0.4)}. {noise} {whole}. {part(0.5)} {rest(0.5)}", i)
+        one, two = next((a, b) for a, b in iter(lambda: (fillers(rng), fillers(rng)), None) if not set(a.values()) & set(b.values()))
+        half = len(t) // 2
+        if {w for w in t[:half] if isinstance(w, int)} & {w for w in t[half:] if isinstance(w, int)}:
+            add(f"{noise} {fill(t[:half], one)} {noise} {fill(t[half:], two)}")  # the halves have other fillers
+        add(f"{part(0.7)} and nothing more {noise}")
+        other = next(j for j in templates if j != i)
+        add(f"{part(0.6)} {noise} {whole} {fill(templates[other], fillers(rng))}", i, other)
+    assert set(found(spark, texts, bench)) == want

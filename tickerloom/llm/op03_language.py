@@ -142,6 +142,7 @@ class LanguageModel:
         return cls(s, Machines.fit(x, family, s), within)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(languages, scores): a score is the weakest duel that the family and the language won."""
         k, sure = self.families.predict(x, self.settings.sharpness)
         langs = np.empty(len(x), object)
         for i, name in enumerate(self.families.labels):
@@ -149,7 +150,7 @@ class LanguageModel:
             if len(own):
                 best, strength = self.within[name].predict(x[own], self.settings.sharpness)
                 langs[own] = np.array(self.within[name].labels, object)[best]
-                sure[own] = sure[own] * strength
+                sure[own] = np.minimum(sure[own], strength)
         return langs, sure
 
 
