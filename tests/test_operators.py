@@ -198,7 +198,45 @@ def test_failing_scorer_costs_its_row(spark):
 
     _, got = full_run(spark, scorer)
     assert rows(got.readings, "stock_id", "score") == [("s1", 0.1), ("s3", 0.1)]
-    assert rows(got.rejects, "stage", "key", "message") == [("score", "s2", "boom")]
+    assert rows(got.rejects, "stage", "key", "message") == [("score", "s2", "boom"), ("tagged", "t2", "url or title is missing")]
+
+
+def test_missing_feeds_and_bad_rows_are_rejects(spark, tmp_path):
+    tables, _ = full_run(spark)
+    general = news(spark, [("g", "profit", None, "s", 1), (None, "h", None, "s", 1), ("v", "", None, "s", 1), ("w", "h", None, None, 1)])
+    company, why = feeds.landed(feeds.read_company_news, spark, str(tmp_path / "nothing"), "2026-01-01", "2026-01-02")
+    assert company is None and "nothing" in why
+    got = run_pipeline(tables, general, company, None, NOW)
+    assert rows(got.articles, "url") == [("g",)] and got.report.first().fetched == 4
+    assert sorted((r.stage, r.key or "") for r in got.rejects.collect()) == [("company", ""), ("general", ""), ("general", "v"), ("store", "w"), ("tagged", "")]
+
+
+def test_first_to_arrive_wins_within_a_feed(spark, tmp_path):
+    for name, items in (("0001.json", [("u", "first", 9), ("v", "a", 5), ("v", "b", 1)]), ("0002.json", [("u", "later", 2)])):
+        (tmp_path / name).write_text("\n".join(json.dumps({"category": "general", "url": u, "headline": h, "source": "s", "datetime": t}) for u, h, t in items))
+    batch = ingest.union_feeds(ingest.normalize_news(feeds.read_market_news(spark, str(tmp_path))))
+    got = ingest.insert_new_articles(spark.createDataFrame([], "url string"), batch)
+    assert rows(got, "url", "headline") == [("u", "first"), ("v", "a")]
+
+
+def test_newest_of_users_left_short_by_their_floor(spark):
+    """A user of one old and many young stocks: the floor leaves too few, the second look finds all."""
+    links = [(100 * s + i, s) for s in range(6) for i in range(40)]
+    articles = [(a, NOW - timedelta(days=(1000 if s == 0 else 1) * (a % 100) + s)) for a, s in links]
+    # two stocks share all their articles, so what the floor keeps is half of what it counts
+    links += [(100 + i, 7) for i in range(40)] + [(100 + i, 8) for i in range(40)]
+    follows = [(1, s) for s in range(9)] + [(2, 1), (2, 7), (2, 8)] + [(3, 0)] + [(4, 99)]
+    frame = spark.createDataFrame
+    la, aa, ua = frame(links, "article_id int, stock_id int"), frame(articles, "article_id int, published_at timestamp"), frame(follows, "user_id int, stock_id int")
+    date = dict(articles)
+    for k in (1, 5, 30, 60):
+        for spare in (0.1, 1.0, 2.0):
+            want = []
+            for u in (1, 2, 3):
+                own = {a for a, s in links if (u, s) in follows}
+                want += [(u, a, i + 1) for i, a in enumerate(sorted(own, key=lambda a: (-date[a].timestamp(), a))[:k])]
+            got = scope.user_newest(la, aa, ua, k, spare).select("user_id", "article_id", "rank")
+            assert sorted(map(tuple, got.collect())) == sorted(want), (k, spare)
 
 
 def test_links_only_to_requested_symbols(spark):

@@ -22,6 +22,16 @@ def valid_articles(df: DataFrame, required: Sequence[str] = ("url", "headline"))
     return df
 
 
+def invalid_articles(df: DataFrame, feed: str, required: Sequence[str] = ("url", "headline")) -> DataFrame:
+    """Rejects of the rows that ``valid_articles`` leaves out."""
+    good = F.lit(True)
+    for c in required:
+        good = good & (F.coalesce(F.length(c), F.lit(0)) > 0)
+    return df.where(~good).select(
+        F.lit(feed).alias("stage"), F.col("url").cast("string").alias("key"), F.lit(f"{' or '.join(required)} is missing").alias("message")
+    )
+
+
 def normalize_news(df: DataFrame) -> DataFrame:
     """General and company news as articles; other columns are kept behind."""
     own = [F.col(c) for c in df.columns if c not in ("headline", "summary", "url", "source", "datetime")]
@@ -32,19 +42,21 @@ def normalize_tagged(df: DataFrame) -> DataFrame:
     """Tagged news as articles with their entities."""
     return df.select(
         "url", F.col("title").alias("headline"), F.col("description").alias("summary"), "source",
-        from_iso(F.col("published_at")).alias("published_at"), "entities",
+        from_iso(F.col("published_at")).alias("published_at"), "entities", *[c for c in df.columns if c == "pos"],
     )
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
     """Article columns of several feeds, with ``feed_rank`` in the order given and ``pos``.
 
-    A feed without ``pos`` gets the url's order within it.
+    ``pos`` is a reader's order of arrival, or a number; in a feed without one all rows are equal.
     """
     parts = []
     for rank, feed in enumerate(feeds):
-        pos = F.col("pos").cast("long") if "pos" in feed.columns else F.lit(0).cast("long")
-        parts.append(feed.select(*ARTICLE, F.lit(rank).alias("feed_rank"), pos.alias("pos")))
+        kind = feed.schema["pos"].dataType.typeName() if "pos" in feed.columns else None
+        number = F.col("pos").cast("long") if kind else F.lit(0).cast("long")
+        place = F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), number.alias("row"))
+        parts.append(feed.select(*ARTICLE, F.lit(rank).alias("feed_rank"), (F.col("pos") if kind == "struct" else place).alias("pos")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -94,9 +94,10 @@ def infer_market(df: DataFrame, markets: DataFrame, ticker: str = "ticker") -> D
 def search_stocks(results: DataFrame, security_type: str = "Common Stock", limit: int = 10) -> DataFrame:
     """At most ``limit`` hits of each query: of the asked type, with a symbol, each symbol once.
 
-    ``results`` has query, pos, symbol, description and type. An empty query finds nothing.
+    ``results`` has query, pos, symbol, description and type. An empty query finds nothing; a blank
+    one is asked like any other.
     """
-    hits = results.where((F.trim("query") != "") & (F.col("type") == security_type) & (F.length("symbol") > 0))
+    hits = results.where((F.length("query") > 0) & (F.col("type") == security_type) & (F.length("symbol") > 0))
     first = dedupe_first(hits, ["query", "symbol"], ["pos"])
     return top_k_per_group(first, ["query"], [F.asc("pos"), F.asc("symbol")], limit)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,13 @@ from ..functions import mood as m
 from ..functions import text as tx
 from ..functions import time as tm
 from ..operators import ingest, maintain, rank, scope, scoring
+from ..sources import feeds, seed
 from ..sources.adapters import AS_OF_ARTICLES, AS_OF_READINGS, view, with_views
-from ..sources.storage import shared_path
+from ..sources.schemas import NEWS, TABLES
+from ..sources.storage import shared_path, written
 from ..streaming.ingest import read_articles, stream_ingest
 from . import dashboard as d
+from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -199,11 +203,11 @@ def stock_articles(spark, sf_dir):
 
 
 @query(
-    f""", {HISTORY} SELECT stock_id, row_number() OVER (PARTITION BY stock_id ORDER BY rank DESC) AS pos, sentiment_id, date, strftime(date, '%b %-d') AS day, score FROM history""",
+    f""", {HISTORY} SELECT stock_id, row_number() OVER (PARTITION BY stock_id ORDER BY rank DESC) AS pos, sentiment_id, date, strftime(date, '%b %-d') AS day, score, round(score, 3) AS score_3 FROM history""",
     "sentiment",
 )
 def stock_history(spark, sf_dir):
-    return longs(d.stock_history(tables(spark, sf_dir)), "pos").drop("score_3")
+    return longs(d.stock_history(tables(spark, sf_dir)), "pos")
 
 
 @query(
@@ -493,10 +497,215 @@ def stream_ingest_events(spark, sf_dir):
         F.to_date("ts").alias("day"), F.lit("general").alias("category"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("datetime"),
         F.col("event_type").alias("headline"), F.col("event_id").alias("id"), F.lit("events").alias("source"),
         F.concat(F.lit("https://e.example.com/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("url"),
-    ).repartition("day").write.partitionBy("day").json(feed)
+    ).write.partitionBy("day").json(feed)
     stream_ingest(spark, f"{feed}/day=*", store, marks, files_per_batch=10)
     return read_articles(spark, store).select("url", "headline")
 
 
+# ---- readers, the full run, and what only it had called ---------------------------------------
+
+
+def _land_news(feed: DataFrame, path: str, *folders: str) -> str:
+    """A feed as JSON files in the order of ``seq``."""
+    rows = feed.withColumn("datetime", F.unix_seconds(F.col("published_at").cast("timestamp"))).drop("published_at")
+    out = rows.orderBy("seq", "datetime", "headline", "source").drop("seq").write
+    (out.partitionBy(*folders) if folders else out).json(path)
+    return path
+
+
+def _land_tagged(feed: DataFrame, path: str) -> str:
+    """Responses with an article each, in the order of ``seq``."""
+    symbols = F.array(*[F.struct(F.col(c).alias("symbol")) for c in ("first_symbol", "second_symbol")])
+    article = F.struct(
+        F.col("seq").cast("string").alias("uuid"), "title", "url", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("published_at"),
+        F.lit("events").alias("source"), symbols.alias("entities"),
+    )
+    feed.orderBy("seq").select(F.array(article).alias("data")).write.json(path)
+    return path
+
+
+@query("SELECT url, headline, source, published_at FROM general_feed", "general_feed")
+def read_market_news(spark, sf_dir):
+    path = _land_news(view(spark, sf_dir, "general_feed").withColumn("category", F.lit("general")), shared_path(spark, "market-news"), "category")
+    return ingest.normalize_news(feeds.read_market_news(spark, path)).select("url", "headline", "source", "published_at")
+
+
+@query("SELECT 'N' || s_nationkey AS ticker, url, headline, date_trunc('year', published_at) AS dt FROM company_feed JOIN listing USING (ticker) JOIN supplier ON s_suppkey = stock_id WHERE published_at >= TIMESTAMP '1996-01-01' AND published_at < TIMESTAMP '1999-01-01'", "company_feed", "listing")
+def read_company_news(spark, sf_dir):
+    """Company news by nation and year of three years; other folders are not opened."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("stock_id"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("nation"))
+    news = view(spark, sf_dir, "company_feed").join(view(spark, sf_dir, "listing").select("ticker", "stock_id"), "ticker").join(suppliers, "stock_id")
+    news = news.withColumn("ticker", F.col("nation")).withColumn("dt", F.to_date(F.date_trunc("year", "published_at"))).drop("nation", "stock_id")
+    path = _land_news(news, shared_path(spark, "company-news"), "ticker", "dt")
+    return feeds.read_company_news(spark, path, "1996-01-01", "1998-12-31").select("ticker", "url", "headline", F.col("dt").cast("timestamp_ntz").alias("dt"))
+
+
+@query("SELECT url, title AS headline, published_at, first_symbol || ',' || second_symbol AS symbols FROM tagged_feed WHERE published_at >= TIMESTAMP '2024-01-15 12:30:00'", "tagged_feed")
+def read_tagged_news(spark, sf_dir):
+    path = _land_tagged(view(spark, sf_dir, "tagged_feed"), shared_path(spark, "tagged-news"))
+    rows = ingest.normalize_tagged(feeds.read_tagged_news(spark, path, datetime(2024, 1, 15, 12, 30, 59)))
+    return rows.select("url", "headline", "published_at", F.array_join("entities.symbol", ",").alias("symbols"))
+
+
+@query("SELECT p_name AS symbol, p_type AS type, p_brand AS description, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS pos FROM part", "market")
+def read_symbol_search(spark, sf_dir):
+    """Search responses of fifty hits each, exploded in order."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    hit = F.struct("p_partkey", F.col("p_brand").alias("description"), F.col("p_name").alias("symbol"), F.col("p_type").alias("type"))
+    path = shared_path(spark, "symbols")
+    parts.groupBy(F.expr("p_partkey div 50")).agg(F.sort_array(F.collect_list(hit)).alias("result")).select("result").write.json(path)
+    return longs(feeds.read_symbol_search(spark, path), "pos").select("symbol", "type", "description", "pos")
+
+
+RUN = f""", watched AS (SELECT * FROM listing WHERE stock_id IN (SELECT stock_id FROM user_stock)),
+    prime AS (SELECT * FROM watched WHERE ticker NOT LIKE '%.%' AND ticker NOT LIKE '%-USD'), dotted AS (SELECT * FROM watched WHERE ticker LIKE '%.%'),
+    company AS (SELECT * FROM company_feed WHERE ticker IN (SELECT ticker FROM prime)),
+    brought AS (SELECT 0 AS feed, seq, url, headline, source, published_at FROM general_feed UNION ALL SELECT 1, seq, url, headline, source, published_at FROM company
+      UNION ALL SELECT 2, seq, url, title, 'events', published_at FROM tagged_feed),
+    good AS (SELECT * FROM brought WHERE headline <> ''),
+    fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY feed, seq, published_at, headline, source) AS r FROM good WHERE source IS NOT NULL)
+      WHERE r = 1 AND url NOT IN (SELECT url FROM stored_article)),
+    ids AS (SELECT url, article_id, headline, published_at FROM stored_article UNION ALL SELECT url, sha256(url), headline, published_at FROM fresh),
+    tried AS (SELECT i.article_id, p.stock_id FROM (SELECT DISTINCT ticker, url FROM company WHERE headline <> '') c JOIN prime p USING (ticker) JOIN ids i USING (url)
+      UNION ALL SELECT i.article_id, d.stock_id FROM (SELECT url, unnest([first_symbol, second_symbol]) AS ticker FROM tagged_feed WHERE title <> '') JOIN dotted d USING (ticker) JOIN ids i USING (url)),
+    linked AS (SELECT DISTINCT article_id, stock_id FROM tried EXCEPT SELECT article_id, stock_id FROM stored_link),
+    heads AS (SELECT * FROM (SELECT stock_id, headline, row_number() OVER (PARTITION BY stock_id ORDER BY published_at DESC, article_id) AS r
+      FROM (SELECT * FROM linked UNION ALL SELECT article_id, stock_id FROM stored_link) JOIN watched USING (stock_id) JOIN ids USING (article_id)
+      WHERE published_at >= {A} - INTERVAL 168 HOURS) WHERE r <= 10),
+    words AS (SELECT stock_id, unnest(list_prepend('', string_split_regex(lower(headline), '[^a-z]+'))) AS w FROM heads),
+    judged AS (SELECT stock_id, count(*) FILTER (w IN ({', '.join(repr(w) for w in scoring.UP)})) AS u, count(*) FILTER (w IN ({', '.join(repr(w) for w in scoring.DOWN)})) AS d FROM words GROUP BY stock_id)
+    SELECT 'article' AS kind, sha256(url) AS key, url || '|' || headline || '|' || source AS value FROM fresh
+    UNION ALL SELECT 'link', article_id, CAST(stock_id AS VARCHAR) FROM linked
+    UNION ALL SELECT 'reading', CAST(stock_id AS VARCHAR), CAST(CAST(round(1000 * CASE WHEN u + d > 0 THEN (u - d) / (u + d) ELSE 0 END) AS BIGINT) AS VARCHAR) FROM judged
+    UNION ALL SELECT 'reject', CASE feed WHEN 0 THEN 'general' WHEN 1 THEN 'company' ELSE 'tagged' END, CAST(count(*) AS VARCHAR) FROM brought WHERE headline = '' GROUP BY feed
+    UNION ALL SELECT 'reject', 'store', CAST(count(*) AS VARCHAR) FROM good WHERE source IS NULL
+    UNION ALL SELECT 'report', 'fetched', CAST(count(*) AS VARCHAR) FROM brought UNION ALL SELECT 'report', 'saved', CAST(count(*) AS VARCHAR) FROM fresh
+    UNION ALL SELECT 'report', 'tags', CAST(count(*) AS VARCHAR) FROM tried UNION ALL SELECT 'report', 'new_links', CAST(count(*) AS VARCHAR) FROM linked
+    UNION ALL SELECT 'report', 'sentiments', CAST(count(*) AS VARCHAR) FROM judged"""
+
+
+@query(RUN, "listing", "user_stock", "general_feed", "company_feed", "tagged_feed", "stored_article", "stored_link")
+def run_pipeline(spark, sf_dir):
+    """The full run over landed feeds: rows for each table, rejects by stage, and the report."""
+    v = lambda name: view(spark, sf_dir, name)
+    general = _land_news(v("general_feed").withColumn("category", F.lit("general")), shared_path(spark, "general"))
+    company = _land_news(v("company_feed"), shared_path(spark, "company"))
+    tagged = _land_tagged(v("tagged_feed"), shared_path(spark, "tagged"))
+    own = {"stock": v("listing"), "user_stock": v("user_stock"), "article": v("stored_article"), "article_stock": v("stored_link")}
+    news = spark.read.schema(f"{NEWS}, ticker string").json(company).withColumn("pos", feeds.arrival())
+    got = pipeline.run_pipeline(own, feeds.read_market_news(spark, general), news, feeds.read_tagged_news(spark, tagged), AS_OF_ARTICLES)
+    text = lambda c: F.col(c).cast("string")
+    row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    names = ("fetched", "saved", "tags", "new_links", "sentiments")
+    counted = got.report.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), text(n).alias("v")) for n in names])).alias("x")).select("x.*")
+    return (
+        row(got.articles, "article", F.col("article_id"), F.concat_ws("|", "url", "headline", "source"))
+        .unionByName(row(got.links, "link", F.col("article_id"), text("stock_id")))
+        .unionByName(row(got.readings, "reading", text("stock_id"), F.round(F.col("score") * 1000).cast("long").cast("string")))
+        .unionByName(row(got.rejects.groupBy("stage").agg(F.count(F.lit(1)).alias("n")), "reject", F.col("stage"), text("n")))
+        .unionByName(row(counted, "report", F.col("n"), F.col("v")))
+    )
+
+
+@query("SELECT sha256(stock_id || '|2024-01-31 00:00:00') AS sentiment_id, stock_id, CAST(0.4 AS DOUBLE) AS score, event_type AS summary, TIMESTAMP '2024-01-31' AS date FROM raw_answer JOIN events ON event_id = stock_id WHERE stock_id % 5 = 0", "raw_answer")
+def append_sentiment(spark, sf_dir):
+    ok, _ = scoring.parse_scores(view(spark, sf_dir, "raw_answer"))
+    return ingest.append_sentiment(ok, AS_OF_READINGS).select("sentiment_id", "stock_id", "score", "summary", "date")
+
+
+def _count_lines(prompts: list[str]) -> list[str]:
+    """A model for tests: a tenth for each headline, and it refuses to judge nine of them."""
+    n = [p.split("\n\n")[-1].count("\n") + 1 for p in prompts]
+    if 9 in n:
+        raise ValueError("nine headlines")
+    return [f'{{"score": {k / 10}, "summary": "{k} headlines"}}' for k in n]
+
+
+@query(f", {HEADLINES} SELECT stock_id, CASE WHEN n <> 9 THEN n / 10 END AS score, CASE WHEN n = 9 THEN 'nine headlines' ELSE n || ' headlines' END AS said FROM (SELECT stock_id, count(*) AS n FROM heads GROUP BY stock_id)", "stock", "article", "article_stock", "user_stock")
+def score(spark, sf_dir):
+    """A scorer that fails on some prompts: each such prompt is one reject."""
+    ok, rejects = scoring.parse_scores(written(scoring.score(scoring.build_prompts(_headlines(spark, sf_dir)), _count_lines), "answers"))
+    lost = rejects.select(F.col("key").cast("long").alias("stock_id"), F.lit(None).cast("double").alias("score"), F.col("message").alias("said"))
+    return ok.select("stock_id", "score", F.col("summary").alias("said")).unionByName(lost)
+
+
+SEEDED = ", ".join(f"('{n}')" for n, _ in seed.MARKETS)
+
+
+@query(f"SELECT name FROM (SELECT name FROM market UNION SELECT * FROM (VALUES {SEEDED})) WHERE name NOT IN (SELECT name FROM exchange)", "market", "exchange")
+def insert_new_markets(spark, sf_dir):
+    """Seeded markets and all nations, as far as no market has the name yet."""
+    seeds, _ = seed.seed_dims(spark)
+    batch = view(spark, sf_dir, "market").select("name", F.lit(None).cast("string").alias("description")).unionByName(seeds.select("name", "description"))
+    return maintain.insert_new_markets(view(spark, sf_dir, "exchange"), batch).select("name")
+
+
+SEED_ROWS = ", ".join(f"('{t}', '{n}', '{m}')" for t, n, m in seed.STOCKS)
+
+
+@query(f", seeded(ticker, name, market) AS (VALUES {SEED_ROWS}) SELECT CAST(stock_id AS VARCHAR) AS stock_id, ticker, name FROM listing UNION ALL SELECT sha256(ticker), ticker, name FROM seeded", "listing")
+def seed_stocks(spark, sf_dir):
+    """The stock table after the seeds are merged into it."""
+    _, seeds = seed.seed_dims(spark)
+    known = view(spark, sf_dir, "listing").select(F.col("stock_id").cast("string").alias("stock_id"), "ticker", "name", F.lit(None).cast("string").alias("market_id"))
+    return maintain.upsert_stocks(known, seeds).select("stock_id", "ticker", "name")
+
+
+@query(
+    f""", {LATEST}, {HISTORY}, one AS (SELECT * FROM stock WHERE upper(ticker) = upper('{TICKER}') ORDER BY ticker LIMIT 1)
+    SELECT o.stock_id, o.ticker, m.name AS market, (SELECT score FROM latest l WHERE l.stock_id = o.stock_id) AS score,
+      (SELECT count(*) FROM history h WHERE h.stock_id = o.stock_id) AS n_readings, least(20, (SELECT count(*) FROM article_stock a WHERE a.stock_id = o.stock_id)) AS n_articles
+    FROM one o JOIN market m USING (market_id)""",
+    "stock", "market", "sentiment", "article_stock",
+)
+def stock_by_ticker(spark, sf_dir):
+    """The page of one stock, its ticker given in other case."""
+    return d.stock_detail(tables(spark, sf_dir), ticker=TICKER.lower()).select("stock_id", "ticker", "market", "score", "n_readings", "n_articles")
+
+
+@query("SELECT DISTINCT e.user_id, e.k AS stock_id, f.user_id IS NOT NULL AS followed FROM tagged_event e LEFT JOIN user_stock f ON f.user_id = e.user_id AND f.stock_id = e.k", "tagged_event", "user_stock")
+def is_followed(spark, sf_dir):
+    asked = view(spark, sf_dir, "tagged_event").select("user_id", F.col("k").alias("stock_id")).distinct()
+    return d.is_followed(tables(spark, sf_dir), asked)
+
+
+@query("SELECT invitation_id, email, created_at FROM invitation JOIN account w ON w.user_id = invited_by_id ORDER BY created_at DESC, invitation_id LIMIT 100".replace("email,", "invitation.email,"), "invitation", "account")
+def newest_invitations(spark, sf_dir):
+    """The hundred newest invitations of all."""
+    newest = maintain.invitations_view(view(spark, sf_dir, "invitation"), view(spark, sf_dir, "account"), order="newest")
+    return newest.limit(100).select("invitation_id", "email", "created_at")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M') AS minute FROM events", "market")
+def request_times(spark, sf_dir):
+    """The dates and minutes that requests to the feeds are made of."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", tm.utc_date(F.col("ts")).alias("day"), tm.utc_minute(F.col("ts")).alias("minute"))
+
+
+@query(f", {HITS} SELECT DISTINCT symbol AS ticker, symbol AS name, (SELECT market_id FROM exchange WHERE name = 'NYSE') AS market_id FROM hits", "exchange")
+def stocks_from_search(spark, sf_dir):
+    """Hits of all searches as stocks to upsert, with the market that their symbol tells."""
+    return maintain.stocks_from_search(_hits(spark, sf_dir), view(spark, sf_dir, "exchange"))
+
+
+STORED = ("market", "stock", "article", "article_stock", "sentiment", "user_stock", "user_market", "app_user", "invitation")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in STORED), *STORED)
+def load_tables(spark, sf_dir):
+    """The nine tables, stored under their schemas and read back."""
+    folder = shared_path(spark, "tables")
+    for name in STORED:
+        own = view(spark, sf_dir, name)
+        fields = [c.strip().split(" ") for c in TABLES[name].split(",")]
+        own.select(*[(F.col(c) if c in own.columns else F.lit(None)).cast(t).alias(c) for c, t in fields]).write.parquet(f"{folder}/{name}")
+    out = None
+    for name, df in feeds.load_tables(spark, folder).items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES["stream_ingest"] = QUERIES.pop("stream_ingest_events")
 ORACLE_SQL["stream_ingest"] = ORACLE_SQL.pop("stream_ingest_events")

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 AS_OF_ARTICLES = datetime(2001, 8, 1)
 AS_OF_READINGS = datetime(2024, 1, 31)
 
-_SUFFIXES = "case s_suppkey % 8 when 0 then '.LS' when 1 then '.L' when 2 then '.PA' when 3 then '.DE' when 4 then '.AS' when 5 then '-USD' when 6 then '.B' else '' end"
+_SUFFIXES = "case {0} % 8 when 0 then '.LS' when 1 then '.L' when 2 then '.PA' when 3 then '.DE' when 4 then '.AS' when 5 then '-USD' when 6 then '.B' else '' end"
+_TICKER = "'T' || cast({0} as string) || " + _SUFFIXES
 _INVITED = "'guest' || cast({} as string) || '@example.com'"
 
 VIEWS = {
@@ -37,7 +38,7 @@ VIEWS = {
     "user_market": """select distinct o_custkey as user_id, s_nationkey as market_id
         from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey""",
     # tickers of every kind
-    "listing": f"select s_suppkey as stock_id, 'T' || cast(s_suppkey as string) || {_SUFFIXES} as ticker, s_name as name from supplier",
+    "listing": f"select s_suppkey as stock_id, {_TICKER.format('s_suppkey')} as ticker, s_name as name from supplier",
     "exchange": """select 100 + n_nationkey as market_id, case n_nationkey when 0 then 'NYSE' when 1 then 'NASDAQ' when 2 then 'LSE'
         when 3 then 'CRYPTO' when 4 then 'FOREX' when 5 then 'EURONEXT_LISBON' else n_name end as name from nation""",
     # accounts and invitations
@@ -60,6 +61,20 @@ VIEWS = {
     # feeds
     "page_news": "select doc_id as pos, md5(text) as url, text as headline, source, text is not null as there from documents",
     "tagged_event": "select event_id as article_id, cast(replace(replace(props, '{\"k\": ', ''), '}', '') as bigint) as k, user_id, event_type from events",
+    # what the three feeds of a full run bring, in order of ``seq``, and what was stored before
+    "general_feed": """select o_orderkey as seq, 'https://news.example.com/a/' || cast(cast(floor(o_orderkey / 2) as bigint) as string) as url,
+        case when o_orderstatus = 'P' then '' else o_orderpriority || ' order ' || cast(o_orderkey as string) end as headline,
+        o_orderstatus as source, o_orderdate as published_at from orders""",
+    "company_feed": f"""select l_orderkey * 10 + l_linenumber as seq, {_TICKER.format('l_suppkey')} as ticker,
+        'https://news.example.com/a/' || cast(l_orderkey as string) as url,
+        case l_returnflag when 'R' then 'loss and warning' when 'A' then 'record profit but a loss' else 'growth' end || ' ' || cast(l_partkey as string) as headline,
+        case when l_linenumber <> 7 then l_linestatus end as source, l_shipdate as published_at from lineitem""",
+    "tagged_feed": f"""select event_id as seq, 'https://news.example.com/t/' || cast(cast(floor(event_id / 3) as bigint) as string) as url,
+        case when event_type = 'error' then '' else event_type || ' surge' end as title, ts as published_at,
+        {_TICKER.format('user_id')} as first_symbol, {_TICKER.format('(event_id % 50)')} as second_symbol from events""",
+    "stored_article": """select 'c' || cast(c_custkey as string) as article_id, 'https://news.example.com/a/' || cast(c_custkey * 3 as string) as url,
+        c_name as headline, cast('2001-07-30 00:00:00' as timestamp) as published_at from customer""",
+    "stored_link": "select 'c' || cast(c_custkey as string) as article_id, c_nationkey as stock_id from customer",
     "raw_answer": """select event_id as stock_id, case event_id % 5
         when 0 then '{"score": 0.4, "summary": "' || event_type || '"}'
         when 1 then '```json {"score": 0.4} ```'

@@ -19,7 +19,10 @@ def stream_ingest(spark: SparkSession, feed_dir: str, table_dir: str, checkpoint
     """
     source = spark.readStream.schema(NEWS).option("maxFilesPerTrigger", files_per_batch).json(feed_dir)
 
+    taken = []
+
     def take_in(batch: DataFrame, batch_id: int) -> None:
+        taken.append(batch_id)
         rows, _ = split_storable(normalize_news(valid_articles(batch)))
         stored = read_articles(spark, table_dir).where(F.col("batch") != batch_id)
         new = insert_new_articles(stored, rows.select("url", "headline", "summary", "source", "published_at"), ("published_at",))
@@ -29,7 +32,7 @@ def stream_ingest(spark: SparkSession, feed_dir: str, table_dir: str, checkpoint
         source.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return len(query.recentProgress)
+    return len(taken)
 
 
 ARTICLES = "url string, headline string, summary string, source string, published_at timestamp, article_id string, batch long"
