@@ -97,8 +97,8 @@ def test_missing_scores_differ_by_query(spark):
 
 def test_top_k_is_a_prefix_and_one_user_equals_all(spark):
     t = make_tables(spark, 60)
-    small = set(rows(scope.user_newest(t.article_stock, t.article, t.user_stock, 5), "user_id", "article_id"))
-    assert small <= set(rows(scope.user_newest(t.article_stock, t.article, t.user_stock, 6), "user_id", "article_id"))
+    small = set(rows(scope.user_newest(scope.stock_newest(t.article_stock, t.article, 5), t.user_stock, 5), "user_id", "article_id"))
+    assert small <= set(rows(scope.user_newest(scope.stock_newest(t.article_stock, t.article, 6), t.user_stock, 6), "user_id", "article_id"))
     everyone = rows(d.overview(t, NOW).where("user_id = 1"), "articles_24h", "readings", "portfolio_score")
     t.users, t.user_stock = t.users.where("user_id = 1"), t.user_stock.where("user_id = 1")
     assert rows(d.overview(t, NOW), "articles_24h", "readings", "portfolio_score") == everyone
@@ -235,7 +235,7 @@ def test_newest_of_users_left_short_by_their_floor(spark):
             for u in (1, 2, 3):
                 own = {a for a, s in links if (u, s) in follows}
                 want += [(u, a, i + 1) for i, a in enumerate(sorted(own, key=lambda a: (-date[a].timestamp(), a))[:k])]
-            got = scope.user_newest(la, aa, ua, k, spare).select("user_id", "article_id", "rank")
+            got = scope.user_newest(scope.stock_newest(la, aa, k), ua, k, spare).select("user_id", "article_id", "rank")
             assert sorted(map(tuple, got.collect())) == sorted(want), (k, spare)
 
 
@@ -327,9 +327,10 @@ def test_cascade_from_market_reaches_readings(spark):
 
 
 def test_search_limits_and_dedupes(spark):
-    hits = [("q", i, f"S{i % 12}", "d", "Common Stock") for i in range(24)] + [("q", 30, "", "d", "Common Stock"), (" ", 1, "A", "d", "Common Stock"), ("q", 31, "Z", "d", "ETF")]
+    hits = [("q", i, f"S{i % 12}", "d", "Common Stock") for i in range(24)] + [("q", 30, "", "d", "Common Stock"), (" ", 1, "A", "d", "Common Stock"), ("", 2, "B", "d", "Common Stock"), ("q", 31, "Z", "d", "ETF")]
     got = maintain.search_stocks(spark.createDataFrame(hits, "query string, pos int, symbol string, description string, type string"))
-    assert [r.symbol for r in got.orderBy("rank").collect()] == [f"S{i}" for i in range(10)]
+    assert [r.symbol for r in got.where("query = 'q'").orderBy("rank").collect()] == [f"S{i}" for i in range(10)]
+    assert rows(got.where("query <> 'q'"), "query", "symbol") == [(" ", "A")]  # only the empty query is refused
 
 
 def test_invitation_order_puts_pending_first(spark):

@@ -80,14 +80,13 @@ def user_floors(newest: DataFrame, user_stock: DataFrame, k: int, spare: float =
     return floors.select("user_id", F.when(F.col("all_held") > 2 * spare * k, F.col("floor")).alias("floor"))
 
 
-def user_newest(links: DataFrame, articles: DataFrame, user_stock: DataFrame, k: int, spare: float = 2.0) -> DataFrame:
+def user_newest(newest: DataFrame, user_stock: DataFrame, k: int, spare: float = 2.0) -> DataFrame:
     """The newest ``k`` articles of each user's stocks: (user_id, article_id, published_at, rank).
 
-    A user's newest k are among the newest k of each of the user's stocks, so stocks are cut
-    first. Of these only articles since the user's floor are taken. A user who has k of them has
+    A user's newest k are among the newest k of each of the user's stocks, which ``newest`` is (see
+    ``stock_newest``). Of these only articles since the user's floor are taken. A user who has k of them has
     the true newest k; the few who have not are looked at again without a floor.
     """
-    newest = stock_newest(links, articles, k)
     # an article that comes by several stocks has one dense rank, so it is told apart after the
     # cut: rows are pruned before the only shuffle by user
     order = W.partitionBy("user_id").orderBy(F.desc("published_at"), F.asc("article_id"))
@@ -112,20 +111,20 @@ def global_newest(articles: DataFrame, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("published_at"), F.asc("article_id"))))
 
 
-def scoped_newest(users: DataFrame, scoped_users: DataFrame, links: DataFrame, articles: DataFrame, user_stock: DataFrame, k: int) -> DataFrame:
+def scoped_newest(users: DataFrame, scoped_users: DataFrame, newest: DataFrame, articles: DataFrame, user_stock: DataFrame, k: int) -> DataFrame:
     """Newest ``k`` articles of each user: of the watchlist for ``scoped_users``, of all for the rest.
 
     The rest share one list of k rows, which is broadcast.
     """
-    own = user_newest(links, articles, user_stock, k)
+    own = user_newest(newest, user_stock, k)
     rest = users.select("user_id").join(scoped_users.select("user_id"), "user_id", "left_anti")
     shared = rest.crossJoin(F.broadcast(global_newest(articles, k)))
     return own.unionByName(shared)
 
 
-def showable(links: DataFrame, articles: DataFrame, k: int) -> DataFrame:
+def showable(newest: DataFrame, articles: DataFrame, k: int) -> DataFrame:
     """Ids of all articles that can be on a page of ``k``: the newest of a stock, or of all."""
-    return stock_newest(links, articles, k).select("article_id").unionByName(global_newest(articles, k).select("article_id")).distinct()
+    return newest.select("article_id").unionByName(global_newest(articles, k).select("article_id")).distinct()
 
 
 def users_with_articles(links: DataFrame, user_stock: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,12 @@ def tables(spark: SparkSession, sf_dir: str) -> d.Tables:
     return d.Tables(v("app_user"), v("stock"), v("market"), v("article"), v("article_stock"), v("sentiment"), v("user_stock"), v("user_market"))
 
 
+def feed_tables(spark: SparkSession, sf_dir: str) -> d.Tables:
+    """The same, with follows and links written first: a feed reads them several times."""
+    t = tables(spark, sf_dir)
+    return replace(t, user_stock=written(t.user_stock, "user-stock"), article_stock=written(t.article_stock, "article-stock"))
+
+
 def longs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
@@ -142,7 +149,7 @@ def top_movers(spark, sf_dir):
     "app_user", "stock", "article", "article_stock", "user_stock",
 )
 def overview_headlines(spark, sf_dir):
-    return longs(d.overview_headlines(tables(spark, sf_dir), AS_OF_ARTICLES), "rank")
+    return longs(d.overview_headlines(feed_tables(spark, sf_dir), AS_OF_ARTICLES), "rank")
 
 
 FEED_VIEWS = ("app_user", "stock", "sentiment", "article", "article_stock", "user_stock")
@@ -150,12 +157,12 @@ FEED_VIEWS = ("app_user", "stock", "sentiment", "article", "article_stock", "use
 
 @query(feed_sql(50, 50, newest_sql(50)), *FEED_VIEWS)
 def news_feed(spark, sf_dir):
-    return longs(d.news_feed(tables(spark, sf_dir), AS_OF_ARTICLES), "rank")
+    return longs(d.news_feed(feed_tables(spark, sf_dir), AS_OF_ARTICLES), "rank")
 
 
 @query(feed_sql(200, 50, newest_sql(200), "bucket = 'bull'"), *FEED_VIEWS)
 def news_feed_mood(spark, sf_dir):
-    return longs(d.news_feed(tables(spark, sf_dir), AS_OF_ARTICLES, mood="bull"), "rank")
+    return longs(d.news_feed(feed_tables(spark, sf_dir), AS_OF_ARTICLES, mood="bull"), "rank")
 
 
 FOUND = f"found AS (SELECT * FROM article WHERE published_at >= {A} - INTERVAL 720 HOURS AND contains(lower(headline), 'building order 1'))"
@@ -163,7 +170,7 @@ FOUND = f"found AS (SELECT * FROM article WHERE published_at >= {A} - INTERVAL 7
 
 @query(feed_sql(50, 50, f"{FOUND}, {newest_sql(50, 'found')}"), *FEED_VIEWS)
 def news_feed_search(spark, sf_dir):
-    return longs(d.news_feed(tables(spark, sf_dir), AS_OF_ARTICLES, window="30d", query=" Building Order 1"), "rank")
+    return longs(d.news_feed(feed_tables(spark, sf_dir), AS_OF_ARTICLES, window="30d", query=" Building Order 1"), "rank")
 
 
 TICKER = "Supplier#000000007"
@@ -173,12 +180,12 @@ NAMED_NEWEST = "newest AS (SELECT u.user_id, e.article_id, e.published_at, e.ran
 
 @query(feed_sql(50, 50, f"{NAMED}, {NAMED_NEWEST}"), *FEED_VIEWS)
 def news_feed_ticker(spark, sf_dir):
-    return longs(d.news_feed(tables(spark, sf_dir), AS_OF_ARTICLES, ticker=TICKER), "rank")
+    return longs(d.news_feed(feed_tables(spark, sf_dir), AS_OF_ARTICLES, ticker=TICKER), "rank")
 
 
 @query(f"SELECT user_id, count(*) AS shown, bool_or(has_more) AS has_more FROM (WITH x AS (SELECT 1) {feed_sql(50, 50, newest_sql(50))}) GROUP BY user_id", *FEED_VIEWS)
 def feed_summary(spark, sf_dir):
-    return d.feed_summary(d.news_feed(tables(spark, sf_dir), AS_OF_ARTICLES))
+    return d.feed_summary(d.news_feed(feed_tables(spark, sf_dir), AS_OF_ARTICLES))
 
 
 @query(

@@ -17,6 +17,7 @@ from ..functions.mood import indicator, mood_bucket, mood_label
 from ..functions.time import as_of_like, in_window, month_day, relative_age, status_label
 from ..operators import rank, scope
 from ..sources.seed import MARKET_ICONS, OTHER_ICON
+from ..sources.storage import written
 
 
 @dataclass
@@ -75,10 +76,11 @@ def top_movers(t: Tables, k: int = 3) -> DataFrame:
 def overview_headlines(t: Tables, as_of: datetime, k: int = 5, tickers: int = 3) -> DataFrame:
     """The newest ``k`` headlines in each user's scope, with their first tickers and age."""
     scoped = scope.users_with_articles(t.article_stock, t.user_stock)
-    rows = scope.scoped_newest(t.users, scoped, t.article_stock, t.article, t.user_stock, k)
+    newest = written(scope.stock_newest(t.article_stock, t.article, k), "stock-newest")
+    rows = scope.scoped_newest(t.users, scoped, newest, t.article, t.user_stock, k)
     now = as_of_like(t.article, "published_at", as_of)
     shown = rows.join(t.article.select("article_id", "headline"), "article_id")
-    facts = scope.article_facts(t.article_stock, t.stock, only=scope.showable(t.article_stock, t.article, k))
+    facts = scope.article_facts(t.article_stock, t.stock, only=scope.showable(newest, t.article, k))
     return shown.join(facts, "article_id", "left").select(
         "user_id", "rank", "article_id", "headline",
         F.array_join(F.slice(F.coalesce("tickers", F.array().cast("array<string>")), 1, tickers), ",").alias("tickers"),
@@ -101,10 +103,12 @@ def news_feed(
     articles = scope.headline_contains(in_window(t.article, "published_at", as_of, window), query)
     if ticker:
         articles = scope.scope_ticker(articles, t.article_stock, t.stock, ticker)
-        rows = t.users.select("user_id").crossJoin(F.broadcast(scope.global_newest(articles, fetch)))
+        shown = scope.global_newest(articles, fetch)
+        rows = t.users.select("user_id").crossJoin(F.broadcast(shown))  # one page of k rows for all
     else:
-        rows = scope.scoped_newest(t.users, scope.users_with_watchlist(t.user_stock), t.article_stock, articles, t.user_stock, fetch)
-    facts = scope.article_facts(t.article_stock, t.stock, t.latest, scope.showable(t.article_stock, articles, fetch))
+        shown = written(scope.stock_newest(t.article_stock, articles, fetch), "stock-newest")
+        rows = scope.scoped_newest(t.users, scope.users_with_watchlist(t.user_stock), shown, articles, t.user_stock, fetch)
+    facts = scope.article_facts(t.article_stock, t.stock, t.latest, scope.showable(shown, articles, fetch))
     rows = rows.join(facts, "article_id", "left").withColumn("bucket", mood_bucket(F.col("score")))
     if mood:
         rows = rows.where(F.col("bucket") == mood)
