@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,13 +19,16 @@ ASCII_LOWER = ASCII_UPPER.lower()
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) is a local folder made and set.
+    Only where a local session has none (tests, a laptop) is a local folder made and set; on a
+    cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         made = spark.sparkContext.getCheckpointDir()
         if made:
             return made
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="tickerloom-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
