@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from compare import differences
 from helpers import documents, frame
 
 from tickerloom.llm import op08_licenses as lic
@@ -107,3 +108,7 @@ def test_spans_match_regular_expressions():
                 i = max([i + 1, *ends])
         raw = [w.encode() for w in words]
         assert lic.template_matches(raw, b" ".join(raw), frozen) == want
+
+
+def test_matches_sql(spark, sf, con):
+    assert differences(lic.op8_template_automata(spark, sf).toPandas(), lic.ORACLE_SQL, con) == ""

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from compare import differences
 from helpers import documents, frame
 
 from tickerloom.llm import op05_secrets as s
@@ -88,3 +89,7 @@ def test_kinds_of_the_method(spark):
     got = {r.path: [(f.kind, f.start, f.end) for f in r.findings] for r in s.scan_secrets(frame(spark, [(i, t, None, None) for i, t in texts.items()]), "doc_id", "text").collect()}
     at = texts[1].index("Bearer")
     assert got == {1: [("jwt", 2, 2 + len(jwt)), ("bearer", at, at + len(bearer))], 2: [], 3: [("pem", 0, len(texts[3]) - 5)], 4: [("pem", 0, len(texts[4]))]}
+
+
+def test_matches_sql(spark, sf, con):
+    assert differences(s.op5_blob_ledger(spark, sf).toPandas(), s.ORACLE_SQL, con) == ""

@@ -43,7 +43,7 @@ RULES = (
     ),
     Rule("access", re.compile(r"AKIA[A-Z0-9]+"), ("akia",), 0, 20),
     Rule("hex", re.compile(r"[0-9a-f]{24,}")),  # a run is maximal, so its length may be asked at once
-    Rule("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"), ("private key-----",)),
+    Rule("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\t\n\r\x20]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"), ("private key-----",)),
     Rule("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), ("eyj",)),
     Rule("bearer", re.compile(r"Bearer\x20+[A-Za-z0-9._~+/-]{16,}=*"), ("bearer",)),
 )
@@ -204,3 +204,38 @@ def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_text("findings", rules.kinds(), BASE_KINDS).cast("binary"), 256).alias("base_sha256"),
         span_text("findings", rules.kinds()).alias("spans"),
     )
+
+
+def _letters(word: str) -> str:
+    """A word in either case, spelled out: folding would also take other alphabets' letters."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _found_sql(place: int, rule: Rule) -> str:
+    pattern = rule.pattern.pattern.replace("'", "''")
+    if rule.pattern.flags & re.I:
+        start, rest = pattern.split(")", 1)
+        pattern = f"({'|'.join(_letters(w) for w in start[1:].split('|'))}){rest}"
+    return f"""SELECT row, {place} AS k, '{rule.kind}' AS kind,
+      unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+        a := list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+        n := length(m[i]), own := length(g[i])))) AS f
+      FROM (SELECT row, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS s FROM d)
+      WHERE len(m) > 0"""
+
+
+def _spans_sql(where: str = "true") -> str:
+    return f"coalesce(string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k) FILTER ({where}), '')"
+
+
+#: A match starts after the pieces and matches before it.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT row, k, kind, CAST(f.a AS BIGINT) AS a, CAST(f.a + f.n AS BIGINT) AS e, f.own
+  FROM ({' UNION ALL '.join(_found_sql(i, r) for i, r in enumerate(RULES))})
+), kept AS (SELECT * FROM found WHERE own >= CASE kind {' '.join(f"WHEN '{r.kind}' THEN {r.least}" for r in RULES)} END)
+SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)},
+       sha256({_spans_sql("kind IN ('assign', 'access', 'hex')")}) AS base_sha256, {_spans_sql()} AS spans
+FROM d LEFT JOIN kept USING (row) GROUP BY row, doc_id
+"""

@@ -257,3 +257,35 @@ def op8_template_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
         names(F.col("phrases.label"), F.col("templates.label")).alias("labels"),
         F.when(F.size("templates") > 0, 1.0).when(F.size("phrases") > 0, 0.5).otherwise(0.0).alias("score"),
     )
+
+
+def _regex(source: str) -> str:
+    """A template as a regular expression over words that a blank follows each."""
+    part = lambda m: "(?:" if m[1] else ")?" if m[2] else f"(?:[^ ]+ ){{{m[3]},{m[4]}}}" if m[3] else "".join(w.decode() + " " for w in words_of(m[5]))
+    return "".join(part(m) for m in _MARKUP.finditer(source))
+
+
+def _places_sql(phrase: str, label: str) -> str:
+    want = phrase.split()
+    stands = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(want))
+    return f"list_transform(list_filter(range(len(w) - {len(want) - 1}), lambda i: {stands}), lambda i: struct_pack(label := '{label}', first := i))"
+
+
+#: A template is accepted somewhere if its regular expression is found between words.
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS line FROM documents
+), words AS (
+  SELECT doc_id, ' ' || line || ' ' AS line, CASE WHEN line = '' THEN [] ELSE string_split(line, ' ') END AS w FROM d
+), found AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {' || '.join(_places_sql(p, x) for p, x in PHRASES.items())} AS p,
+         list_filter([{', '.join(f"CASE WHEN regexp_matches(line, ' {_regex(t)}') THEN '{n}' END" for n, t in TEMPLATES.items())}], lambda x: x IS NOT NULL) AS accepted
+  FROM words
+), named AS (
+  SELECT *, list_transform(p, lambda x: x.first) AS firsts, list_distinct(list_transform(p, lambda x: x.label)) AS base FROM found
+)
+SELECT doc_id, n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(firsts) AS first_word, list_max(firsts) AS last_word,
+       coalesce(array_to_string(list_sort(base), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(base || accepted)), ','), '') AS labels,
+       CAST(CASE WHEN len(accepted) > 0 THEN 1 WHEN len(p) > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+FROM named
+"""

@@ -29,6 +29,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_blob_ledger": op05_secrets.ORACLE_SQL,
     "op7_redirect_equivalence": op07_urls.ORACLE_SQL,
+    "op8_template_automata": op08_licenses.ORACLE_SQL,
     "op10_rendezvous_sharding": op10_sharding.ORACLE_SQL,
 }
