@@ -210,7 +210,7 @@ def stock_articles(spark, sf_dir):
 
 
 @query(
-    f""", {HISTORY} SELECT stock_id, row_number() OVER (PARTITION BY stock_id ORDER BY rank DESC) AS pos, sentiment_id, date, strftime(date, '%b %-d') AS day, score, round(score, 3) AS score_3 FROM history""",
+    f""", {HISTORY} SELECT stock_id, row_number() OVER (PARTITION BY stock_id ORDER BY rank DESC) AS pos, sentiment_id, date, strftime(date, '%b %-d') AS day, score, round(score, 3) + 0.0 AS score_3 FROM history""",
     "sentiment",
 )
 def stock_history(spark, sf_dir):
