@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -191,11 +192,12 @@ def train(docs: DataFrame, label: str = "lang", s: Settings = Settings()) -> Lan
     features = got.column("x").combine_chunks()
     del got
     # rows in an order of their own, so that the sums do not depend on how tasks ended
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], features[i].as_buffer().to_pybytes()))
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], md5(features[i].as_buffer()).digest()))
     x = np.empty((len(langs), 1 << s.bits), np.float32)
     for k, i in enumerate(order):
         x[k] = np.frombuffer(features[i].as_buffer(), np.float16)
     del features
+    pa.default_memory_pool().release_unused()
     return LanguageModel.fit(x, langs[order], s)
 
 
