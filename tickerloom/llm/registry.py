@@ -13,6 +13,7 @@ from . import (
     op08_licenses,
     op09_packing,
     op10_sharding,
+    op13_parity,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_template_automata": op08_licenses.op8_template_automata,
     "op9_histogram_best_fit": op09_packing.op9_histogram_best_fit,
     "op10_rendezvous_sharding": op10_sharding.op10_rendezvous_sharding,
+    "op13_parity_join": op13_parity.op13_parity_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
