@@ -13,6 +13,7 @@ from . import (
     op08_licenses,
     op09_packing,
     op10_sharding,
+    op11_merkle,
     op13_parity,
 )
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_template_automata": op08_licenses.op8_template_automata,
     "op9_histogram_best_fit": op09_packing.op9_histogram_best_fit,
     "op10_rendezvous_sharding": op10_sharding.op10_rendezvous_sharding,
+    "op11_merkle_exchange": op11_merkle.op11_merkle_exchange,
     "op13_parity_join": op13_parity.op13_parity_join,
 }
 
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_redirect_equivalence": op07_urls.ORACLE_SQL,
     "op8_template_automata": op08_licenses.ORACLE_SQL,
     "op10_rendezvous_sharding": op10_sharding.ORACLE_SQL,
+    "op11_merkle_exchange": op11_merkle.ORACLE_SQL,
 }
