@@ -7,6 +7,7 @@ import pytest
 from helpers import AWKWARD, documents, frame, words
 
 from tickerloom.llm import op13_parity as op
+from tickerloom.llm import sieve
 
 
 def brute(rows, n=5, similarity=80):
@@ -91,7 +92,7 @@ def test_small_cells_and_a_sieve_that_lets_all_through_change_nothing(spark, mon
     roots = lambda df: sorted(r["root"] is not None for r in df.collect())
     groups = lambda df: sorted(map(len, {r["root"]: [x["name"] for x in df.collect() if x["root"] == r["root"]] for r in df.collect()}.values()))
     plain = groups(op.materialise(op.similar_sets(docs, keyed, 5, 0.8), "test-a"))
-    monkeypatch.setattr(op, "SIEVE_BITS", 1 << 15)
+    monkeypatch.setattr(sieve, "SIEVE_BITS", 1 << 15)
     assert groups(op.materialise(op.similar_sets(docs, keyed, 5, 0.8, cell=3), "test-b")) == plain
     assert roots(op.similar_sets(docs, keyed, 5, 0.8, cell=3))
 

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialise, scratch, table
 from .graph import connected_components
 from .op06_simhash import shingle_hashes, simhash
+from .sieve import mixed, sieve, sifted
 
 WORDS, SIMILARITY = 5, 0.8
 _EPS = 1e-9  # 0.8 is not a binary fraction
 _SMALL = 32  # sets up to this size have a part for each shingle
 _WIDTH = 1.5  # of a size band
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def content(text: Column) -> Column:
@@ -53,13 +53,6 @@ def set_name(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x + _MIX[0]
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
 def band_top(band: int) -> int:
     return int(_SMALL * _WIDTH**band)
 
@@ -93,7 +86,7 @@ def sketch(own: np.ndarray, band: int, apart: int, similarity: float) -> np.ndar
         if len(part) <= apart:
             rest = np.setdiff1d(np.arange(m, dtype=np.uint64), part)
             part, value = np.concatenate((part, rest)), np.concatenate((value, np.zeros(len(rest), np.uint64)))
-    return _mixed(value ^ _mixed(part + (np.uint64(band) << np.uint64(40))))
+    return mixed(value ^ mixed(part + (np.uint64(band) << np.uint64(40))))
 
 
 def sketches(own: np.ndarray, similarity: float) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -154,28 +147,6 @@ def keyed_sets(docs: DataFrame, words: int, similarity: float, with_simhash: boo
     return map_arrow(docs, f"{schema}, {KEYED}", rows)
 
 
-SIEVE_BITS = 1 << 27
-
-
-def sieve(keys: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of the low bits of the ``n`` longs in ``keys`` (key), as bytes: 16 bits a key, as long
-    as that is at most ``SIEVE_BITS`` (16 MB). A bitmap that is too small lets more through, and
-    loses nothing."""
-    size = min(SIEVE_BITS, 1 << max(15, (16 * n).bit_length()))
-    low = keys.select((F.col("key").bitwiseAND(F.lit(size - 1)) + 1).alias("k"))
-    cells = low.groupBy(F.expr("bitmap_bucket_number(k)").alias("cell")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("b"))
-    bits = np.zeros((size // 32768, 4096), np.uint8)
-    for row in cells.toLocalIterator():
-        bits[row["cell"] - 1] = np.frombuffer(bytes(row["b"]), np.uint8)
-    return bits.reshape(-1)
-
-
-def sifted(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of the keys may be in the sieve."""
-    at = keys.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def meeting_keys(keyed: DataFrame) -> DataFrame:
     """(name, band, key) of the keys by which a set can meet similar ones: the least frequent
     ``apart`` + 1 of its keys in a band, less those that no other set has.

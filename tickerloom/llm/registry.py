@@ -14,6 +14,7 @@ from . import (
     op09_packing,
     op10_sharding,
     op11_merkle,
+    op12_collocations,
     op13_parity,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_histogram_best_fit": op09_packing.op9_histogram_best_fit,
     "op10_rendezvous_sharding": op10_sharding.op10_rendezvous_sharding,
     "op11_merkle_exchange": op11_merkle.op11_merkle_exchange,
+    "op12_dynamic_itemsets": op12_collocations.op12_dynamic_itemsets,
     "op13_parity_join": op13_parity.op13_parity_join,
 }
 
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_template_automata": op08_licenses.ORACLE_SQL,
     "op10_rendezvous_sharding": op10_sharding.ORACLE_SQL,
     "op11_merkle_exchange": op11_merkle.ORACLE_SQL,
+    "op12_dynamic_itemsets": op12_collocations.ORACLE_SQL,
 }
