@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import route_feed
 from ..functions.time import from_epoch_seconds, from_iso
+from ..sources.schemas import CORRUPT
 from .rank import dedupe_first
 
 ARTICLE = ("url", "headline", "summary", "source", "published_at")
@@ -32,6 +33,13 @@ def invalid_articles(df: DataFrame, feed: str, required: Sequence[str] = ("url",
     )
 
 
+def unreadable(df: DataFrame, feed: str) -> DataFrame:
+    """Rejects of the records that are no JSON, by their text."""
+    if CORRUPT not in df.columns:
+        return df.sparkSession.createDataFrame([], "stage string, key string, message string")
+    return df.where(F.col(CORRUPT).isNotNull()).select(F.lit(feed).alias("stage"), F.col(CORRUPT).alias("key"), F.lit("no JSON").alias("message"))
+
+
 def normalize_news(df: DataFrame) -> DataFrame:
     """General and company news as articles; other columns are kept behind."""
     own = [F.col(c) for c in df.columns if c not in ("headline", "summary", "url", "source", "datetime")]

@@ -17,7 +17,10 @@ from ..sources import feeds, seed
 from ..sources.adapters import AS_OF_ARTICLES, AS_OF_READINGS, view, with_views
 from ..sources.schemas import NEWS, TABLES
 from ..sources.storage import shared_path, written
-from ..streaming.ingest import read_articles, stream_ingest
+from ..streaming.ingest import read_articles, read_rejects, stream_ingest
+from ..streaming.ingest import stream_company_news as take_company_news
+from ..streaming.ingest import stream_readings as take_readings
+from ..streaming.newest import kept_articles, kept_readings
 from . import dashboard as d
 from . import pipeline
 
@@ -349,24 +352,6 @@ def parse_scores(spark, sf_dir):
     return ok.unionByName(lost)
 
 
-@query(
-    f"""{NEW_PAGES}, {HEADLINES} SELECT (SELECT count(*) FROM page_news WHERE pos % 4 <> 0) AS fetched, (SELECT count(*) FROM fresh) AS saved, (SELECT count(*) FROM lineitem) AS tags,
-    (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 4 <> 0)) AS new_links, (SELECT count(DISTINCT stock_id) FROM heads) AS sentiments""",
-    "page_news", "stock", "article", "article_stock", "user_stock",
-)
-def pipeline_report(spark, sf_dir):
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    out = n(view(spark, sf_dir, "page_news").where("pos % 4 <> 0"), "fetched")
-    for part in (
-        n(_new_pages(spark, sf_dir), "saved"),
-        n(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "tags"),
-        n(insert_new_links(spark, sf_dir), "new_links"),
-        n(scoring.score_by_words(scoring.build_prompts(_headlines(spark, sf_dir))), "sentiments"),
-    ):
-        out = out.crossJoin(part)  # one row each
-    return out
-
-
 @query("SELECT * EXCLUDE (r) FROM (SELECT pos, url, headline, source, row_number() OVER (PARTITION BY url ORDER BY pos) AS r FROM page_news) WHERE r = 1", "page_news")
 def dedupe_first(spark, sf_dir):
     return rank.dedupe_first(view(spark, sf_dir, "page_news").drop("there"), ["url"], ["pos"])
@@ -495,18 +480,61 @@ def revocable(spark, sf_dir):
     return maintain.revocable(view(spark, sf_dir, "invitation"), ids)
 
 
-@query("SELECT DISTINCT 'https://e.example.com/' || cast(user_id AS varchar) || '/' || event_type AS url, event_type AS headline FROM tagged_event", "tagged_event")
+LANDED = """, landed AS (SELECT event_id // 3 AS g, CASE WHEN event_type = 'error' THEN '' ELSE 'item' END AS h, CASE WHEN event_id % 7 <> 3 THEN 'events' END AS source FROM events)
+    SELECT 'article' AS kind, 'https://e.example.com/' || g AS key, 'item ' || g AS value, TIMESTAMP '2024-01-01' + to_minutes(CAST(g AS INTEGER)) AS published_at
+    FROM landed WHERE h <> '' AND source IS NOT NULL GROUP BY g
+    UNION ALL SELECT 'reject', 'general: url or headline is missing', CAST(count(*) AS VARCHAR), NULL FROM landed WHERE h = ''
+    UNION ALL SELECT 'reject', 'store: a required field is null', CAST(count(*) AS VARCHAR), NULL FROM landed WHERE h <> '' AND source IS NULL
+    UNION ALL SELECT 'reject', 'general: no JSON', CAST(count(*) AS VARCHAR), NULL FROM region"""
+
+
+@query(LANDED, "tagged_event")
 def stream_ingest_events(spark, sf_dir):
-    """Events landed as JSON files by day, taken in by a stream that stops at the end."""
+    """Events landed as JSON files by day, lines that are no JSON among them, taken in by a stream
+    that stops at the end: the articles and the rejects by stage and message."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     feed, store, marks = (shared_path(spark, n) for n in ("feed", "articles", "stream"))
+    number = F.expr("event_id div 3")
     events.select(
-        F.to_date("ts").alias("day"), F.lit("general").alias("category"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("datetime"),
-        F.col("event_type").alias("headline"), F.col("event_id").alias("id"), F.lit("events").alias("source"),
-        F.concat(F.lit("https://e.example.com/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("url"),
+        F.to_date("ts").alias("day"), F.lit("general").alias("category"), (F.unix_seconds(F.lit(datetime(2024, 1, 1)).cast("timestamp")) + number * 60).alias("datetime"),
+        F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("item "), number.cast("string"))).alias("headline"), F.col("event_id").alias("id"),
+        F.when(F.col("event_id") % 7 != 3, "events").alias("source"), F.concat(F.lit("https://e.example.com/"), number.cast("string")).alias("url"),
     ).write.partitionBy("day").json(feed)
+    spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit('{"url": "'), "r_name")).coalesce(1).write.text(f"{feed}/day=broken")
     stream_ingest(spark, f"{feed}/day=*", store, marks, files_per_batch=10)
-    return read_articles(spark, store).select("url", "headline")
+    rejects = read_rejects(spark, store).groupBy(F.concat_ws(": ", "stage", "message").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    found = read_articles(spark, store).select(F.lit("article").alias("kind"), F.col("url").alias("key"), F.col("headline").alias("value"), F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+    return found.unionByName(rejects.select(F.lit("reject").alias("kind"), "key", "value", F.lit(None).cast("timestamp_ntz").alias("published_at")))
+
+
+@query(f", {HISTORY} SELECT stock_id, rank, sentiment_id, score, date FROM history", "sentiment")
+def stream_readings(spark, sf_dir):
+    """Readings landed in files in the order of a hash, so that old ones come late: the last thirty
+    of each stock are kept batch by batch."""
+    feed, marks, at = (shared_path(spark, n) for n in ("readings", "stream", "kept"))
+    readings = view(spark, sf_dir, "sentiment").withColumn("date", F.col("date").cast("timestamp"))
+    readings.repartition(5, F.xxhash64("sentiment_id")).write.parquet(feed)
+    kept = kept_readings(spark, at, key="long")
+    take_readings(spark, feed, marks, kept, files_per_batch=1)
+    return longs(kept.read(), "rank").select("stock_id", "rank", "sentiment_id", "score", F.col("date").cast("timestamp_ntz").alias("date"))
+
+
+@query(
+    """, linked AS (SELECT DISTINCT l.stock_id, sha256(a.url) AS article_id, a.published_at FROM article_stock l JOIN article a USING (article_id))
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY published_at DESC, article_id) AS rank FROM linked) WHERE rank <= 20""",
+    "article", "article_stock",
+)
+def stream_company_news(spark, sf_dir):
+    """Company news of every link in the order of a hash: the newest twenty articles of each stock."""
+    t = tables(spark, sf_dir)
+    feed, table, marks, at = (shared_path(spark, n) for n in ("company", "articles", "stream", "kept"))
+    news = t.article_stock.join(t.article, "article_id").withColumn("ticker", F.col("stock_id").cast("string"))
+    seconds = F.unix_seconds(F.col("published_at").cast("timestamp")).alias("datetime")
+    news.select("url", "headline", "source", seconds, "ticker").repartition(4, F.xxhash64("url", "ticker")).write.json(feed)
+    newest = kept_articles(spark, at, key="long")
+    stocks = t.stock.select("stock_id", F.col("stock_id").cast("string").alias("ticker"))
+    take_company_news(spark, feed, table, marks, stocks, newest, files_per_batch=1)
+    return longs(newest.read(), "rank").select("stock_id", "rank", "article_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
 # ---- readers, the full run, and what only it had called ---------------------------------------

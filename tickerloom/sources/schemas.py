@@ -18,4 +18,7 @@ NEWS = "category string, datetime long, headline string, id long, image string,
 TAGGED = "data array<struct<uuid:string,title:string,description:string,url:string,published_at:string,source:string,entities:array<struct<symbol:string>>>>"
 SYMBOLS = "count long, result array<struct<description:string,displaySymbol:string,symbol:string,type:string>>"
 
+#: The column that keeps the text of a record that is no JSON.
+CORRUPT = "_corrupt_record"
+
 ROLES = ("USER", "ADMIN")
