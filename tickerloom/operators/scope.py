@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import route_feed
 from ..functions.time import in_window
+from ..sources.storage import written
 from .rank import top_k_per_group
 
 DEFAULT_LIMIT, MOST, MOST_FETCHED, OVER_FETCH = 50, 500, 2000, 4
@@ -80,13 +81,31 @@ def user_floors(newest: DataFrame, user_stock: DataFrame, k: int, spare: float =
     return floors.select("user_id", F.when(F.col("all_held") > 2 * spare * k, F.col("floor")).alias("floor"))
 
 
-def user_newest(newest: DataFrame, user_stock: DataFrame, k: int, spare: float = 2.0) -> DataFrame:
+def watch_sets(user_stock: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user_id, set_id) of all users with a watchlist, and (set_id, stock_id) of each different one.
+
+    A set is named by its least user. Sets are told apart by their size and two sums over hashes of
+    their stocks, 128 bits, so no watchlist is ever gathered.
+    """
+    own = user_stock.select("user_id", "stock_id").distinct()
+    sums = [F.bit_xor(F.xxhash64("stock_id", F.lit(i))).alias(c) for i, c in enumerate(("a", "b"))]
+    marked = written(own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), *sums), "watch-marks")
+    least = marked.groupBy("n", "a", "b").agg(F.min("user_id").alias("set_id"))
+    members = written(marked.join(least, ["n", "a", "b"]).select("user_id", "set_id"), "watch-members")
+    named = members.where("user_id = set_id").select("set_id")
+    stocks = own.join(named, F.col("user_id") == F.col("set_id")).select("set_id", "stock_id")
+    return members, written(stocks, "watch-sets")
+
+
+def user_newest(newest: DataFrame, user_stock: DataFrame, k: int, spare: float = 2.0, user: str = "user_id") -> DataFrame:
     """The newest ``k`` articles of each user's stocks: (user_id, article_id, published_at, rank).
 
     A user's newest k are among the newest k of each of the user's stocks, which ``newest`` is (see
     ``stock_newest``). Of these only articles since the user's floor are taken. A user who has k of them has
-    the true newest k; the few who have not are looked at again without a floor.
+    the true newest k; the few who have not are looked at again without a floor. ``user`` names the
+    column of whoever follows; what is looked at is written, as it is asked twice who fell short.
     """
+    user_stock = user_stock.withColumnRenamed(user, "user_id")
     # an article that comes by several stocks has one dense rank, so it is told apart after the
     # cut: rows are pruned before the only shuffle by user
     order = W.partitionBy("user_id").orderBy(F.desc("published_at"), F.asc("article_id"))
@@ -97,12 +116,14 @@ def user_newest(newest: DataFrame, user_stock: DataFrame, k: int, spare: float =
         kept = pairs.select("user_id", "article_id", "published_at", F.dense_rank().over(order).alias("rank"))
         return kept.where(F.col("rank") <= k).distinct()
 
-    floors = user_floors(newest, user_stock, k, spare)
-    first = ranked(user_stock.join(floors, "user_id"), True)
+    floors = written(user_floors(newest, user_stock, k, spare), "floors")
+    first = written(ranked(user_stock.join(floors, "user_id"), True), "floored")
     reached = first.groupBy("user_id").agg(F.max("rank").alias("reached")).where(F.col("reached") == k).select("user_id")
-    short = floors.where("floor is not null").select("user_id").join(reached, "user_id", "left_anti")
-    again = ranked(user_stock.join(short, "user_id", "left_semi"), False)
-    return first.join(short, "user_id", "left_anti").unionByName(again)
+    short = written(floors.where("floor is not null").select("user_id").join(reached, "user_id", "left_anti"), "short")
+    if not short.isEmpty():
+        again = ranked(user_stock.join(short, "user_id", "left_semi"), False)
+        first = first.join(short, "user_id", "left_anti").unionByName(again)
+    return first.withColumnRenamed("user_id", user)
 
 
 def global_newest(articles: DataFrame, k: int) -> DataFrame:
@@ -114,9 +135,10 @@ def global_newest(articles: DataFrame, k: int) -> DataFrame:
 def scoped_newest(users: DataFrame, scoped_users: DataFrame, newest: DataFrame, articles: DataFrame, user_stock: DataFrame, k: int) -> DataFrame:
     """Newest ``k`` articles of each user: of the watchlist for ``scoped_users``, of all for the rest.
 
-    The rest share one list of k rows, which is broadcast.
+    Users with one watchlist share one list; the rest share one of k rows, which is broadcast.
     """
-    own = user_newest(newest, user_stock, k)
+    members, sets = watch_sets(user_stock)
+    own = user_newest(newest, sets, k, user="set_id").join(members, "set_id").drop("set_id")
     rest = users.select("user_id").join(scoped_users.select("user_id"), "user_id", "left_anti")
     shared = rest.crossJoin(F.broadcast(global_newest(articles, k)))
     return own.unionByName(shared)
@@ -136,21 +158,29 @@ def users_with_watchlist(user_stock: DataFrame) -> DataFrame:
     return user_stock.select("user_id").distinct()
 
 
+def article_sets(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set_id, n), how many articles have just that set of stocks, and (set_id, stock_id). A set is
+    named by its least article, and told apart as in ``watch_sets``."""
+    own = links.select("article_id", "stock_id").distinct()
+    sums = [F.bit_xor(F.xxhash64("stock_id", F.lit(i))).alias(c) for i, c in enumerate(("a", "b"))]
+    marked = own.groupBy("article_id").agg(F.count(F.lit(1)).alias("m"), *sums)
+    counted = marked.groupBy("m", "a", "b").agg(F.min("article_id").alias("set_id"), F.count(F.lit(1)).alias("n"))
+    counted = written(counted.select("set_id", "n"), "article-sets")
+    stocks = own.join(counted.select("set_id"), F.col("article_id") == F.col("set_id")).select("set_id", "stock_id")
+    return counted, stocks
+
+
 def articles_24h(users: DataFrame, links: DataFrame, articles: DataFrame, user_stock: DataFrame, as_of: datetime) -> DataFrame:
     """(user_id, articles_24h): articles of the last day in scope.
 
     Users whose stocks have articles count those, the others count all; that is one number.
-    Articles of one stock are counted by stock; only those of several meet users one by one, as
-    a user may follow two of the stocks.
+    Articles are counted by their set of stocks, and sets meet their followers: a set counts once
+    for a user, however many of its stocks the user follows.
     """
-    recent = in_window(articles.select("article_id", "published_at"), "published_at", as_of, "24h").select("article_id")
-    near = links.join(recent, "article_id", "left_semi")
-    several = near.groupBy("article_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("article_id")
-    single = near.join(several, "article_id", "left_anti").groupBy("stock_id").agg(F.count(F.lit(1)).alias("n"))
-    parts = user_stock.join(single, "stock_id").select("user_id", "n").unionByName(
-        user_articles(near.join(several, "article_id", "left_semi"), user_stock).select("user_id", F.lit(1).cast("long").alias("n"))
-    )
-    own = parts.groupBy("user_id").agg(F.sum("n").alias("own"))
+    recent = written(in_window(articles.select("article_id", "published_at"), "published_at", as_of, "24h").select("article_id"), "recent")
+    counted, stocks = article_sets(written(links.join(recent, "article_id", "left_semi"), "recent-links"))
+    met = user_stock.join(stocks, "stock_id").select("user_id", "set_id").distinct()
+    own = met.join(counted, "set_id").groupBy("user_id").agg(F.sum("n").alias("own"))
     scoped = users_with_articles(links, user_stock).withColumn("scoped", F.lit(True))
     everything = recent.agg(F.count(F.lit(1)).alias("everything"))
     return (

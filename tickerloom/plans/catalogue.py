@@ -48,9 +48,11 @@ def tables(spark: SparkSession, sf_dir: str) -> d.Tables:
 
 
 def feed_tables(spark: SparkSession, sf_dir: str) -> d.Tables:
-    """The same, with follows and links written first: a feed reads them several times."""
+    """The same, with follows, links, articles and latest readings written first: they are read several times."""
     t = tables(spark, sf_dir)
-    return replace(t, user_stock=written(t.user_stock, "user-stock"), article_stock=written(t.article_stock, "article-stock"))
+    t = replace(t, **{n: written(getattr(t, n), n.replace("_", "-")) for n in ("user_stock", "article_stock", "article")})
+    t.latest = written(t.latest, "latest")
+    return t
 
 
 def longs(df: DataFrame, *columns: str) -> DataFrame:
@@ -132,7 +134,7 @@ def articles_24h(spark, sf_dir):
     "app_user", "stock", "sentiment", "article", "article_stock", "user_stock",
 )
 def overview(spark, sf_dir):
-    return d.overview(tables(spark, sf_dir), AS_OF_ARTICLES).withColumn("portfolio_score", F.round("portfolio_score", 6))
+    return d.overview(feed_tables(spark, sf_dir), AS_OF_ARTICLES).withColumn("portfolio_score", F.round("portfolio_score", 6))
 
 
 @query(

@@ -95,6 +95,7 @@ def news_feed(
     """Each user's feed: newest articles, strongest sentiment, first tickers, ``has_more``.
 
     Users with a watchlist see its articles, others all; a ticker overrides that for everyone.
+    A page is made once for each different watchlist, and once for all others, and hung on its users.
     With a mood, four times as many are fetched and filtered afterwards, so older matches may
     stay unseen. ``has_more`` is true whenever the page is full and may grow.
     """
@@ -103,23 +104,31 @@ def news_feed(
     articles = scope.headline_contains(in_window(t.article, "published_at", as_of, window), query)
     if ticker:
         articles = scope.scope_ticker(articles, t.article_stock, t.stock, ticker)
-        shown = scope.global_newest(articles, fetch)
-        rows = t.users.select("user_id").crossJoin(F.broadcast(shown))  # one page of k rows for all
-    else:
+    everyones = written(scope.global_newest(articles, fetch).drop("published_at"), "newest")
+    scoped = not ticker
+    if scoped:
         shown = written(scope.stock_newest(t.article_stock, articles, fetch), "stock-newest")
-        rows = scope.scoped_newest(t.users, scope.users_with_watchlist(t.user_stock), shown, articles, t.user_stock, fetch)
-    facts = scope.article_facts(t.article_stock, t.stock, t.latest, scope.showable(shown, articles, fetch))
-    rows = rows.join(facts, "article_id", "left").withColumn("bucket", mood_bucket(F.col("score")))
-    if mood:
-        rows = rows.where(F.col("bucket") == mood)
-    own = W.partitionBy("user_id")
-    rows = rows.withColumn("rank", F.row_number().over(own.orderBy("rank"))).where(F.col("rank") <= n)
-    rows = rows.withColumn("shown", F.count(F.lit(1)).over(own))
-    return rows.select(
-        "user_id", "rank", "article_id", "score", "bucket",
-        F.array_join(F.slice(F.coalesce("tickers", F.array().cast("array<string>")), 1, tickers), ",").alias("tickers"),
-        ((F.col("shown") >= n) & F.lit(n < scope.MOST)).alias("has_more"),
-    )
+        members, sets = scope.watch_sets(t.user_stock)
+        own = scope.user_newest(shown, sets, fetch, user="set_id").drop("published_at")
+    shown = everyones.select("article_id").unionByName(shown.select("article_id")).distinct() if scoped else everyones
+    facts = scope.article_facts(t.article_stock, t.stock, t.latest, shown)
+    facts = written(facts.select("article_id", "score", mood_bucket(F.col("score")).alias("bucket"), F.array_join(F.slice("tickers", 1, tickers), ",").alias("tickers")), "facts")
+
+    def page(rows: DataFrame, *group: str) -> DataFrame:
+        """The first n rows that have the mood, of each group, with their facts."""
+        rows = rows.join(facts, "article_id", "left").withColumns({"bucket": F.coalesce("bucket", mood_bucket(F.lit(None))), "tickers": F.coalesce("tickers", F.lit(""))})
+        place = W.partitionBy(*group)
+        if mood:
+            rows = rows.where(F.col("bucket") == mood).withColumn("rank", F.row_number().over(place.orderBy("rank"))).where(F.col("rank") <= n)
+        full = (F.count(F.lit(1)).over(place) >= n) & F.lit(n < scope.MOST)
+        return rows.select(*group, "rank", "article_id", "score", "bucket", "tickers", full.alias("has_more"))
+
+    columns = ("user_id", "rank", "article_id", "score", "bucket", "tickers", "has_more")
+    rest = t.users.select("user_id")
+    if scoped:
+        rest = rest.join(scope.users_with_watchlist(t.user_stock), "user_id", "left_anti")
+    shared = rest.crossJoin(F.broadcast(page(everyones))).select(*columns)  # at most n rows for all
+    return page(own, "set_id").join(members, "set_id").select(*columns).unionByName(shared) if scoped else shared
 
 
 def feed_summary(feed: DataFrame) -> DataFrame:
