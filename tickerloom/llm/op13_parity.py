@@ -148,8 +148,9 @@ def keyed_sets(docs: DataFrame, words: int, similarity: float, with_simhash: boo
 
 
 def meeting_keys(keyed: DataFrame) -> DataFrame:
-    """(name, band, key) of the keys by which a set can meet similar ones: the least frequent
-    ``apart`` + 1 of its keys in a band, less those that no other set has.
+    """(name, band, weight, key) of the keys by which a set can meet similar ones: the least frequent
+    ``apart`` + 1 of its keys in a band, less those that no other set has. weight sums up how often
+    the set's keys are met, so it is large for the original in the middle of a family of copies.
 
     Keys are counted once, by a sum with map-side combine; what is joined back has passed a bitmap
     of the keys that several sets have. A set with ``apart`` + 1 keys of its own drops out before.
@@ -179,69 +180,152 @@ def meeting_keys(keyed: DataFrame) -> DataFrame:
     known = asked.select("name", "band", "apart", "n_keys", F.explode("hit").alias("key")).join(shared, "key")
     known = known.groupBy("name", "band", "apart", "n_keys").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("k"))
     wanted = F.col("apart") + 1 - (F.col("n_keys") - F.size("k"))
-    kept = known.where(wanted > 0).select("name", "band", F.explode(F.slice("k", F.lit(1), wanted)).alias("k"))
-    return kept.select("name", "band", "k.key")
-
-
-def similar_sets(docs: DataFrame, keyed: DataFrame, words: int, similarity: float, likely: DataFrame | None = None, cell: int = 256) -> DataFrame:
+    weight = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x["often"]).alias("weight")
+    kept = known.where(wanted > 0).select("name", "band", weight, F.explode(F.slice("k", F.lit(1), wanted)).alias("k"))
+    return kept.select("name", "band", "weight", "k.key")
+
+
+def close_pairs(n: np.ndarray, k: np.ndarray, bits: list[np.ndarray], second: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the sets that sizes, components ``k`` and parity bits leave as pairs: those of
+    ``second`` with the others, or all with all where none or all are."""
+    rows, cols = (np.flatnonzero(~second), np.flatnonzero(second)) if 0 < second.sum() < len(second) else (np.arange(len(n)),) * 2
+    length = np.array([len(x) for x in bits])
+    found = []
+    for p in np.unique(length[rows]):
+        for q in np.unique(length[cols]):
+            i, j = rows[length[rows] == p], cols[length[cols] == q]
+            x, y = ([bits[r].view(np.uint64) for r in side] for side in (i, j))
+            least = min(p, q)
+            x, y = (np.bitwise_xor.reduce(np.stack(side).reshape(len(side), -1, least), axis=1) for side in (x, y))
+            for at in range(0, len(i), 256):
+                own = slice(at, at + 256)
+                apart = np.zeros((len(i[own]), len(j)), np.int32)
+                for w in range(least):
+                    apart += np.bitwise_count(x[own, w, None] ^ y[None, :, w])
+                both = n[i[own], None] + n[None, j]
+                near = (apart <= both * ((1 - similarity) / (1 + similarity)) + _EPS) & (k[i[own], None] != k[None, j])
+                near &= np.minimum(n[i[own], None], n[None, j]) >= np.maximum(n[i[own], None], n[None, j]) * similarity - _EPS
+                if rows is cols:
+                    near &= i[own, None] < j[None, :]
+                a, b = np.nonzero(near)
+                found.append((i[own][a], j[b]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def close_in_cells(met: DataFrame, sets: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """(src, dst) of the sets of one key in different components that bits do not rule out.
+
+    A key's sets are cut into slices of about ``cell``, and each pair of slices is a cell. Cells are
+    gathered by a shuffle and compared in numpy, a slice of the distances at a time; only close pairs
+    come out, so neither rows nor memory follow the square of a group.
+    """
+    spread = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
+    size = met.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("slices"))
+    size = materialise(size.select(F.col("band").alias("b"), F.col("key").alias("h"), "slices"), "slices")
+    own = met.join(size, (F.col("band") == F.col("b")) & (F.col("key") == F.col("h"))).withColumn("mine", spread)
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    own = own.join(sets.select("id", "bits"), "id").select(
+        F.xxhash64("band", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
+        (F.col("mine") > F.col("other")).alias("second"), "id", "n", "k", "bits",
+    )
+
+    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cells, ids, n, k, second = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("cell", "id", "n", "k", "second"))
+        bits = [np.asarray(x.values, np.int64) for x in batch.column("bits")]
+        src, dst = [ids[:0]], [ids[:0]]
+        edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True])))
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a > 1:
+                i, j = close_pairs(n[a:b].astype(np.int64), k[a:b], bits[a:b], second[a:b].astype(bool), similarity)
+                src.append(np.minimum(ids[a:b][i], ids[a:b][j]))
+                dst.append(np.maximum(ids[a:b][i], ids[a:b][j]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last cell, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            cells = batch.column("cell").to_numpy()
+            if cells[0] == cells[-1]:
+                continue
+            cut = int(np.searchsorted(cells, cells[-1]))
+            whole = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks().to_batches()
+            held = [batch.slice(cut)]
+            yield from map(pairs, whole)
+        if held:
+            yield from map(pairs, pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return own.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "src long, dst long")
+
+
+def similar_sets(
+    docs: DataFrame, keyed: DataFrame, words: int, similarity: float, likely: DataFrame | None = None, cell: int = 1024, rounds: int = 4
+) -> DataFrame:
     """(name, root): a root for each set that links of at least ``similarity`` join to others.
 
-    ``keyed`` is ``keyed_sets`` of ``docs`` with their content ``c``, written. Each key's sets, and the pairs ``likely`` (src,
-    dst: names), are compared with one of them first, so that a family of copies gives one pair a
-    set. Where that leaves a key's sets in several components, the sets of different components
-    are compared pair by pair, in slices of ``cell`` sets.
+    ``keyed`` is ``keyed_sets`` of ``docs`` with their content ``c``, written. Each key's sets, and the
+    pairs ``likely`` (src, dst: names), are compared with one of them first, so that a family of copies
+    gives one pair a set. Where that leaves a key's sets in several components, the next heaviest set
+    is tried, as long as that joins any, ``rounds`` times at most. Of a key's sets that are still in
+    different components, the parity bits of all pairs are compared, in cells of 2 * ``cell`` sets.
     """
     met = materialise(meeting_keys(keyed), "meeting-keys")
     several = met.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("band", "key")
-    met = met.join(several, ["band", "key"])
+    met = materialise(met.join(several, ["band", "key"]), "shared-meeting-keys")
     chosen = met.select("name").unionByName(likely.select(F.explode(F.array("src", "dst")).alias("name"))) if likely is not None else met.select("name")
     own = keyed.where("own").select("name", "c", "n", "bits").dropDuplicates(["name"]).join(chosen.distinct(), "name", "left_semi")
-    # numbers for names, so that minima are sums of a fixed width; written, so that they stay
+    # numbers for names, so that minima are of a fixed width; written, so that they stay
     sets = materialise(own.withColumn("id", F.monotonically_increasing_id()), "met-sets")
-    met = materialise(met.join(sets.select("name", "id", "n"), "name").select("band", "key", "id", "n"), "met")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (src, dst) that sizes and parity bits do not rule out."""
-        side = lambda name, n, bits: sets.select(F.col("id").alias(name), F.col("n").alias(n), F.col("bits").alias(bits))
-        both = pairs.join(side("src", "m", "x"), "src").join(side("dst", "n", "y"), "dst")
-        both = both.where(F.least("m", "n") >= F.greatest("m", "n") * similarity - _EPS)
-        least = (1 - similarity) / (1 + similarity)
-        return both.where(bits_apart("x", "y") <= (F.col("m") + F.col("n")) * least + _EPS).select("src", "dst")
+    met = materialise(met.join(sets.select("name", "id", "n"), "name").select("band", "key", "id", "n", "weight"), "met")
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
         found = [shingle_set(t.as_py(), words) for t in batch.column("text")]
         return {"id": batch.column("id"), "shingles": [x.view(np.int64) for x in found]}
 
+    texts = docs.select(content(F.col("text")).alias("c"), "text").join(sets.select("id", "c"), "c")
+    whole = materialise(map_arrow(texts.select("id", "text"), "id long, shingles array<long>", rows).dropDuplicates(["id"]), "whole-sets")
+
     def linked(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = materialise(pairs, label)
-        asked = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        asked = materialise(sets.join(asked, "id", "left_semi").select("id", "c"), f"{label}-asked")
-        texts = docs.select(content(F.col("text")).alias("c"), "text").join(asked, "c").dropDuplicates(["c"]).select("id", "text")
-        whole = materialise(map_arrow(texts, "id long, shingles array<long>", rows), f"{label}-sets")
-        both = pairs.join(whole.select(F.col("id").alias("src"), F.col("shingles").alias("x")), "src")
-        both = both.join(whole.select(F.col("id").alias("dst"), F.col("shingles").alias("y")), "dst")
+        """The pairs (src, dst) of enough similarity. Sizes and parity bits rule most others out."""
+        side = lambda df, name, a, x: df.select(F.col("id").alias(name), *[F.col(c).alias(d) for c, d in zip(a, x, strict=True)])
+        both = pairs.join(side(sets, "src", ("n", "bits"), ("m", "x")), "src").join(side(sets, "dst", ("n", "bits"), ("n", "y")), "dst")
+        both = both.where(F.least("m", "n") >= F.greatest("m", "n") * similarity - _EPS)
+        both = both.where(bits_apart("x", "y") <= (F.col("m") + F.col("n")) * ((1 - similarity) / (1 + similarity)) + _EPS)
+        both = materialise(both.select("src", "dst"), f"{label}-close")
+        both = both.join(side(whole, "src", ("shingles",), ("x",)), "src").join(side(whole, "dst", ("shingles",), ("y",)), "dst")
         x, y, shared = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
         return materialise(both.where(shared >= (x + y - shared) * similarity - _EPS).select("src", "dst"), f"{label}-linked")
 
-    pivots = met.groupBy("band", "key").agg(F.min("id").alias("pivot"))
-    stars = met.join(pivots, ["band", "key"]).where("id <> pivot").select(F.col("pivot").alias("src"), F.col("id").alias("dst"))
+    def in_components(links: DataFrame) -> DataFrame:
+        """The rows of ``met`` whose key has sets of several components, with their component k."""
+        label = connected_components(links)
+        own = met.join(label, F.col("id") == F.col("node"), "left").withColumn("k", F.coalesce("component", "id")).drop("node", "component")
+        apart = own.groupBy("band", "key").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("band", "key")
+        return materialise(own.join(apart, ["band", "key"]), "met-by-component")
+
+    links = None
     if likely is not None:
         number = lambda c: sets.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
         guessed = likely.join(number("src"), "src").join(number("dst"), "dst")
-        stars = stars.unionByName(guessed.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
-    first = linked(close(stars.distinct()), "star")
-
-    label = connected_components(first)
-    own = met.join(label, F.col("id") == F.col("node"), "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("k"))
-    apart = own.groupBy("band", "key").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("slices"))
-    own = materialise(own.join(apart.where("a <> b").select("band", "key", "slices"), ["band", "key"]), "met-by-component")
-    left = own.select("band", "key", F.col("id").alias("src"), F.col("n").alias("m"), F.col("k").alias("j"),
-                      F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    right = own.select("band", "key", F.col("id").alias("dst"), "n", "k", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
-    near = (F.col("src") < F.col("dst")) & (F.col("j") != F.col("k")) & (F.least("m", "n") >= F.greatest("m", "n") * similarity - _EPS)
-    same = [left[c] == right[c] for c in ("band", "key", "slice")]
-    pairs = left.join(right, same[0] & same[1] & same[2] & near).select("src", "dst").distinct()
-    found = connected_components(first.unionByName(linked(close(pairs), "pairs")))
+        links = linked(guessed.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).distinct(), "likely")
+    left = met.withColumn("k", F.col("id")) if links is None else in_components(links)
+    tried = None
+    for k in range(rounds):
+        free = left if tried is None else left.join(tried, ["band", "key", "id"], "left_anti")
+        best = F.max(F.struct("weight", "id", "k")).alias("best")
+        pivots = materialise(free.groupBy("band", "key").agg(best).select("band", "key", "best.id", "best.k"), f"pivots-{k}")
+        stars = left.join(pivots.select("band", "key", F.col("id").alias("pivot"), F.col("k").alias("of")), ["band", "key"]).where("k <> of")
+        fresh = linked(stars.select(F.least("pivot", "id").alias("src"), F.greatest("pivot", "id").alias("dst")).distinct(), f"star-{k}")
+        links = fresh if links is None else links.unionByName(fresh)
+        left = in_components(links)
+        if fresh.isEmpty():
+            break
+        tried = pivots.drop("k") if tried is None else tried.unionByName(pivots.drop("k"))
+
+    pairs = materialise(close_in_cells(left, sets, similarity, cell).distinct(), "pairs")
+    found = connected_components(links.unionByName(linked(pairs, "pair")))
     return sets.join(found, F.col("id") == F.col("node")).select("name", F.col("component").alias("root"))
 
 
