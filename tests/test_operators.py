@@ -1,3 +1,4 @@
+import gzip
 import itertools
 import json
 from datetime import datetime, timedelta
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import ingest, maintain, rank, scope, scoring
 from tickerloom.plans import dashboard as d
 from tickerloom.plans.pipeline import run_pipeline
-from tickerloom.sources import feeds, seed
+from tickerloom.sources import feeds, landing, seed
 from tickerloom.streaming.ingest import read_articles, stream_ingest
 
 NOW = datetime(2026, 1, 10)
@@ -240,10 +241,47 @@ def test_newest_of_users_left_short_by_their_floor(spark):
 
 
 def test_links_only_to_requested_symbols(spark):
-    tagged = spark.createDataFrame([("u", [("A",), ("B",)], ["A"])], "url string, entities array<struct<symbol:string>>, asked array<string>")
-    stocks = spark.createDataFrame([(1, "A"), (2, "B")], "stock_id int, ticker string")
-    ids = spark.createDataFrame([("u", 9)], "url string, article_id int")
-    assert rows(ingest.link_entities(tagged, stocks, ids, "asked"), "stock_id") == [(1,)]
+    asked = spark.createDataFrame([(i, f"T{i:02}.L") for i in range(12)], "stock_id int, ticker string")
+    plan = ingest.request_batches(asked.repartition(5))
+    assert sorted((r["ticker"], r["batch"]) for r in plan.collect()) == [(f"T{i:02}.L", i // 5) for i in range(12)]
+    tagged = spark.createDataFrame(
+        [("u", [("T00.L",), ("T05.L",)], 0), ("v", [("T05.L",), ("T05.L",)], 1), ("w", [("T00.L",)], None)],
+        "url string, entities array<struct<symbol:string>>, batch long",
+    )
+    ids = spark.createDataFrame([("u", 9), ("v", 8), ("w", 7)], "url string, article_id int")
+    assert rows(ingest.link_entities(tagged, plan, ids), "article_id", "stock_id") == [(8, 5), (8, 5), (9, 0)]
+    assert len(rows(ingest.link_entities(tagged.drop("batch"), plan, ids), "stock_id")) == 5
+
+
+def put(folder, name, records, cut=0):
+    folder.mkdir(exist_ok=True)
+    text = "\n".join(r if isinstance(r, str) else json.dumps(r) for r in records).encode()
+    (folder / name).write_bytes(gzip.compress(text)[:-cut] if cut else text)
+
+
+def test_torn_lines_cut_files_and_failed_requests(spark, tmp_path):
+    news = {"category": "general", "datetime": 5, "headline": "h", "source": "s", "url": "u"}
+    put(tmp_path / "g", "a.json", [news, '{"url": "torn'])
+    put(tmp_path / "g", "b.json.gz", [news | {"url": f"lost{i}"} for i in range(500)], cut=20)
+    put(tmp_path / "c", "a.json", [{"ticker": "AAA", "error": "HTTP 429"}, news | {"ticker": "AAA", "url": "c"}])
+    put(tmp_path / "t", "a.json", [{"batch": 7, "error": "HTTP 402"}])
+    stock = spark.createDataFrame([("s1", "AAA")], "stock_id string, ticker string")
+    own = {
+        "stock": stock, "user_stock": stock.select(F.lit("u").alias("user_id"), "stock_id"),
+        "article": spark.createDataFrame([], "article_id string, url string, headline string, published_at timestamp"),
+        "article_stock": spark.createDataFrame([], "article_id string, stock_id string"),
+    }
+    got = run_pipeline(own, landing.land_general(spark, str(tmp_path / "g")), landing.land_company(spark, str(tmp_path / "c")), landing.land_tagged(spark, str(tmp_path / "t")), NOW)
+    assert rows(got.articles, "url") == [("c",), ("u",)]
+    found = rows(got.rejects, "stage", "key", "message")
+    assert [(s, k, m) for s, k, m in found if m != "the file is cut short"] == [
+        ("company", "AAA", "HTTP 429"), ("general", '{"url": "torn', "no JSON"), ("tagged", "7", "HTTP 402"),
+    ]
+    assert [s for s, k, m in found if m == "the file is cut short" and k.endswith("b.json.gz")] == ["general"]
+    gone = landing.land_general(spark, str(tmp_path / "none"))
+    assert gone.rows is None and "none" in gone.rejects.first()["message"]
+    ledger = landing.file_ledger(spark, str(tmp_path / "g"))
+    assert ledger.count() == 2 and ledger.where("fault is null").count() == 1
 
 
 def test_stream_twice_is_once(spark, tmp_path):
@@ -301,6 +339,15 @@ def test_upsert_overwrites_and_inserts(spark):
     assert got == [("A", "a", "m"), ("B", "bb", "n"), ("C", "c", "n")]
 
 
+def test_upsert_takes_the_last_row_of_a_ticker(spark):
+    old = spark.createDataFrame([("1", "A", "a", "m")], "stock_id string, ticker string, name string, market_id string")
+    new = spark.createDataFrame(
+        [("A", "y", "n", 2), ("A", "x", "m", 1), ("B", "c", "m", 4), ("B", "b", "n", 3), (None, "z", "n", 5)], "ticker string, name string, market_id string, pos int"
+    )
+    assert rows(maintain.upsert_stocks(old, new, ["pos"]), "ticker", "name", "market_id") == [("A", "y", "n"), ("B", "c", "m")]
+    assert rows(maintain.upsert_stocks(old, new.drop("pos")), "ticker", "name") == [("A", "y"), ("B", "c")]
+
+
 def test_markets_insert_only_new_names(spark):
     old = spark.createDataFrame([("1", "A")], "market_id string, name string")
     new = spark.createDataFrame([("9", "A"), ("2", "B"), ("3", "B")], "market_id string, name string")

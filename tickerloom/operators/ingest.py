@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import route_feed
 from ..functions.time import from_epoch_seconds, from_iso
 from ..sources.schemas import CORRUPT
-from .rank import dedupe_first
+from .rank import dedupe_first, numbered
 
 ARTICLE = ("url", "headline", "summary", "source", "published_at")
 
@@ -50,7 +50,7 @@ def normalize_tagged(df: DataFrame) -> DataFrame:
     """Tagged news as articles with their entities."""
     return df.select(
         "url", F.col("title").alias("headline"), F.col("description").alias("summary"), "source",
-        from_iso(F.col("published_at")).alias("published_at"), "entities", *[c for c in df.columns if c == "pos"],
+        from_iso(F.col("published_at")).alias("published_at"), "entities", *[c for c in ("batch", "pos") if c in df.columns],
     )
 
 
@@ -120,16 +120,22 @@ def link_primary(news: DataFrame, stocks: DataFrame, articles: DataFrame) -> Dat
     return resolve_article_ids(own, articles).select("article_id", "stock_id")
 
 
-def link_entities(tagged: DataFrame, stocks: DataFrame, articles: DataFrame, requested: str | None = None) -> DataFrame:
+def request_batches(stocks: DataFrame, size: int = 5) -> DataFrame:
+    """(ticker, stock_id, batch): which request of ``size`` symbols asks for each of the tagged feed's
+    stocks, by the order of their tickers."""
+    return numbered(stocks.select("ticker", "stock_id"), ["ticker", "stock_id"]).select("ticker", "stock_id", F.expr(f"place div {size}").alias("batch"))
+
+
+def link_entities(tagged: DataFrame, stocks: DataFrame, articles: DataFrame) -> DataFrame:
     """Attempted (article_id, stock_id) of tagged news: entities that name a ticker exactly.
 
-    ``requested`` names an array column with the tickers asked for in a row's request; others
-    are then not linked. A url that is not stored is skipped. An entity listed twice counts twice.
+    Where ``tagged`` has the ``batch`` of its request and ``stocks`` theirs (see ``request_batches``),
+    an entity that the request did not ask for is not linked; nor is any of a null batch. A url that is
+    not stored is skipped. An entity listed twice counts twice.
     """
-    columns = ["url", F.explode("entities.symbol").alias("symbol")] + ([requested] if requested else [])
-    named = tagged.select(*columns).join(stocks.select(F.col("ticker").alias("symbol"), "stock_id"), "symbol")
-    if requested:
-        named = named.where(F.array_contains(requested, F.col("symbol")))
+    on = [c for c in ("batch",) if c in tagged.columns and c in stocks.columns]
+    named = tagged.select("url", F.explode("entities.symbol").alias("symbol"), *on)
+    named = named.join(stocks.select(F.col("ticker").alias("symbol"), "stock_id", *on), ["symbol", *on])
     return resolve_article_ids(named.select("url", "stock_id"), articles).select("article_id", "stock_id")
 
 

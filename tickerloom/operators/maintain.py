@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -11,14 +12,17 @@ from ..functions.text import is_email, market_candidates, normalise_email
 from .rank import dedupe_first, dedupe_last, top_k_per_group
 
 
-def upsert_stocks(existing: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_stocks(existing: DataFrame, batch: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """The stock table after the merge: name and market of a known ticker are overwritten.
 
-    ``batch`` has ticker, name, market_id and one row a ticker; new stocks get the hash of their
-    ticker as id (as text), or the batch's own stock_id if it has one.
+    ``batch`` has ticker, name and market_id. Of several rows of a ticker the last to arrive counts,
+    by ``order``, or else by all other columns. A null ticker is left out. New stocks get the hash of
+    their ticker as id (as text), or the batch's own stock_id if it has one.
     """
     new_id = F.col("__new_id") if "stock_id" in batch.columns else F.sha2("ticker", 256)
-    renamed = batch.select(
+    ties = [c for c in batch.columns if c != "ticker" and c not in order]
+    last = dedupe_last(batch.where(F.col("ticker").isNotNull()), ["ticker"], [*order, *ties])
+    renamed = last.select(
         "ticker", F.lit(True).alias("__in"), F.col("name").alias("__name"), F.col("market_id").alias("__market_id"),
         *([F.col("stock_id").alias("__new_id")] if "stock_id" in batch.columns else []),
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 
 def latest_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` of each group, by one aggregate with map-side combine."""
@@ -79,5 +81,19 @@ def top_movers(scored: DataFrame, k: int = 3) -> DataFrame:
     return bulls.unionByName(bears)
 
 
+def numbered(df: DataFrame, order: Sequence[str], column: str = "place") -> DataFrame:
+    """Add ``column``: 0, 1, ... in ascending order of columns that tell rows apart.
+
+    Rows are sorted in ranges, and of each range only its number of rows is gathered, so no task
+    holds the whole. Written, as both are read from it.
+    """
+    sorted_ = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__at", 33)
+    sizes = sorted_.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))
+    joined = sorted_.withColumn("__part", part).join(before, "__part")
+    return joined.withColumn(column, F.col("__before") + F.col("__at") - F.shiftleft("__part", 33)).drop("__part", "__before", "__at")
+
+
 def _numeric(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() in ("long", "integer", "short", "byte")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import json
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -13,7 +15,7 @@ from ..functions import mood as m
 from ..functions import text as tx
 from ..functions import time as tm
 from ..operators import ingest, maintain, rank, scope, scoring
-from ..sources import feeds, seed
+from ..sources import feeds, landing, seed
 from ..sources.adapters import AS_OF_ARTICLES, AS_OF_READINGS, view, with_views
 from ..sources.schemas import NEWS, TABLES
 from ..sources.storage import shared_path, written
@@ -398,10 +400,11 @@ def infer_market(spark, sf_dir):
 )
 def upsert_stocks(spark, sf_dir):
     stocks, markets = view(spark, sf_dir, "listing"), view(spark, sf_dir, "exchange")
-    # every sixth stock is new, the other multiples of three change
+    # every sixth stock is new, the other multiples of three change; each comes twice, the second counts
     existing = stocks.where("stock_id % 6 <> 0").withColumn("market_id", F.lit(-1))
-    batch = stocks.where("stock_id % 3 = 0").withColumn("name", F.concat(F.lit("New "), "name"))
-    return maintain.upsert_stocks(existing, maintain.infer_market(batch, markets))
+    batch = stocks.where("stock_id % 3 = 0").withColumn("pos", F.explode(F.array(F.lit(1), F.lit(2))))
+    batch = batch.withColumn("name", F.concat(F.when(F.col("pos") == 1, "Older ").otherwise("New "), "name"))
+    return maintain.upsert_stocks(existing, maintain.infer_market(batch, markets), ["pos"])
 
 
 LOG = """, log AS (SELECT user_id, k, arg_max(event_type = 'error', article_id) AS gone FROM tagged_event WHERE article_id % 3 <> 0 GROUP BY ALL),
@@ -557,10 +560,18 @@ def _land_tagged(feed: DataFrame, path: str) -> str:
         F.col("seq").cast("string").alias("uuid"), "title", "url", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("published_at"),
         F.lit("events").alias("source"), symbols.alias("entities"),
     )
-    feed.orderBy("seq").select(F.array(article).alias("data")).write.json(path)
+    asked = [c for c in ("batch",) if c in feed.columns]
+    feed.orderBy("seq").select(F.array(article).alias("data"), *asked).write.json(path)
     return path
 
 
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(content))
+    out.close()
+
+
 @query("SELECT url, headline, source, published_at FROM general_feed", "general_feed")
 def read_market_news(spark, sf_dir):
     path = _land_news(view(spark, sf_dir, "general_feed").withColumn("category", F.lit("general")), shared_path(spark, "market-news"), "category")
@@ -595,7 +606,7 @@ def read_symbol_search(spark, sf_dir):
 
 
 RUN = f""", watched AS (SELECT * FROM listing WHERE stock_id IN (SELECT stock_id FROM user_stock)),
-    prime AS (SELECT * FROM watched WHERE ticker NOT LIKE '%.%' AND ticker NOT LIKE '%-USD'), dotted AS (SELECT * FROM watched WHERE ticker LIKE '%.%'),
+    prime AS (SELECT * FROM watched WHERE ticker NOT LIKE '%.%' AND ticker NOT LIKE '%-USD'), dotted AS (SELECT *, (row_number() OVER (ORDER BY ticker, stock_id) - 1) // 5 AS batch FROM watched WHERE ticker LIKE '%.%'),
     company AS (SELECT * FROM company_feed WHERE ticker IN (SELECT ticker FROM prime)),
     brought AS (SELECT 0 AS feed, seq, url, headline, source, published_at FROM general_feed UNION ALL SELECT 1, seq, url, headline, source, published_at FROM company
       UNION ALL SELECT 2, seq, url, title, 'events', published_at FROM tagged_feed),
@@ -604,7 +615,8 @@ RUN = f""", watched AS (SELECT * FROM listing WHERE stock_id IN (SELECT stock_id
       WHERE r = 1 AND url NOT IN (SELECT url FROM stored_article)),
     ids AS (SELECT url, article_id, headline, published_at FROM stored_article UNION ALL SELECT url, sha256(url), headline, published_at FROM fresh),
     tried AS (SELECT i.article_id, p.stock_id FROM (SELECT DISTINCT ticker, url FROM company WHERE headline <> '') c JOIN prime p USING (ticker) JOIN ids i USING (url)
-      UNION ALL SELECT i.article_id, d.stock_id FROM (SELECT url, unnest([first_symbol, second_symbol]) AS ticker FROM tagged_feed WHERE title <> '') JOIN dotted d USING (ticker) JOIN ids i USING (url)),
+      UNION ALL SELECT i.article_id, d.stock_id FROM (SELECT url, a.batch, unnest([first_symbol, second_symbol]) AS ticker FROM tagged_feed JOIN dotted a ON a.ticker = first_symbol WHERE title <> '') t
+        JOIN dotted d ON d.ticker = t.ticker AND d.batch = t.batch JOIN ids i USING (url)),
     linked AS (SELECT DISTINCT article_id, stock_id FROM tried EXCEPT SELECT article_id, stock_id FROM stored_link),
     heads AS (SELECT * FROM (SELECT stock_id, headline, row_number() OVER (PARTITION BY stock_id ORDER BY published_at DESC, article_id) AS r
       FROM (SELECT * FROM linked UNION ALL SELECT article_id, stock_id FROM stored_link) JOIN watched USING (stock_id) JOIN ids USING (article_id)
@@ -614,8 +626,12 @@ RUN = f""", watched AS (SELECT * FROM listing WHERE stock_id IN (SELECT stock_id
     SELECT 'article' AS kind, sha256(url) AS key, url || '|' || headline || '|' || source AS value FROM fresh
     UNION ALL SELECT 'link', article_id, CAST(stock_id AS VARCHAR) FROM linked
     UNION ALL SELECT 'reading', CAST(stock_id AS VARCHAR), CAST(CAST(round(1000 * CASE WHEN u + d > 0 THEN (u - d) / (u + d) ELSE 0 END) AS BIGINT) AS VARCHAR) FROM judged
-    UNION ALL SELECT 'reject', CASE feed WHEN 0 THEN 'general' WHEN 1 THEN 'company' ELSE 'tagged' END, CAST(count(*) AS VARCHAR) FROM brought WHERE headline = '' GROUP BY feed
-    UNION ALL SELECT 'reject', 'store', CAST(count(*) AS VARCHAR) FROM good WHERE source IS NULL
+    UNION ALL SELECT 'reject', CASE feed WHEN 0 THEN 'general: url or headline is missing' WHEN 1 THEN 'company: url or headline is missing' ELSE 'tagged: url or title is missing' END, CAST(count(*) AS VARCHAR) FROM brought WHERE headline = '' GROUP BY feed
+    UNION ALL SELECT 'reject', 'store: a required field is null', CAST(count(*) AS VARCHAR) FROM good WHERE source IS NULL
+    UNION ALL SELECT 'reject', 'company: HTTP 429', CAST(count(*) AS VARCHAR) FROM supplier
+    UNION ALL SELECT 'reject', 'tagged: HTTP 402 ' || r_name, '1' FROM region
+    UNION ALL SELECT 'reject', 'general: no JSON', CAST(count(*) AS VARCHAR) FROM nation
+    UNION ALL SELECT 'reject', 'general: the file is cut short', '1'
     UNION ALL SELECT 'report', 'fetched', CAST(count(*) AS VARCHAR) FROM brought UNION ALL SELECT 'report', 'saved', CAST(count(*) AS VARCHAR) FROM fresh
     UNION ALL SELECT 'report', 'tags', CAST(count(*) AS VARCHAR) FROM tried UNION ALL SELECT 'report', 'new_links', CAST(count(*) AS VARCHAR) FROM linked
     UNION ALL SELECT 'report', 'sentiments', CAST(count(*) AS VARCHAR) FROM judged"""
@@ -623,14 +639,22 @@ RUN = f""", watched AS (SELECT * FROM listing WHERE stock_id IN (SELECT stock_id
 
 @query(RUN, "listing", "user_stock", "general_feed", "company_feed", "tagged_feed", "stored_article", "stored_link")
 def run_pipeline(spark, sf_dir):
-    """The full run over landed feeds: rows for each table, rejects by stage, and the report."""
+    """The full run over landed feeds, with failed requests, torn lines and a cut file among them: rows
+    for each table, rejects by stage and message, and the report."""
     v = lambda name: view(spark, sf_dir, name)
+    raw = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    own = {"stock": v("listing"), "user_stock": v("user_stock"), "article": v("stored_article"), "article_stock": v("stored_link")}
     general = _land_news(v("general_feed").withColumn("category", F.lit("general")), shared_path(spark, "general"))
+    raw("nation").select(F.concat(F.lit('{"headline": "'), "n_name")).coalesce(1).write.mode("append").text(general)
+    _put(spark, f"{general}/cut.json.gz", gzip.compress(json.dumps({"category": "general", "url": "lost", "headline": "lost"}).encode())[:-9])
     company = _land_news(v("company_feed"), shared_path(spark, "company"))
-    tagged = _land_tagged(v("tagged_feed"), shared_path(spark, "tagged"))
-    own = {"stock": v("listing"), "user_stock": v("user_stock"), "article": v("stored_article"), "article_stock": v("stored_link")}
-    news = spark.read.schema(f"{NEWS}, ticker string").json(company).withColumn("pos", feeds.arrival())
-    got = pipeline.run_pipeline(own, feeds.read_market_news(spark, general), news, feeds.read_tagged_news(spark, tagged), AS_OF_ARTICLES)
+    raw("supplier").select(F.col("s_name").alias("ticker"), F.lit("HTTP 429").alias("error")).write.mode("append").json(company)
+    # each article answers the request that asked for its first symbol
+    dotted = scope.watched_stocks(own["stock"], own["user_stock"]).where("feed = 'tagged'")
+    asked = ingest.request_batches(dotted).select(F.col("ticker").alias("first_symbol"), "batch")
+    tagged = _land_tagged(v("tagged_feed").join(asked, "first_symbol", "left"), shared_path(spark, "tagged"))
+    raw("region").select(F.col("r_regionkey").alias("batch"), F.concat(F.lit("HTTP 402 "), "r_name").alias("error")).write.mode("append").json(tagged)
+    got = pipeline.run_pipeline(own, landing.land_general(spark, general), landing.land_company(spark, company), landing.land_tagged(spark, tagged), AS_OF_ARTICLES)
     text = lambda c: F.col(c).cast("string")
     row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
     names = ("fetched", "saved", "tags", "new_links", "sentiments")
@@ -639,7 +663,7 @@ def run_pipeline(spark, sf_dir):
         row(got.articles, "article", F.col("article_id"), F.concat_ws("|", "url", "headline", "source"))
         .unionByName(row(got.links, "link", F.col("article_id"), text("stock_id")))
         .unionByName(row(got.readings, "reading", text("stock_id"), F.round(F.col("score") * 1000).cast("long").cast("string")))
-        .unionByName(row(got.rejects.groupBy("stage").agg(F.count(F.lit(1)).alias("n")), "reject", F.col("stage"), text("n")))
+        .unionByName(row(got.rejects.groupBy(F.concat_ws(": ", "stage", "message").alias("why")).agg(F.count(F.lit(1)).alias("n")), "reject", F.col("why"), text("n")))
         .unionByName(row(counted, "report", F.col("n"), F.col("v")))
     )
 

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -21,6 +22,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written_and_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``written``, and the number of rows, seen as they were written: no job counts them again."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """A frame written to the shared folder and read back: computed once, however often it is used."""
     path = shared_path(df.sparkSession, label)
