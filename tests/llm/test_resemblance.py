@@ -54,9 +54,9 @@ def test_families_are_whole(spark, cell):
     chain = [(i, edited([f"c{w}" for w in range(104)], *range(0, 4 * i, 4)), "en", "s") for i in range(1, 20)]
     family = [(100 + i, edited(BASE, i), "en", "s") for i in range(30)]
     docs = frame(spark, chain + family)
-    marked = r.marked_rows(docs, 5, 0.8)
-    groups = {x.node: x.component for x in r.similar_sets(docs, marked, 5, 0.8, cell).collect()}
-    of = {x.doc_id: groups.get(x.s, x.s) for x in marked.collect()}
+    keyed = r.keyed_sets(docs.select("doc_id", r.content(r.F.col("text")).alias("c"), "text"), 5, 0.8)
+    groups = {bytes(x.name): x.root for x in r.similar_sets(docs, r.materialise(keyed, "keyed"), 5, 0.8, cell=cell).collect()}
+    of = {x.doc_id: groups.get(bytes(x.name), bytes(x.name)) for x in keyed.where("own").collect()}
     heads = {min(d for d in of if of[d] == g) for g in set(of.values())}
     assert heads == plain_heads([(d, t) for d, t, *_ in chain + family])
 

@@ -1,177 +1,31 @@
 """Near copies: SimHash groups first, then whatever else has similar sets of word shingles.
 
-A link needs a Jaccard similarity of the two shingle sets; bits only propose it. What the
-fingerprints' groups do not join is found by prefixes: two sets of similarity t share one of the
-first n - ceil(t * n) + 1 shingles of each, in any order that all sets keep. Rare shingles come
-first, as far as a bounded sample tells; the order decides only how many candidates there are, so
-no pair is lost. A candidate pair is dropped when parity bits of the sets differ in more places
-than sets of that similarity can; what is left is compared by whole sets.
+A link needs a Jaccard similarity of the two shingle sets; bits only propose it. SimHash groups
+(operator 6) are compared with one of them first; what they do not join is found by parity sketches
+(operator 13), which lose no link.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, scratch
-from .graph import connected_components
-from .op06_simhash import near_fingerprints, shingle_hashes, simhash
-
-WORDS, SIMILARITY = 5, 0.8
-_EPS = 1e-9  # 0.8 is not a binary fraction
-
-
-def content(text: Column) -> Column:
-    """64 bits that stand for a text; null is a text of its own."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
-
-
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    return np.unique(shingle_hashes(text or "", words))
-
-
-def _name(own: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
-
-
-def common_shingles(docs: DataFrame, words: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that different texts of a sample share, and in how many; at most ``most``."""
-    part = math.ceil((1 << 20) * min(1, sample / max(1, docs.count())))
-    drawn = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part).distinct()
-
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"h": np.concatenate([shingle_set(t.as_py(), words) for t in batch.column("text")]).view(np.int64)}
-
-    seen = map_arrow(drawn, "h long", rows).groupBy("h").count().where("count > 1")
-    top = seen.orderBy(F.desc("count"), "h").limit(most).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], top["count"].to_numpy(np.int64)[order]
-
-
-def parity_bits(own: np.ndarray) -> np.ndarray:
-    """A power of two of longs with a bit or more for each shingle: bit h mod size is the parity of
-    the shingles there, so two sets differ in at least as many shingles as bits."""
-    longs = 1 << max(0, math.ceil(len(own) / 64) - 1).bit_length()
-    odd = np.bincount((own % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def bits_apart(x: str, y: str) -> Column:
-    """In how many places two sets' parity bits differ, the longer ones folded to the shorter."""
-
-    def folded(a: str, b: str) -> Column:
-        half = F.size(b)
-        both = F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))
-        return F.when(F.size(a) > half, both).otherwise(F.col(a))
-
-    apart = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    return F.aggregate(apart, F.lit(0), lambda total, k: total + k)
-
-
-MARKED = "doc_id long, c long, rest long, s long, n int, fp long, bits array<long>, prefix array<long>"
-
-
-def marked_rows(docs: DataFrame, words: int, similarity: float, sample: int = 8192, most: int = 1 << 17) -> DataFrame:
-    """(doc_id, c, rest, s, n, fp, bits, prefix) for each row: its content and a hash of its other
-    columns; name, size, SimHash and parity bits of its set; and the shingles one of which it
-    shares with any set of that similarity."""
-    known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, sample, most))
-
-    def prefix(own: np.ndarray) -> np.ndarray:
-        h, count = known.value
-        often = np.zeros(len(own), np.int64)
-        if len(h):
-            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-            often = np.where(h[at] == own, count[at], 0)
-        keep = len(own) - math.ceil(similarity * len(own) - _EPS) + 1 if len(own) else 0
-        return own[np.lexsort((own, often))[:keep]].view(np.int64)
-
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("s", "n", "fp", "bits", "prefix")}
-        for text in batch.column("text"):
-            hashes = shingle_hashes(text.as_py() or "", words)
-            own = np.unique(hashes)
-            fp = int(np.uint64(simhash(hashes)).astype(np.int64))
-            for col, x in zip(out.values(), (_name(own), len(own), fp, parity_bits(own), prefix(own)), strict=True):
-                col.append(x)
-        return out | {c: batch.column(c) for c in ("doc_id", "c", "rest")}
-
-    others = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns) if c not in ("doc_id", "text")], F.lit(0))
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content(F.col("text")).alias("c"), others.alias("rest"), "text")
-    return map_arrow(asked, MARKED, rows)
-
-
-def similar_sets(docs: DataFrame, marked: DataFrame, words: int, similarity: float, cell: int = 256) -> DataFrame:
-    """(node, component) of the sets that links of at least ``similarity`` join to others.
-
-    Each SimHash group, and each shingle's sets, are compared with one of them first. Where that
-    leaves a shingle's sets in several components, the sets of different components and like size
-    are compared pair by pair, in slices of bounded size.
-    """
-    sets = materialise(marked.groupBy("s").agg(F.min("c").alias("c"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bits").alias("bits")), "sets")
-    least = (1 - similarity) / (1 + similarity)  # shingles not shared, at most, of all in both
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (src, dst) that sizes and parity bits do not rule out."""
-        side = lambda name, n, bits: sets.select(F.col("s").alias(name), F.col("n").alias(n), F.col("bits").alias(bits))
-        both = pairs.join(side("src", "m", "x"), "src").join(side("dst", "n", "y"), "dst")
-        both = both.where(F.least("m", "n") >= F.greatest("m", "n") * similarity - _EPS)
-        return both.where(bits_apart("x", "y") <= (F.col("m") + F.col("n")) * least + _EPS).select("src", "dst")
-
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        own = [shingle_set(t.as_py(), words) for t in batch.column("text")]
-        return {"s": [_name(x) for x in own], "shingles": [x.view(np.int64) for x in own]}
+from .common import materialise, scratch
+from .op06_simhash import near_fingerprints
+from .op13_parity import SIMILARITY, WORDS, content, keyed_sets, similar_sets
 
-    def linked(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = materialise(pairs, label)
-        chosen = pairs.select(F.explode(F.array("src", "dst")).alias("s")).distinct()
-        chosen = materialise(sets.join(chosen, "s", "left_semi").select("c"), f"{label}-chosen")
-        texts = docs.select(content(F.col("text")).alias("c"), "text").join(chosen, "c", "left_semi").select("text")
-        whole = materialise(map_arrow(texts, "s long, shingles array<long>", rows).dropDuplicates(["s"]), f"{label}-sets")
-        both = pairs.join(whole.select(F.col("s").alias("src"), F.col("shingles").alias("x")), "src")
-        both = both.join(whole.select(F.col("s").alias("dst"), F.col("shingles").alias("y")), "dst")
-        x, y, shared = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
-        return materialise(both.where(shared >= (x + y - shared) * similarity - _EPS).select("src", "dst"), f"{label}-linked")
 
-    held = marked.select("s", F.explode("prefix").alias("h"))
-    met = held.groupBy("h").agg(F.min("s").alias("pivot"), F.max("s").alias("last")).where("pivot <> last").drop("last")
-    met = materialise(held.join(materialise(met, "shared-shingles"), "h").distinct(), "shared-by")
+def _others(docs: DataFrame) -> Column:
+    """A hash of all columns but doc_id and text."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns) if c not in ("doc_id", "text")], F.lit(0))
 
-    roots = near_fingerprints(materialise(sets.select("fp").distinct(), "set-fingerprints"))
-    groups = materialise(sets.select("s", "fp").join(roots, "fp").select("s", "root"), "simhash-groups")
-    pivots = groups.groupBy("root").agg(F.min("s").alias("pivot"), F.max("s").alias("last")).where("pivot <> last").drop("last")
-    stars = groups.join(pivots, "root").select("pivot", "s").unionByName(met.select("pivot", "s")).where("s <> pivot")
-    first = linked(close(stars.select(F.col("pivot").alias("src"), F.col("s").alias("dst")).distinct()), "star")
 
-    label = connected_components(first)
-    own = met.select("h", "s").join(label, F.col("s") == F.col("node"), "left").select("h", "s", F.coalesce("component", "s").alias("k"))
-    own = materialise(own.join(sets.select("s", "n"), "s").withColumn("band", F.floor(F.log("n") / -math.log(similarity)).cast("int")), "shared-by-component")
-    # sizes of similar sets lie in one band or in neighbouring ones; a band's sets are cut in slices
-    apart = own.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h")
-    cells = own.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("slices"))
-    cells = materialise(cells.join(apart, "h", "left_semi"), "bands")
-    left = own.select("h", F.col("s").alias("src"), F.col("n").alias("m"), F.col("k").alias("j"),
-                      F.col("band").alias("low"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    left = left.join(cells, ["h", "band"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    right = own.join(cells, ["h", "band"]).select(
-        "h", "band", F.pmod(F.xxhash64("s"), F.col("slices")).cast("int").alias("slice"), F.col("s").alias("dst"), "n", "k"
-    )
-    # a pair that shares many shingles is judged by its bits once, after the distinct
-    near = (
-        (F.col("j") != F.col("k"))
-        & ((F.col("low") < right["band"]) | (F.col("src") < F.col("dst")))
-        & (F.least("m", "n") >= F.greatest("m", "n") * similarity - _EPS)
-    )
-    same = [left[c] == right[c] for c in ("h", "band", "slice")]
-    pairs = left.join(right, same[0] & same[1] & same[2] & near)
-    pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    return connected_components(first.unionByName(linked(close(pairs), "pairs")))
+def likely_pairs(named: DataFrame) -> DataFrame:
+    """(src, dst): the sets of ``named`` (name, fp) whose SimHashes lie in one group, with the least of them."""
+    roots = near_fingerprints(materialise(named.select("fp").distinct(), "set-fingerprints"))
+    groups = materialise(named.join(roots, "fp").select("name", "root"), "simhash-groups")
+    least = groups.groupBy("root").agg(F.min("name").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return groups.join(least, "root").where("name <> src").select("src", F.col("name").alias("dst"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -179,14 +33,19 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     id, its content and a hash of its other columns, and how many rows have that name.
 
     The row with the least doc_id stands for its group, of rows with one id the one with the least
-    hashes; one without doc_id only where there is no other. Texts without words are one group.
+    hashes; one without doc_id only where there is no other. Texts without words are one group. A very
+    long text is taken whole; an empty table gives no rows.
     """
     with scratch(docs.sparkSession):
-        marked = materialise(marked_rows(docs, words, similarity), "shingles")
-        groups = similar_sets(docs, marked, words, similarity)
+        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content(F.col("text")).alias("c"), _others(docs).alias("rest"), "text")
+        keyed = materialise(keyed_sets(asked, words, similarity, with_simhash=True), "keyed-sets")
+        own = keyed.where("own")
+        sets = materialise(own.groupBy("name").agg(F.min("fp").alias("fp")), "sets")
+        groups = similar_sets(docs, keyed, words, similarity, materialise(likely_pairs(sets), "likely"))
         row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "c", "rest")
-        best = marked.groupBy("s", row.alias("r")).agg(F.count(F.lit(1)).alias("copies")).groupBy("s").agg(F.min(F.struct("r", "copies")).alias("r"))
-        heads = best.join(groups, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("component", "s")).agg(F.min("r").alias("r"))
+        best = own.groupBy("name", row.alias("r")).agg(F.count(F.lit(1)).alias("copies")).groupBy("name").agg(F.min(F.struct("r", "copies")).alias("r"))
+        best = materialise(best.join(groups, "name", "left"), "best-of-sets")
+        heads = best.where("root is null").select("r").unionByName(best.where("root is not null").groupBy("root").agg(F.min("r").alias("r")).select("r"))
         return materialise(heads.select("r.r.doc_id", "r.r.c", "r.r.rest", "r.copies"), "heads", keep=True)
 
 
@@ -195,9 +54,8 @@ def rows_of(docs: DataFrame, heads: DataFrame) -> DataFrame:
 
     Texts move once at most; only rows that are repeated whole are told apart by a shuffle.
     """
-    others = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns) if c not in ("doc_id", "text")], F.lit(0))
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    marked = docs.withColumn("__key", key("doc_id")).withColumn("__c", content(F.col("text"))).withColumn("__rest", others)
+    marked = docs.withColumn("__key", key("doc_id")).withColumn("__c", content(F.col("text"))).withColumn("__rest", _others(docs))
     named = heads.select(key("doc_id").alias("__key"), F.col("c").alias("__c"), F.col("rest").alias("__rest"), "copies")
     on = ["__key", "__c", "__rest"]
     single = marked.join(named.where("copies = 1"), on, "left_semi")
