@@ -10,6 +10,7 @@ from tickerloom.operators import ingest, maintain, rank, scope, scoring
 from tickerloom.plans import dashboard as d
 from tickerloom.plans.pipeline import run_pipeline
 from tickerloom.sources import feeds, landing, seed
+from tickerloom.sources.headlines import HeadlineIndex
 from tickerloom.streaming.ingest import read_articles, stream_ingest
 
 NOW = datetime(2026, 1, 10)
@@ -68,6 +69,50 @@ def test_search_takes_wildcards_literally(spark):
     assert scope.headline_contains(t.article, " ").count() == 5
 
 
+@pytest.mark.parametrize("text", ["the", "THE end", " nd o", "zz", "é", "aaa", "%", "a_b", "İst", "no such"])
+def test_index_finds_what_a_scan_finds(spark, tmp_path_factory, text):
+    if not hasattr(spark, "_headlines"):
+        said = ["The end of the road", "aaaa", "aa", "a_b 100%", "axb", None, "", "naïve é", "İstanbul rises", "end the", "THE END"] + [f"the news {i}" for i in range(60)]
+        spark._headlines = spark.createDataFrame(list(enumerate(said)), "article_id long, headline string")
+        spark._index = HeadlineIndex(spark, str(tmp_path_factory.mktemp("index") / "i"), buckets=4).build(spark._headlines)
+    want = rows(scope.headline_contains(spark._headlines, text), "article_id")
+    assert rows(spark._index.find(text), "article_id") == want == rows(scope.headline_contains(spark._headlines, text, spark._index), "article_id")
+
+
+def test_search_opens_few_files(spark, tmp_path):
+    articles = spark.range(4000).select(F.col("id").alias("article_id"), F.concat(F.lit("w"), F.md5(F.col("id").cast("string"))).alias("headline"))
+    index = HeadlineIndex(spark, str(tmp_path / "i"), buckets=64).build(articles)
+    text = articles.where("article_id = 77").first()["headline"][5:25]
+    assert [r["article_id"] for r in index.find(text).collect()] == [77]
+    assert index.opened <= 4
+    index.find("ab")
+    assert index.opened == 64
+
+
+def test_users_with_one_watchlist_share_a_page(spark):
+    t = make_tables(spark)
+    t.user_stock = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 1), (2, 1), (3, 1)], "user_id long, stock_id long")
+    members, sets = scope.watch_sets(t.user_stock)
+    assert rows(members, "user_id", "set_id") == [(1, 1), (2, 1), (3, 3)] and rows(sets, "set_id", "stock_id") == [(1, 1), (1, 2), (3, 1)]
+    feed = d.news_feed(t, NOW)
+    page = lambda u: rows(feed.where(F.col("user_id") == u), "rank", "article_id", "tickers")
+    assert page(1) == page(2) != page(3) and len(page(1)) == 50
+
+
+def test_joins_by_stock_need_no_shuffle_of_bucketed_tables(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = make_tables(spark)
+        b = d.bucketed_by_stock(t, 4)
+        watched = d.watch_latest(b)
+        plan = watched._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert rows(watched, "user_id", "stock_id", "ticker") == rows(d.watch_latest(t), "user_id", "stock_id", "ticker")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_ticker_overrides_scope_and_is_case_sensitive(spark):
     t = make_tables(spark, 10)
     assert d.news_feed(t, NOW, ticker="BBB").where("user_id = 2").count() == 5

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import route_feed
 from ..functions.time import in_window
+from ..sources.headlines import HeadlineIndex
 from ..sources.storage import written
 from .rank import top_k_per_group
 
@@ -29,10 +30,12 @@ def next_limit(n: int) -> int:
     return min(n + DEFAULT_LIMIT, MOST)
 
 
-def headline_contains(df: DataFrame, query: str | None) -> DataFrame:
+def headline_contains(df: DataFrame, query: str | None, index: HeadlineIndex | None = None) -> DataFrame:
     """Headlines with the trimmed text in them, in any case; no text, no filter. ``_`` and ``%``
-    are plain characters."""
+    are plain characters. With an ``index`` of the articles only what it finds is looked at."""
     text = (query or "").strip()
+    if text and index is not None:
+        return df.join(index.find(text).select("article_id"), "article_id", "left_semi")
     return df.where(F.lower("headline").contains(text.lower())) if text else df
 
 

@@ -17,6 +17,7 @@ from ..functions import time as tm
 from ..operators import ingest, maintain, rank, scope, scoring
 from ..sources import feeds, landing, seed
 from ..sources.adapters import AS_OF_ARTICLES, AS_OF_READINGS, view, with_views
+from ..sources.headlines import HeadlineIndex
 from ..sources.schemas import NEWS, TABLES
 from ..sources.storage import shared_path, written
 from ..streaming.ingest import read_articles, read_rejects, stream_ingest
@@ -180,6 +181,29 @@ def news_feed_search(spark, sf_dir):
     return longs(d.news_feed(feed_tables(spark, sf_dir), AS_OF_ARTICLES, window="30d", query=" Building Order 1"), "rank")
 
 
+#: One of two characters, one that nothing has, common and rare ones.
+SEARCHED = ("77", "building order 1", "Order 2", "no such words", "5-LOW FURN", "ship order 999")
+
+
+@query(
+    f"SELECT q AS query, article_id FROM article, (SELECT unnest([{', '.join(repr(x) for x in SEARCHED)}]) AS q) WHERE contains(lower(headline), lower(q))", "article"
+)
+def search_headlines(spark, sf_dir):
+    """Every headline indexed by its pieces, and what a few texts find."""
+    index = HeadlineIndex(spark, shared_path(spark, "headline-index")).build(view(spark, sf_dir, "article"))
+    found = [index.find(x).select(F.lit(x).alias("query"), "article_id") for x in SEARCHED]
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0]
+
+
+@query(f", {WATCH} SELECT user_id, stock_id, ticker, score, date FROM watch", "stock", "sentiment", "user_stock")
+def watch_latest(spark, sf_dir):
+    """Watched stocks with their latest readings, from tables in buckets of stock: nothing is shuffled."""
+    t = d.bucketed_by_stock(tables(spark, sf_dir), 8)
+    return d.watch_latest(t).select("user_id", "stock_id", "ticker", "score", "date")
+
+
 TICKER = "Supplier#000000007"
 NAMED = f"named AS (SELECT * FROM article WHERE article_id IN (SELECT article_id FROM article_stock JOIN stock USING (stock_id) WHERE ticker = '{TICKER}'))"
 NAMED_NEWEST = "newest AS (SELECT u.user_id, e.article_id, e.published_at, e.rank FROM app_user u, (SELECT * FROM (SELECT article_id, published_at, row_number() OVER (ORDER BY published_at DESC, article_id) AS rank FROM named) WHERE rank <= 50) e)"
@@ -248,6 +272,17 @@ def markets_board(spark, sf_dir):
     return d.markets_board(tables(spark, sf_dir))
 
 
+@query(
+    """, every AS (SELECT list_sort(list(market_id)) AS e FROM market), own AS (SELECT user_id, list_sort(list(DISTINCT market_id)) AS o FROM user_market GROUP BY user_id)
+    SELECT a.user_id, coalesce(array_to_string(o, ','), '') AS followed, array_to_string(list_filter(e, lambda x: NOT list_contains(coalesce(o, []), x)), ',') AS others
+    FROM app_user a LEFT JOIN own USING (user_id), every""",
+    "app_user", "market", "user_market",
+)
+def market_lists(spark, sf_dir):
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return d.market_lists(tables(spark, sf_dir)).select("user_id", joined("followed"), joined("others"))
+
+
 @query(f"SELECT max(date) AS last_run, 'Updated ' || {age_sql('max(date)', R)} AS label FROM sentiment", "sentiment")
 def pipeline_status(spark, sf_dir):
     return d.pipeline_status(tables(spark, sf_dir), AS_OF_READINGS)

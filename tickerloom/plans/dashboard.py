@@ -6,7 +6,7 @@ scopes are per user, so the result is the same.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.mood import indicator, mood_bucket, mood_label
 from ..functions.time import as_of_like, in_window, month_day, relative_age, status_label
 from ..operators import rank, scope
+from ..sources.bucketed import bucketed
+from ..sources.headlines import HeadlineIndex
 from ..sources.seed import MARKET_ICONS, OTHER_ICON
 from ..sources.storage import written
 
@@ -37,6 +39,13 @@ class Tables:
         self.latest = rank.latest_sentiment(self.sentiment)
 
 
+def bucketed_by_stock(t: Tables, buckets: int) -> Tables:
+    """The tables that queries join by stock, in buckets of it: latest readings, histories and
+    watched stocks are then made without moving these tables."""
+    own = {n: bucketed(getattr(t, n), n, "stock_id", buckets) for n in ("stock", "sentiment", "user_stock", "article_stock")}
+    return replace(t, **own)
+
+
 def watch_latest(t: Tables) -> DataFrame:
     """(user_id, stock_id, ticker, market_id, score, date) of all watched stocks; no reading, nulls."""
     return t.user_stock.join(t.stock, "stock_id").join(t.latest.select("stock_id", "score", "date"), "stock_id", "left")
@@ -90,7 +99,7 @@ def overview_headlines(t: Tables, as_of: datetime, k: int = 5, tickers: int = 3)
 
 def news_feed(
     t: Tables, as_of: datetime, limit: int | str | None = None, window: str = "all", query: str | None = None,
-    ticker: str | None = None, mood: str | None = None, tickers: int = 4,
+    ticker: str | None = None, mood: str | None = None, tickers: int = 4, index: HeadlineIndex | None = None,
 ) -> DataFrame:
     """Each user's feed: newest articles, strongest sentiment, first tickers, ``has_more``.
 
@@ -101,7 +110,7 @@ def news_feed(
     """
     n = scope.clamp_limit(limit)
     fetch = min(scope.MOST_FETCHED, n * scope.OVER_FETCH if mood else n)
-    articles = scope.headline_contains(in_window(t.article, "published_at", as_of, window), query)
+    articles = scope.headline_contains(in_window(t.article, "published_at", as_of, window), query, index)
     if ticker:
         articles = scope.scope_ticker(articles, t.article_stock, t.stock, ticker)
     everyones = written(scope.global_newest(articles, fetch).drop("published_at"), "newest")
@@ -205,6 +214,20 @@ def markets_board(t: Tables) -> DataFrame:
     )
 
 
+def market_lists(t: Tables) -> DataFrame:
+    """(user_id, followed, others): ids of the markets that a user follows and of the rest, in order.
+
+    One row a user instead of one for each market: only follows move, the list of all markets is
+    one row.
+    """
+    every = t.market.agg(F.array_sort(F.collect_set("market_id")).alias("every"))  # markets are few
+    known = t.user_market.join(t.market.select("market_id"), "market_id", "left_semi")
+    own = known.groupBy("user_id").agg(F.array_sort(F.collect_set("market_id")).alias("own"))
+    rows = t.users.select("user_id").join(own, "user_id", "left").crossJoin(F.broadcast(every))
+    mine = F.coalesce("own", F.array_except("every", "every"))
+    return rows.select("user_id", mine.alias("followed"), F.array_except("every", mine).alias("others"))
+
+
 def is_followed(t: Tables, stock_ids: DataFrame) -> DataFrame:
     """(user_id, stock_id, followed) for asked pairs."""
     own = t.user_stock.select("user_id", "stock_id").distinct().withColumn("followed", F.lit(True))
