@@ -110,6 +110,33 @@ def test_a_later_variant_is_looked_at(spark):
     assert set(got) == {(0, 1), (3, 1)}
 
 
+def test_items_under_five_words_are_found_inside_texts(spark):
+    bench = [(1, "what year"), (2, "Ask Bob 12 times"), (3, "one two three four five six")]
+    texts = [
+        "some words before then what year? more words", "What year", "what about the year then and so", "so ask Kim 7 times, they said then",
+        "we ask nobody at all times of day", "zero one two three four five six seven", "",
+    ]
+    assert set(found(spark, texts, bench)) == {(0, 1), (1, 1), (3, 2), (5, 3)}
+
+
+def test_copies_with_insertions_beside_partial_variants(spark):
+    rng = random.Random(5)
+    texts, want, bench = [], set(), []
+    for k in range(8):
+        t = template(rng)
+        while len(t) < 34:
+            t = template(rng)
+        bench.append((k, fill(t, fillers(rng))))
+        own, other = next((a, b) for a, b in iter(lambda: (fillers(rng), fillers(rng)), None) if not set(a.values()) & set(b.values()))
+        noise = lambda n: " ".join(f"z{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n))
+        half, decoy = len(t) // 2, fill(t[:23], other)
+        copy = f"{fill(t[:half], own)} {noise(24)} {fill(t[half:], own)}"
+        for text in (copy, f"{decoy} {noise(9)} {copy}", f"{copy} {noise(9)} {decoy}", f"{decoy}. {copy}. {decoy}"):
+            want.add((len(texts), k))
+            texts.append(text)
+    assert set(found(spark, texts, bench)) == want
+
+
 NAMES = "Anna Bob Carla Dora Emil Fred Greta Hugo Ida Jonas Karl Lena Mona Nils Olga Paul Rita Sven Tina Udo".split()
 
 

@@ -159,10 +159,12 @@ def consistent(fillers: str) -> Column:
 
 
 def aligned(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The matches among ``pairs`` (doc_id, item_id, i, d, n_windows) that hold in one region of the document.
+    """The matches among ``pairs`` (doc_id, item_id, i, d, n_windows) that hold in regions of the document.
 
     A region is what lies near one offset p - q of places, up to 2 words, a quarter or a half of
-    the item away; each of the item's windows is placed in it as near to the offset as it occurs.
+    the item away; each of the item's windows is placed in it as near to the offset as it occurs. What
+    was put into the middle of a copy moves the rest of it to another region, so regions are chained:
+    from each consistent one on, the others are taken in by size, if all fillers stay consistent.
     """
     key = ["doc_id", "item_id", "text_key"]
     pairs = pairs.select("doc_id", "item_id", F.xxhash64("d.words").alias("text_key"), "i", "d", "n_windows").dropDuplicates(key)
@@ -188,12 +190,56 @@ def aligned(pairs: DataFrame, similarity: float) -> DataFrame:
     widths = F.array_distinct(F.array(F.lit(2), F.floor(F.col("reach") / 4).cast("int"), F.floor(F.col("reach") / 2).cast("int")))
     near = hits.withColumn("cell", cell("offset")).join(regions, [*key, "cell"]).withColumn("away", away).withColumn("width", F.explode(widths)).where("away <= width")
     one = near.groupBy(*key, "n_windows", "centre", "width", "q").agg(F.min(F.struct("away", "p", "win", "own")).alias("best"))
-    return (
-        one.groupBy(*key, "n_windows", "centre", "width")
-        .agg(F.size(F.collect_set("best.win")).alias("matched"), F.array_distinct(F.flatten(F.collect_list("best.own"))).alias("fillers"))
-        .withColumn("similarity", F.col("matched") / F.col("n_windows"))
-        .where((F.col("similarity") >= similarity) & consistent("fillers"))
-    )
+    fillers = F.array_sort(F.array_distinct(F.flatten(F.collect_list("best.own")))).alias("fillers")
+    regions = one.groupBy(*key, "n_windows", "centre", "width").agg(F.array_sort(F.collect_set("best.win")).alias("wins"), fillers).where(consistent("fillers"))
+    regions = materialise(regions.select(*key, "n_windows", "wins", "fillers").distinct(), "regions")
+    share = F.col("matched") / F.col("n_windows")
+    single = regions.withColumn("matched", F.size("wins")).withColumn("similarity", share).where(F.col("similarity") >= similarity)
+    # those that no region holds alone
+    left = regions.join(single.select(*key).distinct(), key, "left_anti")
+    left = left.groupBy(*key, "n_windows").agg(F.sort_array(F.collect_list(F.struct(F.size("wins").alias("n"), "wins", "fillers")), asc=False).alias("chain"))
+    chained = left.withColumn("first", F.explode("chain")).select(*key, "n_windows", chain_from("first", "chain").alias("c"))
+    chained = chained.select(*key, "n_windows", F.size("c.wins").alias("matched"), "c.fillers").withColumn("similarity", share)
+    return single.drop("wins").unionByName(chained.where(F.col("similarity") >= similarity), allowMissingColumns=True)
+
+
+def chain_from(first: str, chain: str) -> Column:
+    """(wins, fillers) of a region and all that can be chained to it, the largest first."""
+
+    def add(held: Column, more: Column) -> Column:
+        return let(
+            F.array_union(held["fillers"], more["fillers"]),
+            lambda both: F.when(
+                F.size(both) == F.size(F.array_distinct(F.transform(both, lambda s: s["item"]))),
+                F.struct(F.array_union(held["wins"], more["wins"]).alias("wins"), both.alias("fillers")),
+            ).otherwise(held),
+        )
+
+    return F.aggregate(chain, F.struct(F.col(f"{first}.wins").alias("wins"), F.col(f"{first}.fillers").alias("fillers")), add)
+
+
+def short_matches(docs: DataFrame, known: DataFrame) -> DataFrame | None:
+    """None if there are no such items, or the matches (doc_id, item_id, ...) of items of fewer than ``WINDOW`` words inside longer texts.
+
+    Such an item has one window, of all its words; a text holds it by its very words, or by its
+    template with consistent fillers. Texts are cut into windows of just the lengths that occur.
+    """
+    held = known.where(F.size("i.words") < WINDOW).select("item_id", F.size("i.words").alias("n"), F.col("i.words").alias("asked"), F.get("i.wins", F.lit(0)).alias("win"), F.get("i.raw_wins", F.lit(0)).alias("raw"))
+    held = held.withColumn("h", F.explode(F.array_distinct(F.array("win", "raw"))))
+    sizes = sorted(r["n"] for r in held.select("n").distinct().collect())  # at most WINDOW - 1 of them
+    if not sizes:
+        return None
+    words = docs.select("doc_id", template_words(F.col("text"), True).alias("w")).where(F.size("w") >= WINDOW)
+    found = None
+    for n in sizes:
+        own = held.where(F.col("n") == n).select("item_id", "asked", "h")
+        runs = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("found"))  # noqa: B023
+        runs = runs.select("doc_id", "found", F.explode(both_windows(F.col("found"))).alias("h"))
+        met = runs.join(own, "h").withColumn("fillers", F.array_distinct(slots(F.col("asked"), F.col("found"))))
+        met = met.where((literals(F.col("asked")) == literals(F.col("found"))) | consistent("fillers"))
+        found = met if found is None else found.unionByName(met)
+    one = found.groupBy("doc_id", "item_id").agg(F.min(F.size("fillers")).alias("slots"))
+    return one.select("doc_id", "item_id", F.lit(1).alias("n_windows"), F.lit(1).alias("matched"), F.lit(1.0).alias("similarity"), "slots")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -205,11 +251,12 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     literally, or its fillers are consistent: a number, unit or name of the item stands for one
     and the same filler wherever it is matched. ``slots`` is how many different fillers were
     compared. Literal places of a window are preferred to template ones, and of several the first
-    counts; where these are not consistent, the places of each region are tried (``aligned``).
+    counts; where these are not consistent, regions are tried, and chains of them (``aligned``).
 
-    Null and empty texts have no windows and never match; an item shorter than a window matches
-    only a text that is as short. Repeated rows give repeated matches of a document only once. A
-    row without doc_id or item_id cannot be named and is left out. Other columns play no part.
+    Null and empty texts have no windows and never match; an item shorter than a window has one window,
+    of all its words. Repeated rows give repeated matches of a document only once. A row without
+    doc_id or item_id cannot be named and is left out. A very long text is taken whole, its template
+    made once for all its items. An empty table gives no matches. Other columns play no part.
     """
     with scratch(docs.sparkSession):
         docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -226,7 +273,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
         # texts are read again for candidates only, once however many items they may hold
         wanted = materialise(pairs.groupBy("doc_id").agg(F.collect_set("item").alias("own_items")), "suspects")
         close = docs.join(wanted, "doc_id").select("doc_id", "own_items", full_template(F.col("text")).alias("d"))
-        close = materialise(close.withColumn("item", F.explode("own_items")).drop("own_items"), "suspect-templates")
+        close = materialise(close, "suspect-templates").withColumn("item", F.explode("own_items")).drop("own_items")
         both = materialise(close.join(known, "item").withColumn("at", places()), "alignments")
         slot = F.flatten(F.transform("at", lambda x: slots(F.slice("i.words", x["q"], WINDOW), F.slice("d.words", x["p"], WINDOW))))
         share = lambda at: F.size(F.array_distinct(F.transform(at, lambda x: F.get("i.wins", x["q"] - 1))))
@@ -243,7 +290,11 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
         shown = ["doc_id", "item_id", "similarity", "matched", "n_windows", F.size("fillers").alias("slots")]
         matches = judged.where("proved").select(*shown).unionByName(aligned(judged.where("not proved"), similarity).select(*shown))
         best = matches.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "matched", "n_windows", "slots")).alias("m"))
-        return materialise(best.select("doc_id", "item_id", "m.n_windows", "m.matched", "m.similarity", "m.slots"), "matches", keep=True)
+        best = best.select("doc_id", "item_id", "m.n_windows", "m.matched", "m.similarity", "m.slots")
+        short = short_matches(docs, known)
+        if short is not None:
+            best = best.unionByName(short.select(*best.columns)).dropDuplicates(["doc_id", "item_id"])
+        return materialise(best, "matches", keep=True)
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
