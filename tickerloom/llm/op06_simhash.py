@@ -30,6 +30,7 @@ from .common import map_arrow, materialise, scratch, table
 from .graph import connected_components
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
+SAMPLE, DEEPEST = (1 << 13, 1 << 17), 18
 _STEP = 1 << 14  # shingles whose bits are counted at a time
 
 
@@ -145,13 +146,13 @@ def local_links(homes: np.ndarray, asked: np.ndarray, distance: int) -> tuple[np
 
 
 def near_pairs(
-    fps: DataFrame, distance: int = DISTANCE, blocks: int = 3, leaf: int = 512, cell: int = 2048, sample: int = 8192
+    fps: DataFrame, distance: int = DISTANCE, blocks: int = 3, leaf: int = 512, cell: int = 2048
 ) -> DataFrame:
     """Edges (src, dst) that connect all fingerprints within ``distance`` bits of each other.
 
-    ``fps`` has one column fp of distinct signed longs. Trees are fitted on a bounded sample of
-    ``sample`` fingerprints, deep enough for ``leaf`` of them in a shard (bounded by 2**14
-    shards a tree). Where more than ``cell`` fingerprints live in a shard or ask it, say those
+    ``fps`` has one column fp of distinct signed longs. Trees are fitted on a sample of a 64th of the
+    fingerprints (``SAMPLE``: at least 2**13, at most 2**17), deep enough for ``leaf`` of them in a shard
+    (bounded by 2**``DEEPEST`` shards a tree, of 16 bytes each when broadcast). Where more than ``cell`` fingerprints live in a shard or ask it, say those
     of a huge family of near copies, both sides are cut into slices, and every pair of slices is
     a task's cell, so no task holds more than about two slices and no pair is lost.
     """
@@ -159,8 +160,8 @@ def near_pairs(
     n = fps.count()
     if n < 2:
         return spark.createDataFrame([], "src long, dst long")
-    drawn = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    depth = int(np.clip(np.ceil(np.log2(max(1, n / leaf))), 0, 14))
+    drawn = fps.orderBy(F.xxhash64("fp"), "fp").limit(int(np.clip(n >> 6, *SAMPLE))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    depth = int(np.clip(np.ceil(np.log2(max(1, n / leaf))), 0, DEEPEST))
     trees = [VPTree.fit(drawn, m, depth) for m in block_masks(blocks)]
     forest, radius = spark.sparkContext.broadcast(trees), distance // blocks
 
@@ -175,7 +176,7 @@ def near_pairs(
                     )
 
     routed = fps.mapInArrow(route, "tree int, leaf long, asks boolean, fp long")
-    # at most blocks * 2**14 rows
+    # at most blocks * 2**DEEPEST rows
     slices = lambda asks: F.ceil(F.count_if(F.col("asks") == asks) / cell).cast("int")
     sizes = routed.groupBy("tree", "leaf").agg(slices(False).alias("homes"), slices(True).alias("askers")).where("homes > 0 and askers > 0")
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("asks"), F.col("askers")).otherwise(F.col("homes"))).cast("int")
