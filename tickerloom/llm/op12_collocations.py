@@ -9,10 +9,11 @@ phrase's cycle is the whole corpus, and what never becomes active contains somet
 threshold.
 
 A block knows its words by numbers of its own. At a scan it asks for the numbers of those of its
-distinct words that are active: a join of distinct words, not of tokens. Pairs of neighbouring active
-words are counted as pairs of numbers, and the distinct pairs that may be active (a bitmap of bounded
-size lets through few others) are the next length's words. A block is bounded by ``block_bytes`` or
-one text; nothing else is held whole.
+distinct words that are active: a join of distinct words, not of tokens. Then it counts its pairs of
+neighbouring active words, and of the longer windows those whose two subphrases may be active: a bitmap
+of bounded size tells, and a join of the sums with the active phrases drops what it let through by
+mistake. Only what can begin or go on is counted, so a late scan counts little. A block is bounded by
+``block_bytes`` or one text; nothing else is held whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, map_arrow, materialise, scratch, table
+from .common import ASCII_LOWER, ASCII_UPPER, fresh_path, map_arrow, materialise, remove, scratch, table, tidy_shuffles
 from .sieve import mixed, sieve, sifted
 
 #: What ends a piece.
@@ -45,8 +46,8 @@ class Settings:
     threshold: int = 10
     covered: int = 50
     first: int = 2000
-    shards: int = 3
-    block_bytes: int = 8 << 20
+    shards: int = 2
+    block_bytes: int = 4 << 20
 
 
 BLOCKS = "shard int, block long, lang string, ids binary, words array<binary>, n array<long>"
@@ -93,123 +94,172 @@ def blocks_of(docs: DataFrame, settings: Settings) -> DataFrame:
     return asked.mapInArrow(run, BLOCKS)
 
 
-ENCODED = "block long, ids binary, ask_p array<long>, ask_q array<long>, p array<long>, q array<long>, start array<int>, n array<long>"
+def _key(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of each window, given its words by place."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = mixed(h ^ w.view(np.uint64))
+    return h.view(np.int64)
 
 
-def _pair_key(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return mixed(mixed(p.view(np.uint64)) ^ q.view(np.uint64)).view(np.int64)
+def columns(k: int) -> list[str]:
+    return [f"w{i}" for i in range(1, k + 1)]
 
 
-def next_length(held: DataFrame, answers: DataFrame, unfinished: int, bits=None) -> DataFrame:
-    """One length up: (block, ids) with what its items turned out to be (block, at, id, since).
+def count_windows(held: DataFrame, answers: DataFrame, longest: int, unfinished: int, sieves) -> DataFrame:
+    """(k, w1, ..., start, n): how often each window of k active words that is still to be counted occurs
+    in each of the blocks ``held``, by ``answers`` (block, at, id, since) on which of their words are active.
 
-    Rows hold the pairs of neighbouring active items: those that began after scan ``unfinished`` with
-    their counts, and, if there are ``bits`` of the active pairs, the ids of the pairs that may be
-    among these, in order, as numbers into (ask_p, ask_q).
+    A pair is to be counted if it began after scan ``unfinished``; start says when. A longer window must
+    have both subphrases in the bitmap of the active ones of that length and one of them in that of
+    those that became active after ``unfinished``; its start is -1, as the bitmaps do not know it.
     """
-    names = [x.split()[0] for x in ENCODED.split(", ")]
+    names = ["k", *columns(longest), "start", "n"]
+    types = [pa.int32(), *[pa.int64()] * longest, pa.int32(), pa.int64()]
+
+    def table_of(k: int, words: list[np.ndarray], start: np.ndarray, n: np.ndarray) -> pa.Table:
+        none = pa.nulls(len(n), pa.int64())
+        cols = [np.full(len(n), k, np.int32), *words, *[none] * (longest - k), start.astype(np.int32), n]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     def run(tokens: pa.Table, found: pa.Table) -> pa.Table:
-        out = {x: [] for x in names}
+        out = [table_of(2, [np.zeros(0, np.int64)] * 2, np.zeros(0), np.zeros(0, np.int64))]
         if tokens.num_rows and found.num_rows:
             at, ids, since = (np.asarray(found.column(c).combine_chunks()) for c in ("at", "id", "since"))
             own = np.frombuffer(tokens.column("ids")[0].as_py(), np.int32)
             place = np.full(max(int(own.max(initial=-1)), int(at.max())) + 2, -1, np.int64)  # -1 stays -1
             place[at] = np.arange(len(at))
             own = place[own]
-            code = np.where((own[:-1] >= 0) & (own[1:] >= 0), own[:-1] * len(at) + own[1:], -1)
-            pairs, where, n = np.unique(code, return_inverse=True, return_counts=True)
-            a, b = pairs // len(at), pairs % len(at)
-            start = np.maximum(since[a], since[b]).astype(np.int32)
-            kept = (pairs >= 0) & (start > unfinished)
-            asks = (pairs >= 0) & sifted(bits.value, _pair_key(ids[a], ids[b])) if bits is not None else np.zeros(len(pairs), bool)
-            new = np.where(asks, np.cumsum(asks) - 1, -1).astype(np.int32)[where]
-            row = (tokens.column("block")[0].as_py(), new.tobytes(), ids[a[asks]], ids[b[asks]], ids[a[kept]], ids[b[kept]], start[kept], n[kept])
-            out = {c: [x] for c, x in zip(names, row, strict=True)}
-        types = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.table([pa.array(out[c], t) for c, t in zip(names, types, strict=True)], names)
-
-    return held.select("block", "ids").groupBy("block").cogroup(answers.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(run, ENCODED)
+            # at each place the number of the window that begins there, -1 where it is of no use
+            number, size, words, late = own, max(1, len(at)), [ids], since > unfinished
+            for k in range(2, longest + 1):
+                code = np.where((number[:-1] >= 0) & (number[1:] >= 0), number[:-1] * size + number[1:], -1)
+                seen, where, n = np.unique(code, return_inverse=True, return_counts=True)
+                none = int(len(seen) > 0 and seen[0] < 0)
+                seen, n, where = seen[none:], n[none:], where - none  # -1 is no window
+                head, tail = seen // size, seen % size
+                words = [*[w[head] for w in words], words[-1][tail]]
+                counted = late[head] | late[tail]
+                start = np.maximum(since[head], since[tail]) if k == 2 else np.full(len(seen), -1)
+                out.append(table_of(k, [w[counted] for w in words], start[counted], n[counted]))
+                if k == longest or sieves.value.get(k) is None:
+                    break
+                active, fresh = sieves.value[k]
+                live = sifted(active, _key(words))
+                number = np.concatenate((np.where(live, np.cumsum(live) - 1, -1), [-1]))[where]
+                size = max(1, int(live.sum()))
+                words = [w[live] for w in words]
+                late = sifted(fresh, _key(words))
+                if not late.any() and sieves.value.get(k + 1) is None:
+                    break
+        return pa.concat_tables(out)
+
+    schema = ", ".join(["k int", *[f"{c} long" for c in columns(longest)], "start int", "n long"])
+    return held.select("block", "ids").groupBy("block").cogroup(answers.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(run, schema)
 
 
 class Length:
     """What is known of the phrases of one length: those still being counted, and the active ones."""
 
-    def __init__(self, keys: list[str], settings: Settings):
-        self.keys, self.settings = keys, settings
-        self.running: DataFrame | None = None
-        self.done: list[DataFrame] = []  # (keys, n) of frequent phrases whose cycle is complete
-        self.active: DataFrame | None = None  # (keys, id, since)
+    def __init__(self, k: int, settings: Settings):
+        self.k, self.settings = k, settings
+        self.keys = columns(k) if k > 1 else ["lang", "word"]
+        self.sums: list[tuple[str, DataFrame]] = []  # (folder, sums) of each scan, apart by whether the cycle has ended
+        self.active: DataFrame | None = None  # (keys, since), and the id of a word
         self.n_active, self.last_start = 0, 0
 
-    def add(self, counts: DataFrame, scan: int, label: str) -> None:
+    def add(self, counts: DataFrame, scan: int) -> None:
         """Take in the counts (keys, start, n) of a scan; phrases that reach the threshold are
-        active from the next scan on."""
-        s = self.settings
-        if self.running is not None:
-            counts = counts.unionByName(self.running)
-        total = counts.groupBy(*self.keys, "start").agg(F.sum("n").alias("n"))
-        ends = F.col("start") + s.shards - 1 <= scan
-        total = materialise(total.where(~ends | (F.col("n") >= s.threshold)), f"{label}-{scan}")
-        self.done.append(total.where(ends).select(*self.keys, "n"))
-        self.running = total.where(~ends)
+        active from the next scan on. Phrases whose cycle ends below it are forgotten."""
+        s, spark, label = self.settings, counts.sparkSession, f"length-{self.k}"
+        if self.sums:
+            counts = counts.unionByName(self.sums[-1][1].where("not ended").drop("ended"))
+        total = counts.groupBy(*self.keys, "start").agg(F.sum("n").alias("n")).withColumn("ended", F.col("start") + s.shards - 1 <= scan)
+        path = fresh_path(spark, label)
+        with tidy_shuffles(spark):
+            total.where(~F.col("ended") | (F.col("n") >= s.threshold)).write.partitionBy("ended").parquet(path)
+        if self.sums:
+            remove(spark, f"{self.sums[-1][0]}/ended=false")
+        total = spark.read.schema(total.schema).parquet(path)
+        self.sums.append((path, total))
         fresh = total.where(F.col("n") >= s.threshold).select(*self.keys)
         if self.active is not None:
             fresh = fresh.join(self.active, self.keys, "left_anti")
-        number = F.shiftleft(F.monotonically_increasing_id(), 6) + scan
-        fresh = materialise(fresh.withColumn("id", number).withColumn("since", F.lit(scan + 1)), f"{label}-active-{scan}")
+        if self.k == 1:
+            fresh = fresh.withColumn("id", F.shiftleft(F.monotonically_increasing_id(), 6) + scan)
+        fresh = materialise(fresh.withColumn("since", F.lit(scan + 1)), f"{label}-active", keep=True)
         n = fresh.count()
         if n:
             self.active = fresh if self.active is None else self.active.unionByName(fresh)
             self.n_active, self.last_start = self.n_active + n, scan + 1
 
+    def bitmaps(self, unfinished: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the active phrases, and of those that became active after scan ``unfinished``."""
+        keys = self.keys  # tasks take these along, and not what else is known here
+        key = lambda b: {"key": _key([np.array(b.column(c), np.int64) for c in keys])}
+        bits = lambda df: sieve(map_arrow(df.select(*keys), "key long", key), self.n_active)
+        return bits(self.active), bits(self.active.where(F.col("since") > unfinished))
+
     def frequent(self) -> DataFrame:
-        """(keys, id, n) when all cycles are complete."""
-        total = self.done[0]
-        for more in self.done[1:]:
+        """(keys, n), and the id of a word, when all cycles have ended."""
+        ended = [df.where("ended").select(*self.keys, "n") for _, df in self.sums]
+        total = ended[0]
+        for more in ended[1:]:
             total = total.unionByName(more)
-        return total.join(self.active.select(*self.keys, "id"), self.keys)
+        return total.join(self.active.select("lang", "word", "id"), self.keys) if self.k == 1 else total
+
+    def forget(self, spark: SparkSession) -> None:
+        for path, _ in self.sums:
+            remove(spark, path)
 
 
-def frequent_phrases(docs: DataFrame, settings: Settings) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, n) of all words, and the frequent phrases of each length: (lang, word, id, n) first,
-    then (p, q, id, n) by the ids of the phrases without their last and without their first word."""
+def frequent_phrases(docs: DataFrame, settings: Settings) -> tuple[DataFrame, list[Length]]:
+    """(lang, total) of all words, and the frequent phrases of each length."""
     s, spark = settings, docs.sparkSession
     if s.shards * s.longest > 63:
         raise ValueError("shards times words must be under 64")
     blocks = materialise(blocks_of(docs, s), "blocks")
     totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
-    lengths = [Length(["lang", "word"], s), *[Length(["p", "q"], s) for _ in range(s.longest - 1)]]
+    lengths = [Length(k, s) for k in range(1, s.longest + 1)]
+    answered: dict[int, DataFrame] = {}  # by shard, once all words are known
     scan = 0
     while scan < s.shards or any(scan < x.last_start + s.shards for x in lengths[:-1]):
-        shard = blocks.where(F.col("shard") == scan % s.shards)
-        counts = []  # of this scan, by length; taken in when all are made
-        if scan < s.shards:
-            counted = shard.select("lang", F.inline(F.arrays_zip("words", "n")))
-            counts.append((0, counted.select("lang", F.col("words").alias("word"), F.lit(0).alias("start"), "n")))
-        held, asked = shard, shard.select("block", "lang", F.posexplode("words").alias("at", "word"))
-        for k in range(s.longest - 1):
-            known = lengths[k]
-            # a length is looked at until its pairs, or longer ones, have been counted
-            if not known.n_active or all(scan >= x.last_start + s.shards for x in lengths[k:-1]):
-                break
-            answers = asked.join(known.active, known.keys).select("block", "at", "id", "since")
-            longer = lengths[k + 1]
-            goes_on = k + 2 < s.longest and longer.n_active
-            bits = None
-            if goes_on:
-                key = lambda b: {"key": _pair_key(*(np.array(b.column(c), np.int64) for c in ("p", "q")))}
-                bits = spark.sparkContext.broadcast(sieve(map_arrow(longer.active.select("p", "q"), "key long", key), longer.n_active))
-            held = materialise(next_length(held, answers, scan - s.shards, bits), f"length-{k + 2}-{scan}")
-            counts.append((k + 1, held.select(F.inline(F.arrays_zip("p", "q", "start", "n")))))
-            if not goes_on:
-                break
-            pair = F.posexplode(F.arrays_zip(F.col("ask_p"), F.col("ask_q"))).alias("at", "x")
-            asked = held.select("block", pair).select("block", "at", F.col("x.ask_p").alias("p"), F.col("x.ask_q").alias("q"))
-        for k, counted in counts:
-            lengths[k].add(counted, scan, f"counts-{k + 1}")
+        at, unfinished = scan % s.shards, scan - s.shards
+        shard = blocks.where(F.col("shard") == at)
+        words = lengths[0].active
+        with scratch(spark):
+            counts: list[tuple[Length, DataFrame]] = []
+            if words is not None:
+                if at in answered:
+                    answers = answered[at]
+                else:
+                    asked = shard.select("block", "lang", F.posexplode("words").alias("at", "word"))
+                    answers = materialise(asked.join(words, ["lang", "word"]).select("block", "at", "id", "since"), "answers", keep=scan >= s.shards)
+                    if scan >= s.shards:
+                        answered[at] = answers
+                # a length is looked at as long as it, or a longer one, makes windows that are to be counted
+                going = [scan < x.last_start + s.shards for x in lengths[:-1]]
+                sieves = {x.k: x.bitmaps(unfinished) for x in lengths[1:-1] if x.n_active and any(going[x.k - 1 :])}
+                found = materialise(count_windows(shard, answers, s.longest, unfinished, spark.sparkContext.broadcast(sieves)), "windows")
+                for x in lengths[1:]:
+                    own = found.where(F.col("k") == x.k)
+                    if x.k == 2 and scan < lengths[0].last_start + s.shards:
+                        counts.append((x, own.select(*x.keys, "start", "n")))
+                    elif x.k - 1 in sieves:  # which of them are made of active phrases, and since when
+                        sums = own.groupBy(*x.keys).agg(F.sum("n").alias("n"))
+                        for side, keys in (("p", x.keys[:-1]), ("q", x.keys[1:])):
+                            below = lengths[x.k - 2]
+                            part = below.active.select(*[F.col(c).alias(d) for c, d in zip(below.keys, keys, strict=True)], F.col("since").alias(side))
+                            sums = sums.join(part, keys)
+                        sums = sums.withColumn("start", F.greatest("p", "q")).where(F.col("start") > unfinished)
+                        counts.append((x, sums.select(*x.keys, "start", "n")))
+            if scan < s.shards:
+                counted = shard.select("lang", F.inline(F.arrays_zip("words", "n")))
+                counts.append((lengths[0], counted.select("lang", F.col("words").alias("word"), F.lit(0).alias("start"), "n")))
+            for x, counted in counts:
+                x.add(counted, scan)
         scan += 1
-    return totals, [x.frequent() for x in lengths if x.n_active]
+    return totals, [x for x in lengths if x.n_active]
 
 
 def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -223,29 +273,35 @@ def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     s = settings
     with scratch(docs.sparkSession):
-        totals, found = frequent_phrases(docs, s)
+        totals, lengths = frequent_phrases(docs, s)
         totals = materialise(totals, "words-of-languages")
+        found = [materialise(x.frequent(), f"frequent-{x.k}") for x in lengths]
+        for x in lengths:
+            x.forget(docs.sparkSession)
         if not found:
-            found = [docs.sparkSession.createDataFrame([], "lang string, word binary, id long, n long")]
+            found = [docs.sparkSession.createDataFrame([], "lang string, word binary, n long, id long")]
         # heads and tails: the counts of a phrase's first and last 1, 2, ... words, all of it included
         one = F.array("n")
-        phrases = [found[0].select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "n", one.alias("heads"), one.alias("tails"))]
-        for longer in found[1:]:
+        phrases = [found[0].select(F.col("id").alias("w1"), "lang", F.array(F.col("word").cast("string")).alias("words"), "n", one.alias("heads"), one.alias("tails"))]
+        for k, longer in enumerate(found[1:], 2):
             below = materialise(phrases[-1], "phrases")
             phrases[-1] = below
-            left = below.select(F.col("id").alias("p"), "lang", F.col("words").alias("w"), "heads")
-            right = below.select(F.col("id").alias("q"), F.element_at("words", -1).alias("last"), "tails")
-            own = longer.join(left, "p").join(right, "q")
+            left = below.select(*columns(k - 1), "lang", F.col("words").alias("w"), "heads")
+            right = below.select(*[F.col(c).alias(d) for c, d in zip(columns(k - 1), columns(k)[1:], strict=True)], F.element_at("words", -1).alias("last"), "tails")
+            own = longer.join(left, columns(k - 1)).join(right, columns(k)[1:])
             add = lambda c: F.concat(c, F.array("n"))
-            phrases.append(own.select("id", "lang", F.concat("w", F.array("last")).alias("words"), "n", add("heads").alias("heads"), add("tails").alias("tails")))
+            phrases.append(own.select(*columns(k), "lang", F.concat("w", F.array("last")).alias("words"), "n", add("heads").alias("heads"), add("tails").alias("tails")))
         kept = []
         for k, own in enumerate(phrases):
             if not k:
                 continue
             if k + 1 < len(found):
-                inside = found[k + 1].select(F.explode(F.array("p", "q")).alias("id"), F.col("n").alias("longer"))
-                inside = inside.groupBy("id").agg(F.max("longer").alias("longer"))
-                own = own.join(inside, "id", "left").where(f"longer IS NULL OR 100 * longer < {s.covered} * n")
+                keys, more = columns(k + 1), columns(k + 2)
+                inside = None
+                for part in (more[:-1], more[1:]):
+                    side = found[k + 1].select(*[F.col(c).alias(d) for c, d in zip(part, keys, strict=True)], F.col("n").alias("longer"))
+                    inside = side if inside is None else inside.unionByName(side)
+                own = own.join(inside.groupBy(*keys).agg(F.max("longer").alias("longer")), keys, "left").where(f"longer IS NULL OR 100 * longer < {s.covered} * n")
             big = lambda c: c.cast("decimal(19,0)")
             cuts = [(F.col("heads")[j - 1], F.col("tails")[k - j]) for j in range(1, k + 1)]
             own = own.select("lang", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"), F.array(*[F.struct(a.alias("l"), b.alias("r")) for a, b in cuts]).alias("cuts"), big(F.col("n")).alias("d"))
