@@ -79,7 +79,7 @@ def sketch(own: np.ndarray, band: int, apart: int, similarity: float) -> np.ndar
         top = most_apart(2 * band_top(band), similarity)
         m = top + 1 + max(12, top // 8)
         part = own % np.uint64(m)
-        order = np.argsort(part)
+        order = np.argsort(part.astype(np.uint16 if m < 1 << 16 else np.uint32), kind="stable")
         part = part[order]
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         part, value = part[first], np.bitwise_xor.reduceat(own[order], first)
@@ -178,7 +178,10 @@ def meeting_keys(keyed: DataFrame) -> DataFrame:
     asked = asked.mapInArrow(able, "name binary, band int, apart int, n_keys int, hit array<long>").dropDuplicates(["name", "band"])
     asked = materialise(asked, "sets-that-may-meet")
     known = asked.select("name", "band", "apart", "n_keys", F.explode("hit").alias("key")).join(shared, "key")
-    known = known.groupBy("name", "band", "apart", "n_keys").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("k"))
+    known = known.groupBy("name", "band", "apart", "n_keys").agg(
+        F.sort_array(F.collect_list(F.struct("often", "key"))).alias("k")
+    )
+    known = materialise(known, "known-keys")  # sorted once, not for each use
     wanted = F.col("apart") + 1 - (F.col("n_keys") - F.size("k"))
     weight = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x["often"]).alias("weight")
     kept = known.where(wanted > 0).select("name", "band", weight, F.explode(F.slice("k", F.lit(1), wanted)).alias("k"))
@@ -190,13 +193,14 @@ def close_pairs(n: np.ndarray, k: np.ndarray, bits: list[np.ndarray], second: np
     ``second`` with the others, or all with all where none or all are."""
     rows, cols = (np.flatnonzero(~second), np.flatnonzero(second)) if 0 < second.sum() < len(second) else (np.arange(len(n)),) * 2
     length = np.array([len(x) for x in bits])
+    if len(bits) < 64:  # small ones are folded to one length
+        length[:] = length.min()
     found = []
     for p in np.unique(length[rows]):
         for q in np.unique(length[cols]):
             i, j = rows[length[rows] == p], cols[length[cols] == q]
-            x, y = ([bits[r].view(np.uint64) for r in side] for side in (i, j))
             least = min(p, q)
-            x, y = (np.bitwise_xor.reduce(np.stack(side).reshape(len(side), -1, least), axis=1) for side in (x, y))
+            x, y = (np.stack([np.bitwise_xor.reduce(bits[r].reshape(-1, least), axis=0) for r in side]).view(np.uint64) for side in (i, j))
             for at in range(0, len(i), 256):
                 own = slice(at, at + 256)
                 apart = np.zeros((len(i[own]), len(j)), np.int32)
@@ -261,7 +265,7 @@ def close_in_cells(met: DataFrame, sets: DataFrame, similarity: float, cell: int
 
 
 def similar_sets(
-    docs: DataFrame, keyed: DataFrame, words: int, similarity: float, likely: DataFrame | None = None, cell: int = 1024, rounds: int = 4
+    docs: DataFrame, keyed: DataFrame, words: int, similarity: float, likely: DataFrame | None = None, cell: int = 1024, rounds: int = 2
 ) -> DataFrame:
     """(name, root): a root for each set that links of at least ``similarity`` join to others.
 
