@@ -179,12 +179,11 @@ def meeting_keys(keyed: DataFrame) -> DataFrame:
     asked = materialise(asked, "sets-that-may-meet")
     known = asked.select("name", "band", "apart", "n_keys", F.explode("hit").alias("key")).join(shared, "key")
     known = known.groupBy("name", "band", "apart", "n_keys").agg(
-        F.sort_array(F.collect_list(F.struct("often", "key"))).alias("k")
+        F.sort_array(F.collect_list(F.struct("often", "key"))).alias("k"), F.sum("often").alias("weight")
     )
     known = materialise(known, "known-keys")  # sorted once, not for each use
     wanted = F.col("apart") + 1 - (F.col("n_keys") - F.size("k"))
-    weight = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x["often"]).alias("weight")
-    kept = known.where(wanted > 0).select("name", "band", weight, F.explode(F.slice("k", F.lit(1), wanted)).alias("k"))
+    kept = known.where(wanted > 0).select("name", "band", "weight", F.explode(F.slice("k", F.lit(1), wanted)).alias("k"))
     return kept.select("name", "band", "weight", "k.key")
 
 
