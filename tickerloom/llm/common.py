@@ -103,17 +103,18 @@ def crc_bucket(key: str, modulus: int) -> Column:
 
 
 def map_arrow(
-    df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch]
+    df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch], step: int | None = None
 ) -> DataFrame:
-    """``mapInArrow`` over one batch at a time; ``rows`` gives the output columns."""
+    """``mapInArrow`` over one batch, or ``step`` rows of it, at a time; ``rows`` gives the output columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step or max(1, whole.num_rows)):
+                batch = whole.slice(at, step)
                 cols = rows(batch)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[f.name], type=f.type) for f in out], schema=out

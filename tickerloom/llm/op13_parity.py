@@ -37,6 +37,7 @@ WORDS, SIMILARITY = 5, 0.8
 _EPS = 1e-9  # 0.8 is not a binary fraction
 _SMALL = 32  # sets up to this size have a part for each shingle
 _WIDTH = 1.5  # of a size band
+STEP = 256  # sets whose shingles or keys a task holds at a time
 
 
 def content(text: Column) -> Column:
@@ -144,7 +145,7 @@ def keyed_sets(docs: DataFrame, words: int, similarity: float, with_simhash: boo
         return out | {f.name: batch.column(f.name).take(pa.array(at, pa.int64())) for f in kept}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return map_arrow(docs, f"{schema}, {KEYED}", rows)
+    return map_arrow(docs, f"{schema}, {KEYED}", rows, STEP)
 
 
 def meeting_keys(keyed: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def meeting_keys(keyed: DataFrame) -> DataFrame:
     bits = spark.sparkContext.broadcast(sieve(shared, shared.count()))
 
     def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
             out: list[list] = [[], [], [], [], []]
             for name, band, apart, keys in zip(*(batch.column(c) for c in ("name", "band", "apart", "keys")), strict=True):
                 own, apart = np.asarray(keys.values, np.int64), apart.as_py()
@@ -288,7 +289,7 @@ def similar_sets(
         return {"id": batch.column("id"), "shingles": [x.view(np.int64) for x in found]}
 
     texts = docs.select(content(F.col("text")).alias("c"), "text").join(sets.select("id", "c"), "c")
-    whole = materialise(map_arrow(texts.select("id", "text"), "id long, shingles array<long>", rows).dropDuplicates(["id"]), "whole-sets")
+    whole = materialise(map_arrow(texts.select("id", "text"), "id long, shingles array<long>", rows, STEP).dropDuplicates(["id"]), "whole-sets")
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (src, dst) of enough similarity. Sizes and parity bits rule most others out."""
