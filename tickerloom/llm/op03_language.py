@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Of languages
     with equally many votes the one with the greater mean strength wins, of equals the first by
     name. Repeated rows are judged one by one; an empty table gives no rows; other columns, lang
-    and source among them, are never read. One pass without a shuffle.
+    and source among them, are never read. A very long text is judged whole. One pass without a shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -122,7 +122,8 @@ def compression_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): base counts, ratios and a verdict.
 
     A null text is an empty text: all counts 0, verdict ``empty``. Repeated rows are judged one
-    by one; an empty table gives no rows; other columns are ignored. One pass, no shuffle; a task holds one Arrow batch.
+    by one; an empty table gives no rows; other columns are ignored. A very long
+    text is compressed whole, and in all its chunks. One pass, no shuffle; a task holds one Arrow batch.
     """
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:

@@ -101,7 +101,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = Non
     a rule: allow if an alias is explicitly allowed, else block if one is blocked, else allow.
     ``links`` (src, dst urls) adds redirects known from elsewhere. Null urls, and urls without
     ``://``, have empty host and path, no rule, no aliases, and are allowed. Rows with one url
-    are all judged; other columns play no part.
+    are all judged; other columns play no part. A very long url or html is read whole; an empty
+    table gives no rows.
     """
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # written, so that a hot host's pages meet a plain table: broadcast if it is small, split if not

@@ -60,7 +60,8 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], slices: int = SL
     the rows in earlier slices are added. The slice comes from all ``order`` columns, so the rows
     of one key are spread. Slice sizes are counted in a first pass; that table has shards * slices
     rows at most, so it is broadcast. Rows that agree in every ``order`` column take neighbouring
-    slots in any order. Empty input gives empty output.
+    slots in any order. Empty input gives empty output. Other columns stay as they are; ``slot`` and
+    names that begin with two underscores (``__slice``, ``__place``, ...) are the operator's own.
     """
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
     drawn = F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int")
@@ -88,7 +89,8 @@ def shard_records(
 ) -> DataFrame:
     """All columns of ``df`` plus ``shard`` and, for another weight list, ``grown_shard``.
 
-    Own columns named ``shard`` or ``grown_shard`` are replaced. Repeated keys go together. Where
+    Own columns named ``shard`` or ``grown_shard`` are replaced. Repeated keys go together; texts,
+    however long, are not looked at. Where
     ``grown`` only adds shards, these alone draw anew and bid against the winner.
     """
     _checked(weights)
