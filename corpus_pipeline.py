@@ -29,7 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rejected: no letter, null text, or a duel lost, of families or of languages (a score under
     ``LEAST_SURE``). Each row is judged by itself, so repeated rows and null ids are judged alike.
-    Where no row is labelled nothing is known, and an empty table gives an empty one.
+    Where no row is labelled nothing is known, and an empty table gives an empty one. A very long
+    text is judged whole.
     """
     return with_known_language(docs, train(learnable(docs)), LEAST_SURE)
 
@@ -38,17 +39,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id.
 
     Documents are linked where their sets of five-word shingles have a Jaccard similarity of 0.8
-    or more; SimHash groups (operator 6, five-word shingles) are compared first. Of rows with one
+    or more; SimHash groups (operator 6, five-word shingles) are compared first, and parity sketches
+    find the rest. Of rows with one
     doc_id one stays, whichever columns differ, chosen by content. A row with a null doc_id stays
     only where its group has no other, and then one does. Texts without words are one group, a null
-    text among them.
+    text among them. A very long text is taken whole; an empty table gives an empty one.
     """
     return rows_of(docs, one_of_each(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item. Texts are judged, not ids, so repeated and null ids are
-    judged like any other; a null or empty text stays."""
+    judged like any other; a null or empty text stays. A very long text is looked through whole; an
+    empty table, or an empty benchmark, takes nothing away."""
     texts = docs.select(content(F.col("text")).alias("doc_id"), "text")
     hits = contaminated(texts, table(spark, sf_dir, "benchmark"))
     flagged = materialise(hits.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
@@ -59,7 +62,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, each secret in them replaced by ``MASK``; n_chars follows the text.
 
     Overlapping spans are masked as one. Findings come from the ledger by content, so equal texts
-    are masked alike, whatever their ids. Null and empty texts stay as they are.
+    are masked alike, whatever their ids. Null and empty texts stay as they are; a very long text is
+    scanned whole; an empty table gives an empty one.
     """
     rules = RuleSet()
     found = scan_secrets(docs, "doc_id", "text", rules=rules).where(F.size("findings") > 0)
