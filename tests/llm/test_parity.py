@@ -98,6 +98,23 @@ def test_small_cells_and_a_sieve_that_lets_all_through_change_nothing(spark, mon
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_keys_are_counted_in_packs_without_a_row_for_each(spark):
+    """Copies share no key with another set; a key of many sets counts all; packs of any size agree."""
+    rnd = random.Random(8)
+    rows = [(bytes([i % 40]), 0 if i % 40 else -1, 3, [rnd.choice((7, -7, 1 << 62, -(1 << 62))), i % 40, -(i % 20), rnd.getrandbits(62)] if i % 40 else []) for i in range(200)]
+    want = {}
+    for name, _, _, keys in rows:
+        for key in keys:
+            want.setdefault(key, []).append(name)
+    want = {k: len(x) for k, x in want.items() if len(set(x)) > 1}
+    keyed = spark.createDataFrame(rows, "name binary, band int, n int, keys array<long>").repartition(3)
+    for bucket in (5, 1 << 20):
+        df = op.shared_keys(keyed, bucket)
+        assert {r["key"]: r["often"] for r in df.collect()} == want
+        assert "Generate" not in df._jdf.queryExecution().toString()
+    assert not op.shared_keys(keyed.limit(0)).collect()
+
+
 def test_sketches_differ_in_no_more_parts_than_sets_do():
     rng = np.random.default_rng(5)
     for n in (3, 30, 31, 32, 33, 60, 200, 3000):

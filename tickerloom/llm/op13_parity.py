@@ -38,6 +38,7 @@ _EPS = 1e-9  # 0.8 is not a binary fraction
 _SMALL = 32  # sets up to this size have a part for each shingle
 _WIDTH = 1.5  # of a size band
 STEP = 256  # sets whose shingles or keys a task holds at a time
+BUCKET = 1 << 20  # keys that are summed up at a time
 
 
 def content(text: Column) -> Column:
@@ -148,19 +149,67 @@ def keyed_sets(docs: DataFrame, words: int, similarity: float, with_simhash: boo
     return map_arrow(docs, f"{schema}, {KEYED}", rows, STEP)
 
 
+def _summed(key: np.ndarray, often: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, in unsigned order: its count, and the least and greatest of its halves."""
+    order = np.argsort(key.view(np.uint64))
+    key = key[order]
+    first = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+    if not len(first):
+        return key, often, a, b
+    return key[first], np.add.reduceat(often[order], first), np.minimum.reduceat(a[order], first), np.maximum.reduceat(b[order], first)
+
+
+def shared_keys(keyed: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(key, often) of the keys that different sets have, and how many rows of ``keyed`` have them.
+
+    Nearly all keys occur once, so rows of them are never made: a task sums up about ``bucket`` keys
+    at a time and packs them by ranges of keys, about ``bucket`` shingles a range, and ranges are summed
+    up again. A key that many sets have is one entry of each pack, so ranges stay even.
+    """
+    total = keyed.where("band >= 0").agg(F.sum("n")).first()[0]
+    ranges = max(1, math.ceil((total or 0) / bucket))
+
+    def pack(keys: np.ndarray, halves: np.ndarray) -> pa.RecordBatch:
+        key, often, a, b = _summed(keys, np.ones(len(keys), np.int64), halves, halves)
+        place = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        single = often == 1
+        once, more = np.stack((key, a), 1)[single], np.stack((key, often, a, b), 1)[~single]
+        of, found = np.unique(place), []
+        for rows, at in ((once, place[single]), (more, place[~single])):
+            found.append([rows[x:y].tobytes() for x, y in zip(np.searchsorted(at, of), np.searchsorted(at, of, "right"), strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(of), *[pa.array(x, pa.binary()) for x in found]], ["range", "once", "more"])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum([0, *batch.column("keys").value_lengths().to_pylist()])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + bucket, "right")) - 1)
+                part, at, lengths = batch.slice(at, to - at), to, np.diff(ends[at : to + 1])
+                yield pack(np.asarray(part.column("keys").flatten(), np.int64), np.repeat(np.asarray(part.column("half"), np.int64), lengths))
+
+    def merged(packed: pa.Table) -> pa.Table:
+        once, more = (np.frombuffer(b"".join(packed.column(c).to_pylist()), np.int64).reshape(-1, n) for c, n in (("once", 2), ("more", 4)))
+        of = lambda i, j: np.concatenate((once[:, i], more[:, j]))
+        often = np.concatenate((np.ones(len(once), np.int64), more[:, 1]))
+        key, often, a, b = _summed(of(0, 0), often, of(1, 2), of(1, 3))
+        return pa.table({"key": key[a != b], "often": often[a != b]})
+
+    half = F.xxhash64("name").alias("half")  # of two sets that share a key, the halves are the same once in 2**64
+    packed = keyed.where("band >= 0").select("keys", half).mapInArrow(packs, "range int, once binary, more binary")
+    return packed.groupBy("range").applyInArrow(merged, "key long, often long")
+
+
 def meeting_keys(keyed: DataFrame) -> DataFrame:
     """(name, band, weight, key) of the keys by which a set can meet similar ones: the least frequent
     ``apart`` + 1 of its keys in a band, less those that no other set has. weight sums up how often
     the set's keys are met, so it is large for the original in the middle of a family of copies.
 
-    Keys are counted once, by a sum with map-side combine; what is joined back has passed a bitmap
+    Keys are counted once, in packed ranges; what is joined back has passed a bitmap
     of the keys that several sets have. A set with ``apart`` + 1 keys of its own drops out before.
     """
     spark = keyed.sparkSession
-    half = F.xxhash64("name").alias("half")  # of two sets that share a key, the halves are the same once in 2**64
-    each = keyed.select(F.explode("keys").alias("key"), half).groupBy("key")
-    shared = each.agg(F.count(F.lit(1)).alias("often"), F.min("half").alias("a"), F.max("half").alias("b")).where("a <> b")
-    shared = materialise(shared.select("key", "often"), "shared-keys")
+    shared = materialise(shared_keys(keyed), "shared-keys")
     bits = spark.sparkContext.broadcast(sieve(shared, shared.count()))
 
     def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
