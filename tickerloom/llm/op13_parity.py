@@ -173,7 +173,7 @@ def shared_keys(keyed: DataFrame, bucket: int = BUCKET) -> DataFrame:
         key, often, a, b = _summed(keys, np.ones(len(keys), np.int64), halves, halves)
         place = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
         single = often == 1
-        once, more = np.stack((key, a), 1)[single], np.stack((key, often, a, b), 1)[~single]
+        once, more = np.stack((key[single], a[single]), 1), np.stack([x[~single] for x in (key, often, a, b)], 1)
         of, found = np.unique(place), []
         for rows, at in ((once, place[single]), (more, place[~single])):
             found.append([rows[x:y].tobytes() for x, y in zip(np.searchsorted(at, of), np.searchsorted(at, of, "right"), strict=True)])
