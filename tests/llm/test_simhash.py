@@ -4,6 +4,7 @@ import pytest
 import xxhash
 from helpers import documents, frame, words
 
+from tickerloom.llm import graph
 from tickerloom.llm import op06_simhash as h
 from tickerloom.llm.graph import connected_components
 
@@ -68,6 +69,16 @@ def test_components_of_a_chain_and_hub(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "_large_star", lambda df, salts, step=graph._large_star: rounds.append(1) or step(df, salts))
+    components = lambda edges: {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert components([(3, 1), (1, 2), (2, 1), (9, 8)]) == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} and not rounds
+    assert components([(1, 3), (2, 3)]) == {1: 1, 2: 1, 3: 1} and rounds  # a node with two lesser ones
+    rounds.clear()
+    assert components([(1, 2), (2, 3)]) == {1: 1, 2: 1, 3: 1} and rounds  # a chain
+
+
 def test_awkward_rows(spark):
     rows = h.near_duplicates(frame(spark)).collect()
     assert len(rows) == 10

@@ -18,9 +18,10 @@ def connected_components(edges: DataFrame, salts: int = 8) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. (2014): every step is a
     ``min`` with map-side combine, then one equi-join of the edges with those minima. A hub
     would send its whole star to one join task, so the edges carry ``salts`` salts and the
-    minima are repeated once for each. Rounds go on until one changes nothing; their number grows
-    with the logarithm of the longest chain. Each round's edges are written to the shared folder,
-    and removed once the last are; the driver sees two numbers a round.
+    minima are repeated once for each. Rounds go on until every node but the least of its component
+    has one edge, to that; their number grows with the logarithm of the longest chain, and edges that
+    come as such stars take none. Each round's edges are written to the shared folder,
+    and removed once the last are; the driver sees one number a round.
     """
     spark = edges.sparkSession
     pairs = edges.where("src <> dst").select(
@@ -28,21 +29,22 @@ def connected_components(edges: DataFrame, salts: int = 8) -> DataFrame:
     )
     with scratch(spark):
         current = materialise(pairs.distinct(), "cc")
-        before, after = None, _mark(current)
-        while after[0] and after != before:
-            before = after
+        while _unsettled(current):
             current = materialise(_small_star(_large_star(current, salts), salts), "cc")
-            after = _mark(current)
         members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
         hubs = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
         return materialise(members.unionByName(hubs), "components", keep=True)
 
 
-def _mark(df: DataFrame) -> tuple:
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _unsettled(df: DataFrame) -> int:
+    """How many nodes ``u`` have several edges, or are some other node's ``v``: without any,
+    each component is a star around its least node, as ``u`` is always the greater one."""
+    ends = df.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if((F.col("up") > 0) & (F.col("up") + F.col("down") > 1)).alias("n")).first()["n"]
 
 
 def _with_min(df: DataFrame, salts: int) -> DataFrame:
