@@ -3,6 +3,7 @@
 import collections
 import re
 
+import numpy as np
 import pytest
 from compare import differences
 from helpers import documents, frame
@@ -77,3 +78,24 @@ def test_awkward_rows(spark):
     rows = [(r.lang, r.text) for r in df.collect()]
     assert got(op.collocations(df)) == brute(rows)
     assert not op.collocations(frame(spark, rows=[])).collect()
+
+
+def test_pairs_are_packed_and_summed_in_ranges(monkeypatch):
+    rng = np.random.default_rng(1)
+    words, n = [rng.integers(0, 30, 2000) << 40 | 1 for _ in range(2)], rng.integers(1, 9, 2000)
+    want = collections.Counter()
+    for a, b, k in zip(*words, n, strict=True):
+        want[a, b] += k
+    places, packs = op.pack_pairs(words, n, 7)
+    assert places.tolist() == list(range(7)) and 24 * 2000 == sum(map(len, packs))
+    summed = [op.sum_pairs([pack, pack]).T.tolist() for pack in packs]
+    assert sorted((a, b, k) for own in summed for a, b, k in own) == sorted((a, b, 2 * k) for (a, b), k in want.items())
+    monkeypatch.setattr(op, "_key", lambda w: np.zeros(len(w[0]), np.int64))  # all pairs have one hash
+    assert sorted(op.sum_pairs(packs).T.tolist()) == sorted([a, b, k] for (a, b), k in want.items())
+
+
+def test_many_ranges_match_brute_force(spark, sf):
+    docs = documents(sf)
+    rows = list(zip(docs["lang"], docs["text"], strict=True))[:60]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert got(op.collocations(df, op.Settings(threshold=4, block_bytes=20_000, range_words=500))) == brute(rows, 3, 4)

@@ -12,12 +12,15 @@ A block knows its words by numbers of its own. At a scan it asks for the numbers
 distinct words that are active: a join of distinct words, not of tokens. Then it counts its pairs of
 neighbouring active words, and of the longer windows those whose two subphrases may be active: a bitmap
 of bounded size tells, and a join of the sums with the active phrases drops what it let through by
-mistake. Only what can begin or go on is counted, so a late scan counts little. A block is bounded by
+mistake. Only what can begin or go on is counted, so a late scan counts little. Most pairs are rare, so
+rows of them are never made: blocks pack them by ranges of a hash, ranges are summed up in numpy, and
+only frequent pairs come out as rows. A block is bounded by
 ``block_bytes`` or one text; nothing else is held whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,8 +51,10 @@ class Settings:
     first: int = 2000
     shards: int = 2
     block_bytes: int = 4 << 20
+    range_words: int = 1 << 20  # words of the corpus for each range of pairs
 
 
+SCANS = 63  # the low bits of a word's number are the scan after which it was active
 BLOCKS = "shard int, block long, lang string, ids binary, words array<binary>, n array<long>"
 
 
@@ -106,24 +111,52 @@ def columns(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 
 
-def count_windows(held: DataFrame, answers: DataFrame, longest: int, unfinished: int, sieves) -> DataFrame:
-    """(k, w1, ..., start, n): how often each window of k active words that is still to be counted occurs
+def pack_pairs(words: list[np.ndarray], n: np.ndarray, ranges: int) -> tuple[np.ndarray, list[bytes]]:
+    """Ranges of the hash of the pairs that have any, and the pairs and counts of each."""
+    place = ((_key(words).view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges < 1 << 16 else np.uint32)
+    order = np.argsort(place, kind="stable")
+    place, rows = place[order], np.stack([x[order] for x in (*words, n)])
+    of = np.unique(place)
+    ends = zip(np.searchsorted(place, of), np.searchsorted(place, of, "right"), strict=True)
+    return of.astype(np.int32), [rows[:, x:y].tobytes() for x, y in ends]
+
+
+def sum_pairs(packs: list[bytes]) -> np.ndarray:
+    """Words and total counts of the pairs of ``packs``, each once."""
+    rows = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in packs], axis=1)
+    h = _key([rows[0], rows[1]])
+    order = np.argsort(h)
+    h, rows = h[order], rows[:, order]
+    other = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+    if (other & (h[1:] == h[:-1])).any():  # two pairs with one hash may lie mixed
+        rows = rows[:, np.lexsort(rows[:2])]
+        other = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+    first = np.flatnonzero(np.concatenate(([True], other)))
+    return np.stack((rows[0, first], rows[1, first], np.add.reduceat(rows[2], first)))
+
+
+def count_windows(held: DataFrame, answers: DataFrame, longest: int, unfinished: int, sieves, ranges: int) -> DataFrame:
+    """(k, w1, ..., n, range, pack): how often each window of k active words that is still to be counted occurs
     in each of the blocks ``held``, by ``answers`` (block, at, id, since) on which of their words are active.
 
-    A pair is to be counted if it began after scan ``unfinished``; start says when. A longer window must
-    have both subphrases in the bitmap of the active ones of that length and one of them in that of
-    those that became active after ``unfinished``; its start is -1, as the bitmaps do not know it.
+    A pair is to be counted if it began after scan ``unfinished``; pairs are packed by ``ranges``. A longer
+    window must have both subphrases in the bitmap of the active ones of that length and one of them in
+    that of those that became active after ``unfinished``; when it began, the bitmaps do not know.
     """
-    names = ["k", *columns(longest), "start", "n"]
-    types = [pa.int32(), *[pa.int64()] * longest, pa.int32(), pa.int64()]
-
-    def table_of(k: int, words: list[np.ndarray], start: np.ndarray, n: np.ndarray) -> pa.Table:
-        none = pa.nulls(len(n), pa.int64())
-        cols = [np.full(len(n), k, np.int32), *words, *[none] * (longest - k), start.astype(np.int32), n]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+    names = ["k", *columns(longest), "n", "range", "pack"]
+    types = [pa.int32(), *[pa.int64()] * longest, pa.int64(), pa.int32(), pa.binary()]
+
+    def table_of(k: int, words: list[np.ndarray], n: np.ndarray) -> pa.Table:
+        nulls = lambda size: [pa.nulls(size)] * longest
+        if k == 2:
+            place, packs = pack_pairs(words, n, ranges)
+            cols = [np.full(len(place), k, np.int32), *nulls(len(place)), pa.nulls(len(place)), place, packs]
+        else:
+            cols = [np.full(len(n), k, np.int32), *words, *nulls(len(n))[k:], n, pa.nulls(len(n)), pa.nulls(len(n))]
+        return pa.table([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     def run(tokens: pa.Table, found: pa.Table) -> pa.Table:
-        out = [table_of(2, [np.zeros(0, np.int64)] * 2, np.zeros(0), np.zeros(0, np.int64))]
+        out = [table_of(2, [np.zeros(0, np.int64)] * 2, np.zeros(0, np.int64))]
         if tokens.num_rows and found.num_rows:
             at, ids, since = (np.asarray(found.column(c).combine_chunks()) for c in ("at", "id", "since"))
             own = np.frombuffer(tokens.column("ids")[0].as_py(), np.int32)
@@ -140,8 +173,7 @@ def count_windows(held: DataFrame, answers: DataFrame, longest: int, unfinished:
                 head, tail = seen // size, seen % size
                 words = [*[w[head] for w in words], words[-1][tail]]
                 counted = late[head] | late[tail]
-                start = np.maximum(since[head], since[tail]) if k == 2 else np.full(len(seen), -1)
-                out.append(table_of(k, [w[counted] for w in words], start[counted], n[counted]))
+                out.append(table_of(k, [w[counted] for w in words], n[counted]))
                 if k == longest or sieves.value.get(k) is None:
                     break
                 active, fresh = sieves.value[k]
@@ -154,7 +186,7 @@ def count_windows(held: DataFrame, answers: DataFrame, longest: int, unfinished:
                     break
         return pa.concat_tables(out)
 
-    schema = ", ".join(["k int", *[f"{c} long" for c in columns(longest)], "start int", "n long"])
+    schema = ", ".join(["k int", *[f"{c} long" for c in columns(longest)], "n long, range int, pack binary"])
     return held.select("block", "ids").groupBy("block").cogroup(answers.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(run, schema)
 
 
@@ -182,11 +214,45 @@ class Length:
             remove(spark, f"{self.sums[-1][0]}/ended=false")
         total = spark.read.schema(total.schema).parquet(path)
         self.sums.append((path, total))
-        fresh = total.where(F.col("n") >= s.threshold).select(*self.keys)
+        self._activate(total.where(F.col("n") >= s.threshold).select(*self.keys), scan)
+
+    def add_packs(self, packs: DataFrame, scan: int) -> None:
+        """The same for pairs (range, pack). Those whose cycle goes on stay packed, and the
+        rows are the frequent ones. A pair began when the later of its words was active, which the
+        words' numbers tell."""
+        threshold, lag, spark = self.settings.threshold, self.settings.shards - 1, packs.sparkSession
+        if self.sums:
+            packs = packs.unionByName(self.sums[-1][1].where("packed").select("range", "pack"))
+
+        def summed(held: pa.Table) -> pa.Table:
+            rows = sum_pairs(held.column("pack").to_pylist())
+            ended = np.maximum(rows[0] & SCANS, rows[1] & SCANS) + 1 + lag <= scan
+            often = rows[2] >= threshold
+            size, on = int(often.sum()), int(not ended.all())
+            pad = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(on, t)])
+            cols = [pad(x[often], pa.int64()) for x in rows]
+            ended_of = pad(ended[often], pa.bool_())
+            place = pa.concat_arrays([pa.nulls(size, pa.int32()), held.column("range").combine_chunks().slice(0, on)])
+            pack = pa.concat_arrays([pa.nulls(size, pa.binary()), pa.array([rows[:, ~ended].tobytes()] * on, pa.binary())])
+            packed = pa.array(np.arange(size + on) >= size)
+            return pa.table([*cols, ended_of, place, pack, packed], ["w1", "w2", "n", "ended", "range", "pack", "packed"])
+
+        schema = "w1 long, w2 long, n long, ended boolean, range int, pack binary, packed boolean"
+        total, path = packs.groupBy("range").applyInArrow(summed, schema), fresh_path(spark, f"length-{self.k}")
+        with tidy_shuffles(spark):
+            total.write.partitionBy("packed").parquet(path)
+        if self.sums:
+            remove(spark, f"{self.sums[-1][0]}/packed=true")
+        total = spark.read.schema(total.schema).parquet(path)
+        self.sums.append((path, total))
+        self._activate(total.where("not packed").select(*self.keys), scan)
+
+    def _activate(self, fresh: DataFrame, scan: int) -> None:
+        label = f"length-{self.k}"
         if self.active is not None:
             fresh = fresh.join(self.active, self.keys, "left_anti")
         if self.k == 1:
-            fresh = fresh.withColumn("id", F.shiftleft(F.monotonically_increasing_id(), 6) + scan)
+            fresh = fresh.withColumn("id", F.shiftleft(F.monotonically_increasing_id(), SCANS.bit_length()) + scan)
         fresh = materialise(fresh.withColumn("since", F.lit(scan + 1)), f"{label}-active", keep=True)
         n = fresh.count()
         if n:
@@ -202,7 +268,8 @@ class Length:
 
     def frequent(self) -> DataFrame:
         """(keys, n), and the id of a word, when all cycles have ended."""
-        ended = [df.where("ended").select(*self.keys, "n") for _, df in self.sums]
+        rows = "ended and not packed" if self.k == 2 else "ended"  # packs of earlier scans are gone
+        ended = [df.where(rows).select(*self.keys, "n") for _, df in self.sums]
         total = ended[0]
         for more in ended[1:]:
             total = total.unionByName(more)
@@ -219,7 +286,8 @@ def frequent_phrases(docs: DataFrame, settings: Settings) -> tuple[DataFrame, li
     if s.shards * s.longest > 63:
         raise ValueError("shards times words must be under 64")
     blocks = materialise(blocks_of(docs, s), "blocks")
-    totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
+    totals = materialise(blocks.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")), "words-of-languages")
+    ranges = max(1, math.ceil((totals.agg(F.sum("total")).first()[0] or 0) / s.range_words))
     lengths = [Length(k, s) for k in range(1, s.longest + 1)]
     answered: dict[int, DataFrame] = {}  # by shard, once all words are known
     scan = 0
@@ -229,6 +297,7 @@ def frequent_phrases(docs: DataFrame, settings: Settings) -> tuple[DataFrame, li
         words = lengths[0].active
         with scratch(spark):
             counts: list[tuple[Length, DataFrame]] = []
+            pairs = None
             if words is not None:
                 if at in answered:
                     answers = answered[at]
@@ -240,11 +309,11 @@ def frequent_phrases(docs: DataFrame, settings: Settings) -> tuple[DataFrame, li
                 # a length is looked at as long as it, or a longer one, makes windows that are to be counted
                 going = [scan < x.last_start + s.shards for x in lengths[:-1]]
                 sieves = {x.k: x.bitmaps(unfinished) for x in lengths[1:-1] if x.n_active and any(going[x.k - 1 :])}
-                found = materialise(count_windows(shard, answers, s.longest, unfinished, spark.sparkContext.broadcast(sieves)), "windows")
+                found = materialise(count_windows(shard, answers, s.longest, unfinished, spark.sparkContext.broadcast(sieves), ranges), "windows")
                 for x in lengths[1:]:
                     own = found.where(F.col("k") == x.k)
                     if x.k == 2 and scan < lengths[0].last_start + s.shards:
-                        counts.append((x, own.select(*x.keys, "start", "n")))
+                        pairs = own.select("range", "pack")
                     elif x.k - 1 in sieves:  # which of them are made of active phrases, and since when
                         sums = own.groupBy(*x.keys).agg(F.sum("n").alias("n"))
                         for side, keys in (("p", x.keys[:-1]), ("q", x.keys[1:])):
@@ -256,6 +325,8 @@ def frequent_phrases(docs: DataFrame, settings: Settings) -> tuple[DataFrame, li
             if scan < s.shards:
                 counted = shard.select("lang", F.inline(F.arrays_zip("words", "n")))
                 counts.append((lengths[0], counted.select("lang", F.col("words").alias("word"), F.lit(0).alias("start"), "n")))
+            if pairs is not None:
+                lengths[1].add_packs(pairs, scan)
             for x, counted in counts:
                 x.add(counted, scan)
         scan += 1
@@ -274,7 +345,6 @@ def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     s = settings
     with scratch(docs.sparkSession):
         totals, lengths = frequent_phrases(docs, s)
-        totals = materialise(totals, "words-of-languages")
         found = [materialise(x.frequent(), f"frequent-{x.k}") for x in lengths]
         for x in lengths:
             x.forget(docs.sparkSession)
