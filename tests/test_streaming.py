@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.operators import rank
+from tickerloom.sources import storage
 from tickerloom.streaming import ingest
 from tickerloom.streaming.newest import kept_articles, kept_readings
 from tickerloom.streaming.store import ARTICLES, ArticleStore
@@ -121,3 +122,38 @@ def test_company_news_keeps_links_and_newest_articles(spark, tmp_path):
     got = sorted((r["stock_id"], r["rank"], int(r["published_at"].timestamp())) for r in newest.read().collect())
     assert got == [("s1", 1, 420), ("s1", 2, 300), ("s2", 1, 300), ("s2", 2, 120)]
     assert ingest.read_links(spark, table).count() == 5
+
+
+def test_what_a_stream_writes_on_the_way_is_removed(spark, tmp_path, monkeypatch):
+    feed, table, shared = tmp_path / "feed", str(tmp_path / "table"), tmp_path / "shared"
+    stocks = spark.createDataFrame([("s1", "A"), ("s2", "B")], "stock_id string, ticker string")
+    newest = kept_articles(spark, str(tmp_path / "kept"), k=2)
+    made = []
+    monkeypatch.setattr(storage, "shared_path", lambda _, label: made.append(label) or f"file://{shared}/{label}-{len(made)}")
+    for name in "ab":
+        land(feed, f"{name}.json", [news(i, ticker=t) for i in range(5) for t in "AB"])
+        ingest.stream_company_news(spark, str(feed), table, str(tmp_path / "marks"), stocks, newest)
+    assert "batch" in made and list(shared.iterdir()) == []
+    assert ingest.read_links(spark, table).count() == 10 and newest.read().count() == 4
+
+
+def test_ids_that_are_hashes_of_urls_are_not_stored(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "s"), rows_per_bucket=4, fan=2)
+    plain = articles(spark, range(3)).withColumn("article_id", F.sha2("url", 256))
+    for b, rows in enumerate((plain, articles(spark, [7]))):
+        store.add(rows, b)
+    want = sorted((r["url"], r["article_id"]) for r in plain.unionByName(articles(spark, [7])).collect())
+    own = lambda df: sorted((r["url"], r["article_id"]) for r in df.collect())
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "s/rows"))
+    assert [r["article_id"] for r in stored.collect() if r["article_id"]] == ["id7"]
+    assert own(store.read()) == own(store.find(articles(spark, range(9)))) == want
+    store.merge(2)
+    assert len(store.runs()) == 1 and own(store.read()) == want
+
+
+def test_a_crowded_batch_asks_no_bitmaps(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "s"), rows_per_bucket=10_000)
+    store.add(articles(spark, range(4_000)), 0)
+    assert urls(store.find(articles(spark, range(3_990, 8_000)))) == [f"u{i}" for i in range(3_990, 4_000)]
+    assert store.opened == (0, 1)
+    assert urls(store.find(articles(spark, [1, 9_999]))) == ["u1"] and store.opened[0] == 1

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.ingest import insert_new_articles, invalid_articles, link_primary, normalize_news, split_storable, unreadable, valid_articles
+from ..operators.ingest import insert_new_articles, invalid_articles, normalize_news, split_storable, unreadable, valid_articles
 from ..sources.schemas import CORRUPT, NEWS
-from ..sources.storage import written
+from ..sources.storage import put, scratch, written
 from .newest import KeptNewest
-from .store import ArticleStore
+from .store import ArticleStore, with_ids
 
 
 def stream_ingest(
@@ -20,7 +20,8 @@ def stream_ingest(
     """Take in all feed files not yet seen, then stop; returns the number of micro-batches.
 
     Articles are de-duplicated against the table, not by a watermark: a url may come back at any
-    age. A batch asks the store's bitmaps which of its buckets may hold its urls and opens only these.
+    age. A batch is read once; it asks the store's bitmaps which of its buckets may hold its urls and
+    opens only these, and what it wrote on the way is removed at its end.
     Its rows and its rejects (stage, key, message) are folders named by the batch, written anew when
     it is run again, so a batch that failed halfway neither doubles nor loses rows. ``then`` is called
     with a batch's valid records, the store and the batch's number, and must bear to be called again;
@@ -34,19 +35,19 @@ def stream_ingest(
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
         taken.append(batch_id)
-        batch = batch.persist()  # read once, for rows and for rejects
-        good = batch.where(f"{CORRUPT} is null").drop(CORRUPT)
-        valid = valid_articles(good)
-        rows, refused = split_storable(normalize_news(valid))
-        rejects = unreadable(batch, "general").unionByName(invalid_articles(good, "general")).unionByName(refused)
-        rejects.write.mode("overwrite").parquet(f"{table_dir}/rejects/batch={batch_id}")
-        rows = rows.select("url", "headline", "summary", "source", "published_at")
-        none = spark.createDataFrame([], "url string")
-        store.merge(batch_id)
-        store.add(insert_new_articles(none, rows, ("published_at",)), batch_id)
-        if then:
-            then(valid, store, batch_id)
-        batch.unpersist()
+        with scratch(spark):
+            batch = written(batch, "batch")  # read once, for rows, for rejects and for links
+            good = batch.where(f"{CORRUPT} is null").drop(CORRUPT)
+            valid = valid_articles(good)
+            rows, refused = split_storable(normalize_news(valid))
+            rejects = unreadable(batch, "general").unionByName(invalid_articles(good, "general")).unionByName(refused)
+            put(rejects, f"{table_dir}/rejects/batch={batch_id}", mode="overwrite")
+            rows = rows.select("url", "headline", "summary", "source", "published_at")
+            none = spark.createDataFrame([], "url string")
+            store.merge(batch_id)
+            store.add(insert_new_articles(none, rows, ("published_at",)), batch_id)
+            if then:
+                then(valid, store, batch_id)
 
     query = (
         source.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -65,10 +66,12 @@ def stream_company_news(
     batches, as attempts do; ``read_links`` gives each once.
     """
     def link(batch: DataFrame, store: ArticleStore, batch_id: int) -> None:
-        stored = written(store.find(batch), "found-articles")
-        links = link_primary(batch, stocks, stored).distinct()
-        links.write.mode("overwrite").parquet(f"{table_dir}/links/batch={batch_id}")
-        newest.update(links.join(stored.select("article_id", "published_at"), "article_id"), batch_id)
+        # urls are moved, not ids, which are hashes of them and do not pack
+        pairs = batch.select("ticker", "url").join(stocks.select("ticker", "stock_id"), "ticker").select("url", "stock_id")
+        stored = store.near(batch).select("url", "article_id", "published_at")
+        linked = written(pairs.repartition("url").distinct().join(stored, "url"), "linked")
+        put(with_ids(linked).select("article_id", "stock_id"), f"{table_dir}/links/batch={batch_id}", mode="overwrite")
+        newest.update(with_ids(linked.repartition("stock_id")), batch_id)
 
     return stream_ingest(spark, feed_dir, table_dir, checkpoint, files_per_batch, more="ticker string", then=link)
 

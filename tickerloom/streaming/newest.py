@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.rank import top_k_per_group
+from ..sources.storage import put, remove, scratch, written
 
 
 class KeptNewest:
@@ -55,18 +57,19 @@ class KeptNewest:
         """Take in rows with the table's columns; those without a key are left out."""
         own = [x.split()[0] for x in self.ddl.split(", ")]
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        fresh = top_k_per_group(rows.select(*own).where(F.col(self.key).isNotNull()).distinct(), [self.key], self.order, self.k).drop("rank").persist()
-        touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # no more than there are buckets
-        kept = self.read(batch_id, touched).drop("rank")
-        merged = top_k_per_group(kept.unionByName(fresh).distinct(), [self.key], self.order, self.k)
-        merged = merged.withColumn("bucket", bucket).repartition("bucket")
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch_id}")
-        fresh.unpersist()
+        # a row that comes twice has one dense rank, so rows are told apart after the cut
+        place = F.dense_rank().over(W.partitionBy(self.key).orderBy(*self.order))
+        cut = rows.select(*own).where(F.col(self.key).isNotNull()).withColumn("rank", place).where(F.col("rank") <= self.k)
+        with scratch(self.spark):
+            fresh = written(cut.drop("rank").distinct(), "fresh")
+            touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # no more than there are buckets
+            kept = self.read(batch_id, touched).drop("rank")
+            merged = top_k_per_group(kept.unionByName(fresh).distinct(), [self.key], self.order, self.k)
+            put(merged.withColumn("bucket", bucket).repartition("bucket"), f"{self.path}/batch={batch_id}", "bucket", mode="overwrite")
         live = set(self._places(batch_id).values())
         for batch in self._numbers(self.path, "batch"):
             if batch < batch_id and batch not in live:  # what a run again of this batch starts from stays
-                fs, at = self._fs(f"{self.path}/batch={batch}")
-                fs.delete(at, True)
+                remove(self.spark, f"{self.path}/batch={batch}")
 
 
 def kept_readings(spark: SparkSession, path: str, k: int = 30, key: str = "string") -> KeptNewest:
