@@ -1,15 +1,17 @@
 import gzip
 import itertools
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.operators import ingest, maintain, rank, scope, scoring
+from tickerloom.plans import catalogue
 from tickerloom.plans import dashboard as d
 from tickerloom.plans.pipeline import run_pipeline
-from tickerloom.sources import feeds, landing, seed
+from tickerloom.sources import feeds, landing, seed, storage
 from tickerloom.sources.headlines import HeadlineIndex
 from tickerloom.streaming.ingest import read_articles, stream_ingest
 
@@ -150,6 +152,31 @@ def test_top_k_is_a_prefix_and_one_user_equals_all(spark):
     assert rows(d.overview(t, NOW), "articles_24h", "readings", "portfolio_score") == everyone
 
 
+def test_users_in_groups_and_wanted_articles_are_those_of_one_look(spark, tmp_path):
+    rnd = random.Random(3)
+    links = spark.createDataFrame([(a, rnd.randrange(30)) for a in range(400) for _ in range(2)], "article_id long, stock_id long").distinct()
+    articles = spark.createDataFrame([(a, NOW - timedelta(hours=rnd.randrange(200))) for a in range(400)], "article_id long, published_at timestamp")
+    follows = spark.createDataFrame([(u, s) for u in range(40) for s in rnd.sample(range(30), 1 + u % 12)], "user_id long, stock_id long")
+    newest = scope.stock_newest(links, articles, 12).withColumn("fits", F.col("article_id") % 3 == 0).cache()
+    plain = rank.top_k_per_group(
+        scope.user_articles(links, follows).join(articles, "article_id"), ["user_id"], [F.desc("published_at"), F.asc("article_id")], 12
+    )
+    own = ("user_id", "article_id", "rank")
+    for at_once in (60, 1 << 28):
+        assert rows(scope.user_newest(newest.drop("fits"), follows, 12, at_once=at_once), *own) == rows(plain, *own)
+        got = scope.user_newest(newest, follows, 12, wanted="fits", at_once=at_once, spare=1.0)
+        assert rows(got, *own) == rows(plain.where("article_id % 3 = 0"), *own)
+
+
+def test_a_feed_leaves_only_tables_that_it_reads(spark, sf, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(storage, "shared_path", lambda _, label: made.append(label) or f"file://{tmp_path}/{label}.{len(made)}")
+    assert catalogue.QUERIES["news_feed_mood"](spark, sf).count() > 0
+    left = {p.name.split(".")[0] for p in tmp_path.iterdir()}
+    assert {"article", "article-stock", "user-stock", "stock-newest"} <= set(made)
+    assert left <= {"newest", "facts", "floored", "short", "unfloored", "watch-members"}
+
+
 @pytest.mark.parametrize("given, n", [(None, 50), ("x", 50), (0, 50), (-3, 50), (60, 60), ("70", 70), (9999, 500)])
 def test_limits(given, n):
     assert scope.clamp_limit(given) == n
