@@ -356,6 +356,31 @@ def test_torn_lines_cut_files_and_failed_requests(spark, tmp_path):
     assert ledger.count() == 2 and ledger.where("fault is null").count() == 1
 
 
+def test_files_that_are_not_packed_are_never_opened(spark, tmp_path):
+    put(tmp_path / "g", "a.json", ["{}"] * 1000)
+    put(tmp_path / "g", "c.json.gz", ["{}"] * 1000, cut=9)
+    (tmp_path / "g" / "b.json.gz").write_bytes(gzip.compress(b"{}\n" * 1000))
+    (tmp_path / "g" / "d.json.gz").write_bytes(b"plain")
+    (tmp_path / "g" / "e.json.gz").write_bytes(gzip.compress(b"x" * 99)[:10] + b"\xff" * 20)
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # a larger file would stop the job if it were opened
+    try:
+        ledger = rows(landing.file_ledger(spark, str(tmp_path / "g")).withColumn("name", F.element_at(F.split("file", "/"), -1)).na.fill("", ["fault"]), "name", "fault")
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    assert ledger == [("a.json", ""), ("b.json.gz", ""), ("c.json.gz", "the file is cut short"), ("d.json.gz", "the file is not gzip"), ("e.json.gz", "the file is not gzip")]
+
+
+def test_the_full_run_leaves_only_tables_that_it_returns(spark, sf, tmp_path, monkeypatch):
+    made = []
+    path = lambda _, label: made.append(label) or f"file://{tmp_path}/{label}.{len(made)}"
+    monkeypatch.setattr(storage, "shared_path", path)
+    monkeypatch.setattr(catalogue, "shared_path", path)
+    assert catalogue.QUERIES["run_pipeline"](spark, sf).count() > 0
+    assert {"general", "company", "tagged", "company-records"} <= set(made)
+    assert {p.name.split(".")[0] for p in tmp_path.iterdir()} == {"new-articles", "new-links", "readings", "rejects"}
+
+
 def test_stream_twice_is_once(spark, tmp_path):
     feed, store, marks = (str(tmp_path / n) for n in ("feed", "store", "marks"))
     item = {"category": "general", "datetime": 5, "headline": "h", "source": "s", "url": "u"}

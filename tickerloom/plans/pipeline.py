@@ -51,7 +51,8 @@ def run_pipeline(
     A feed that is None could not be had: it leaves a reject and the others go on. So do the failed
     requests, torn lines and broken files of a ``Landed`` feed, rows without a url or headline, rows
     that a table would refuse, and prompts without a numeric answer. Each step is written before it
-    is used, so nothing is computed twice, and counted as it is written.
+    is used, so nothing is computed twice, and counted as it is written; the result outlives the
+    caller's ``scratch``.
     """
     spark = tables["stock"].sparkSession
     watched = written(watched_stocks(tables["stock"], tables["user_stock"]), "watched")
@@ -71,24 +72,25 @@ def run_pipeline(
     tagged_ok = ingest.normalize_tagged(ingest.valid_articles(tagged, ("url", "title")))
     batch, refused = ingest.split_storable(ingest.union_feeds(general_ok, company_ok, tagged_ok))
     stored = tables["article"]
-    new, saved = written_and_counted(ingest.insert_new_articles(stored, batch, ("feed_rank", "pos", "published_at")), "new-articles")
+    new, saved = written_and_counted(ingest.insert_new_articles(stored, batch, ("feed_rank", "pos", "published_at")), "new-articles", keep=True)
     ids = stored.select("url", "article_id").unionByName(new.select("url", "article_id"))
 
     attempted = ingest.link_primary(company_ok, primary, ids).unionByName(ingest.link_entities(tagged_ok, dotted, ids))
     attempted, tags = written_and_counted(attempted, "attempted-links")
-    new_links, linked = written_and_counted(ingest.insert_new_links(tables["article_stock"], attempted), "new-links")
+    new_links, linked = written_and_counted(ingest.insert_new_links(tables["article_stock"], attempted), "new-links", keep=True)
     links = tables["article_stock"].select("article_id", "stock_id").unionByName(new_links)
     articles = stored.select("article_id", "headline", "published_at").unionByName(new.select("article_id", "headline", "published_at"))
 
     prompts = scoring.build_prompts(scoring.recent_headlines(links, articles, watched, as_of))
     raw = written(scoring.score(prompts, scorer) if scorer else scoring.score_by_words(prompts), "answers")
     scored, unscored = scoring.parse_scores(raw)
-    readings, sentiments = written_and_counted(ingest.append_sentiment(scored, as_of), "readings")
+    readings, sentiments = written_and_counted(ingest.append_sentiment(scored, as_of), "readings", keep=True)
 
     rejects = no_general.unionByName(no_company).unionByName(no_tagged)
     invalid = [ingest.invalid_articles(f, name, ("url", c)) for f, name, c in ((general, "general", "headline"), (company, "company", "headline"), (tagged, "tagged", "title"))]
     for part in (*invalid, refused, unscored):
         rejects = rejects.unionByName(part)
+    rejects = written(rejects, "rejects", keep=True)
 
     counts = (n_general + n_company + n_tagged, saved, tags, linked, sentiments)
     report = spark.createDataFrame([counts], "fetched long, saved long, tags long, new_links long, sentiments long")

@@ -8,11 +8,11 @@ read through is named in a ledger of files and left out whole.
 from __future__ import annotations
 
 import gzip
-import io
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from .feeds import arrival
 from .storage import written
 
 REJECTS = "stage string, key string, message string"
+LEDGER = "file string, bytes long, fault string"
 
 
 @dataclass
@@ -36,44 +37,56 @@ def file_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, fault) of every file under ``path``. The fault of a compressed file that does not
     hold what it should is ``the file is cut short`` or ``the file is not gzip``; others have none.
 
-    Files are listed by Spark and looked through by tasks, a file at a time; only the compressed ones
-    are opened.
+    Files are listed by Spark and looked through by tasks; only the compressed ones are opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    packed = F.col("path").endswith(".gz")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    plain = files.load(path).where(~F.col("path").endswith(".gz"))
+    plain = plain.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("fault"))
+    # by the name alone: a condition on rows would read the files that it leaves out
+    return plain.unionByName(files.option("pathGlobFilter", "*.gz").load(path).select("path", "length", "content").mapInArrow(_look, LEDGER))
 
-    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"file": pdf["path"], "bytes": pdf["length"], "fault": [_fault(c) for c in pdf["content"]]})
 
-    plain = files.where(~packed).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("fault"))
-    return plain.unionByName(files.where(packed).mapInPandas(look, "file string, bytes long, fault string"))
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        faults = pa.array([_fault(c.as_buffer()) for c in b.column("content")], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), faults], names=["file", "bytes", "fault"])
 
 
-def _fault(content: bytes) -> str | None:
+def _fault(content: pa.Buffer) -> str | None:
     try:
-        with gzip.open(io.BytesIO(content)) as f:
+        with gzip.open(pa.BufferReader(content)) as f:
             while f.read(1 << 20):
                 pass
     except EOFError:
         return "the file is cut short"
-    except OSError:
+    except (OSError, zlib.error):
         return "the file is not gzip"
     return None
 
 
+def _broken(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """The files with a fault, looked through once; of compressed files a task sends one at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        return written(file_ledger(spark, path).where("fault is not null"), f"{feed}-broken", keep=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_landed(spark: SparkSession, path: str, ddl: str, feed: str, key: str) -> Landed:
     """The records under ``path`` with ``pos``, and rejects: failed requests by the column ``key`` of
     ``ddl``, lines that are no JSON by their text, broken files by their path, and a path that is not
-    there by the reason."""
+    there by the reason. What is read is written, so the files are not needed any more."""
     try:
         raw = spark.read.schema(f"{ddl}, error string, {schemas.CORRUPT} string")
         raw = raw.option("columnNameOfCorruptRecord", schemas.CORRUPT).option("ignoreCorruptFiles", "true").json(path)
-        broken = file_ledger(spark, path).where("fault is not null")
+        broken = _broken(spark, path, feed)
     except AnalysisException as e:
         return Landed(None, spark.createDataFrame([(feed, None, str(e).splitlines()[0])], REJECTS))
     raw = raw.withColumn("pos", arrival())
-    whole = written(raw.join(broken.select("file"), F.col("pos.file") == F.col("file"), "left_anti"), f"{feed}-records")
+    whole = written(raw.join(broken.select("file"), F.col("pos.file") == F.col("file"), "left_anti"), f"{feed}-records", keep=True)
     stage = F.lit(feed).alias("stage")
     failed = whole.where(F.col("error").isNotNull()).select(stage, F.col(key).cast("string").alias("key"), F.col("error").alias("message"))
     torn = whole.where(F.col(schemas.CORRUPT).isNotNull()).select(stage, F.col(schemas.CORRUPT).alias("key"), F.lit("no JSON").alias("message"))
